@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.similar import most_similar
+from vecloom.llm.similarity_clusters import describe, similarity_clusters
 from vecloom.llm.vectors import usable
 from vecloom.sources.tables import table
 
@@ -30,7 +31,22 @@ def p1_neighbours(spark: SparkSession, folder: str, k: int = 10) -> DataFrame:
     return most_similar(v, "vec_id", q, DIM, most=k).select(F.col("q").alias("of_vec_id"), "vec_id", "rank", "d")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours)}
+def _limits(spark: SparkSession, folder: str) -> list[tuple[int, float]]:
+    return [(r[0], r[1]) for r in table(spark, folder, "cluster_sets").select("set_id", "threshold").distinct().collect()]  # a fixed, small table
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found, _ = similarity_clusters(usable_vectors(spark, folder), "vec_id", DIM, _limits(spark, folder))
+    return found.select("set_id", "vec_id", "cluster_id")
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    v = usable_vectors(spark, folder)
+    found, weights = similarity_clusters(v, "vec_id", DIM, _limits(spark, folder))
+    return describe(found, weights, v, "vec_id", DIM)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters)}
 ORACLES: dict[str, str] = {
     "p1_found": """WITH q AS (SELECT DISTINCT request_id, vec_id AS own, k, vector FROM knn_requests WHERE k > 0 AND len(vector) = 64
    AND len(list_filter(vector, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
@@ -38,4 +54,10 @@ ORACLES: dict[str, str] = {
    AND len(list_filter(embedding, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
  d AS (SELECT request_id, vec_id, k, list_distance(vector::DOUBLE[], embedding::DOUBLE[]) AS d FROM q, v WHERE own IS NULL OR own <> vec_id)
  SELECT request_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY d, vec_id) rn FROM d) WHERE rn <= k""",
+    "p4_found": """WITH RECURSIVE v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM vectors WHERE deleted_at IS NULL AND len(embedding) = 64
+   AND len(list_filter(embedding, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
+ near AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.e, b.e) ** 2 AS d FROM v a, v b WHERE a.vec_id < b.vec_id AND abs(a.e[1] - b.e[1]) < 1.3 AND abs(a.e[2] - b.e[2]) < 1.3 AND list_distance(a.e, b.e) ** 2 < 1.7),
+ e AS (SELECT set_id, a, b FROM near, cluster_sets WHERE d < threshold UNION ALL SELECT set_id, b, a FROM near, cluster_sets WHERE d < threshold),
+ reach AS (SELECT DISTINCT set_id, a AS v, a AS low FROM e UNION SELECT r.set_id, e.b, r.low FROM reach r JOIN e ON e.set_id = r.set_id AND e.a = r.v WHERE r.low < e.b)
+ SELECT set_id, v AS vec_id, min(low) AS cluster_id FROM reach GROUP BY 1, 2""",
 }

@@ -94,12 +94,13 @@ class Cells:
 
 
 def fit_cells(reps: DataFrame, n: int, dim: int, rows_per_cell: int = 8192) -> Cells:
-    """Cells from a sample of ``SAMPLE`` vectors (those with the smallest hash of their key).
+    """Cells from a sample of about ``SAMPLE`` vectors, chosen by a hash of their key.
 
     Centres are picked farthest-first; of 2 to ``MOST_CELLS`` centres that number is used after which the farthest
     sample point comes nearest most abruptly (the clusters are then covered), else n / ``rows_per_cell``.
     """
-    rows = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()
+    share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
+    rows = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < share).orderBy("rep").select("vec").collect()
     if not rows:
         return Cells(np.zeros((1, dim), np.float32))
     x = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.float32).reshape(-1, dim).astype(np.float64)
