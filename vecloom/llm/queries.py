@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.llm.garbled import garbled_lines, restore
+from vecloom.llm.match_groups import match_groups, pairs_of_lists
+from vecloom.llm.mixing import mix, mix_report, with_tokens
+from vecloom.llm.packing import pack, packing_report
 from vecloom.llm.similar import most_similar
 from vecloom.llm.similarity_clusters import describe, similarity_clusters
 from vecloom.llm.vectors import usable
-from vecloom.sources.tables import table
+from vecloom.sources.tables import table, uuid_text
 
 DIM = 64
 
@@ -46,7 +50,62 @@ def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return describe(found, weights, v, "vec_id", DIM)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters)}
+def match_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    g = table(spark, folder, "graphs").select("ids", F.explode("connections").alias("c"))
+    inside = lambda i: (i >= 0) & (i < F.size("ids"))
+    g = g.where((F.col("c.i") != F.col("c.j")) & inside(F.col("c.i")) & inside(F.col("c.j")))
+    g = g.select(uuid_text(F.get("ids", F.col("c.i"))).alias("a"), uuid_text(F.get("ids", F.col("c.j"))).alias("b"))
+    lists = table(spark, folder, "cluster_payloads").select(F.explode("clusters").alias("name", "ids"))
+    return g.unionByName(pairs_of_lists(lists, F.transform("ids", uuid_text)))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return match_groups(match_pairs(spark, folder))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return match_groups(match_pairs(spark, folder)).groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+BATCH = 1152
+
+
+def p7_batches(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "partition_meta"), "partition_id", "size", BATCH)
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_report(p7_batches(spark, folder), BATCH)
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    targets = table(spark, folder, "mix_targets")
+    docs = table(spark, folder, "documents").join(targets.select("source"), "source", "left_semi")
+    return mix(with_tokens(docs, ["doc_id", "source"]), targets)
+
+
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_report(_mixed(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", "text", *columns)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled_lines(_documents(spark, folder, "lang", "source")).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder, "lang", "source")
+    return restore(docs, garbled_lines(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p5_groups, p7_batches, p7_report, p9_documents, p9_report, p10_found, p10_restored)}
 ORACLES: dict[str, str] = {
     "p1_found": """WITH q AS (SELECT DISTINCT request_id, vec_id AS own, k, vector FROM knn_requests WHERE k > 0 AND len(vector) = 64
    AND len(list_filter(vector, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
@@ -60,4 +119,13 @@ ORACLES: dict[str, str] = {
  e AS (SELECT set_id, a, b FROM near, cluster_sets WHERE d < threshold UNION ALL SELECT set_id, b, a FROM near, cluster_sets WHERE d < threshold),
  reach AS (SELECT DISTINCT set_id, a AS v, a AS low FROM e UNION SELECT r.set_id, e.b, r.low FROM reach r JOIN e ON e.set_id = r.set_id AND e.a = r.v WHERE r.low < e.b)
  SELECT set_id, v AS vec_id, min(low) AS cluster_id FROM reach GROUP BY 1, 2""",
+    "p5_found": r"""WITH RECURSIVE g AS (SELECT ids, unnest(connections) AS c FROM graphs),
+ named AS (SELECT regexp_replace(lower(ids[c.i + 1]), '[^0-9a-f]', '', 'g') AS a, regexp_replace(lower(ids[c.j + 1]), '[^0-9a-f]', '', 'g') AS b FROM g
+   WHERE c.i <> c.j AND c.i >= 0 AND c.j >= 0 AND c.i < len(ids) AND c.j < len(ids)),
+ lists AS (SELECT list_sort(list_distinct(list_transform(l, lambda z: regexp_replace(lower(z), '[^0-9a-f]', '', 'g')))) AS l FROM (SELECT unnest(map_values(clusters)) AS l FROM cluster_payloads)),
+ e AS (SELECT a, b FROM named WHERE a <> b UNION SELECT b, a FROM named WHERE a <> b
+   UNION SELECT l[1], x FROM (SELECT l, unnest(l) AS x FROM lists) WHERE x <> l[1] UNION SELECT x, l[1] FROM (SELECT l, unnest(l) AS x FROM lists) WHERE x <> l[1]),
+ reach AS (SELECT DISTINCT a AS v, a AS low FROM e UNION SELECT e.b, r.low FROM reach r JOIN e ON e.a = r.v WHERE r.low < e.b),
+ low AS (SELECT v, min(low) AS low FROM reach GROUP BY 1)
+ SELECT regexp_replace(v, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS id, regexp_replace(low, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS group_id FROM low""",
 }
