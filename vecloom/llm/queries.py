@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm.garbled import garbled_lines, restore
+from vecloom.llm.leaks import leaks, without_leaks
 from vecloom.llm.match_groups import match_groups, pairs_of_lists
 from vecloom.llm.mixing import mix, mix_report, with_tokens
 from vecloom.llm.packing import pack, packing_report
@@ -78,6 +79,14 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing_report(p7_batches(spark, folder), BATCH)
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(_documents(spark, folder, "line_boxes"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return without_leaks(_documents(spark, folder, "line_boxes"), table(spark, folder, "eval_items"))
+
+
 def _mixed(spark: SparkSession, folder: str) -> DataFrame:
     targets = table(spark, folder, "mix_targets")
     docs = table(spark, folder, "documents").join(targets.select("source"), "source", "left_semi")
@@ -105,7 +114,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restore(docs, garbled_lines(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p5_groups, p7_batches, p7_report, p9_documents, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p5_groups, p7_batches, p7_report, p8_found, p8_cleaned, p9_documents, p9_report, p10_found, p10_restored)}
 ORACLES: dict[str, str] = {
     "p1_found": """WITH q AS (SELECT DISTINCT request_id, vec_id AS own, k, vector FROM knn_requests WHERE k > 0 AND len(vector) = 64
    AND len(list_filter(vector, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
