@@ -73,17 +73,17 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None) -> DataFr
         shift -= BITS
         b = F.shiftrightunsigned("h", shift)
         sums = near.groupBy("source", b.alias("b")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
-        j = sums.join(edge, F.col("source") == F.col("es"))
+        j = sums.join(edge.select("es", "rest"), F.col("source") == F.col("es"))
         run = F.sum("n").over(Window.partitionBy("source").orderBy("b"))  # at most 2**BITS rows per source
         j = j.withColumn("to", run)
         cut = j.where(F.col("to") > F.col("rest")).groupBy("source").agg(F.min(F.struct("b", (F.col("rest") - (F.col("to") - F.col("n"))).alias("left"), "docs")).alias("c"))
         edge = pin(cut.select(F.col("source").alias("es"), F.col("c.b").alias("prefix"), F.col("c.left").alias("rest"), F.col("c.docs").alias("docs")))
         if not edge.where("docs > 1").limit(1).count():
             break
-        near = near.join(edge, (F.col("source") == F.col("es")) & (b == F.col("prefix"))).select("source", "n_tokens", "h")
+        near = near.join(edge.select("es", "prefix"), (F.col("source") == F.col("es")) & (b == F.col("prefix"))).select("source", "n_tokens", "h")
         near = pin(near)
     # the document on the threshold is taken if that comes nearer to the goal
-    last = near.where(F.lit(True)).groupBy("source", F.shiftrightunsigned("h", shift).alias("b")).agg(F.sum("n_tokens").alias("n"))
+    last = near.groupBy("source", F.shiftrightunsigned("h", shift).alias("b")).agg(F.sum("n_tokens").alias("n"))
     e = edge.join(last, (F.col("es") == F.col("source")) & (F.col("prefix") == F.col("b")), "left")
     e = pin(e.select("es", (F.col("prefix") + F.when(F.col("rest") * 2 > F.col("n"), 1).otherwise(0)).alias("below")))
     out = d.join(plan, F.col("source") == F.col("ps")).join(e, F.col("source") == F.col("es"), "left")
