@@ -20,7 +20,7 @@ from vecloom.session import pin
 SHARD = 4096  # vectors of one graph
 STRIPE = 8  # shards of a cell that one task searches for a block of queries
 BLOCK = 4096  # queries of one task
-WIDTH = 96  # beam
+WIDTH = 256  # beam
 
 
 def _build(table: pa.Table, dim: int) -> pa.Table:
