@@ -41,11 +41,11 @@ class Engine:
         self._refresh()
 
     def split(self, strategy: partitions.Strategy, partition: int) -> None:
-        """Divide one partition: side 0 keeps its id, side 1 takes the smallest vec_id of the side as its id."""
+        """Divide one partition: side 0 keeps its id, side 1 takes the next free one."""
         m = self.members().where(F.col("partition_id") == partition)
         s = partitions.split(m, self.edges(), strategy)
-        new = s.where("side = 1").agg(F.min("vec_id").alias("p"))
-        moved = s.where("side = 1").join(F.broadcast(new)).select("vec_id", F.col("p").alias("partition_id"))
+        new = self.store.read("membership").agg(F.max("partition_id")).first()[0] + 1
+        moved = s.where("side = 1").select("vec_id", F.lit(new).cast("long").alias("partition_id"))
         self._relabel(partitions.assign(self.store.read("membership"), moved))
 
     def merge(self, sink: int, source: int) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,12 +33,16 @@ def apply_batch(store: Store, batch: DataFrame, version: int | None = None) -> N
 
 
 def _within(vectors: DataFrame, members: DataFrame, capacity: int = 64) -> DataFrame:
-    """Partitions that an insert filled above the capacity are divided; the others keep their name."""
+    """Partitions that an insert filled above the capacity are divided and get new ids; the others keep theirs."""
     full = members.groupBy("partition_id").count().where(F.col("count") > capacity).select("partition_id")
     over = members.join(full, "partition_id", "left_semi")
     rest = members.join(full, "partition_id", "left_anti")
     parts = bootstrap(vectors.join(over, "vec_id").select("vec_id", "embedding"), capacity)
-    return rest.select("vec_id", "partition_id").unionByName(parts.select("vec_id", "partition_id"))
+    parts = pin(parts)
+    last = members.agg(F.max("partition_id")).first()[0] or 0
+    names = parts.select("partition_id").distinct().withColumn("new", F.row_number().over(Window.orderBy("partition_id")) + F.lit(last))
+    parts = parts.join(names, "partition_id").select("vec_id", F.col("new").cast("long").alias("partition_id"))
+    return rest.select("vec_id", "partition_id").unionByName(parts)
 
 
 def start(stream: DataFrame, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
