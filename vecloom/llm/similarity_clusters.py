@@ -17,6 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ TILE = 8192  # vectors on one side of a comparison
 NEAREST = 3  # links kept per vector and tile besides the forest
 PRUNE = 1 / 64  # flow entries below this share of a column are dropped
 ROUNDS = 3  # squarings per level
+FLUSH = 65536  # rows summed before a partial sum is handed on
 MARGIN = 1e-3  # distances this near to a threshold are computed again in double
 
 
@@ -305,10 +307,23 @@ def _strongest(edges: DataFrame) -> DataFrame:
 
 
 def _sums(it: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    """Sums of vec and counts per (set_id, cluster_id) of a whole partition."""
-    parts = [(b.column("set_id").to_numpy(), b.column("cluster_id").to_numpy(), matrix(b.column("vec"), dim)) for b in it if b.num_rows]
-    if not parts:
-        return
+    """Sums of vec and counts per (set_id, cluster_id), of up to FLUSH rows at a time; ``of`` lists a vector's clusters."""
+    parts, held = [], 0
+    for b in it:
+        if b.num_rows:
+            of = b.column("of")
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(of).to_numpy(zero_copy_only=False))
+            flat = of.flatten()
+            parts.append((flat.field("set_id").to_numpy(), flat.field("cluster_id").to_numpy(), matrix(b.column("vec"), dim)[row]))
+            held += len(row)
+        if held > FLUSH:
+            yield _summed(parts, dim)
+            parts, held = [], 0
+    if held:
+        yield _summed(parts, dim)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], dim: int) -> pa.RecordBatch:
     s, c, x = (np.concatenate(z) for z in zip(*parts))
     o = np.lexsort((c, s))
     s, c, x = s[o], c[o], x[o].astype(np.float64)
@@ -316,17 +331,23 @@ def _sums(it: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
     n = np.diff(np.append(first, len(s)))
     sums = np.add.reduceat(x, first, axis=0)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(first) + 1) * dim, dim, dtype=np.int32)), pa.array(sums.ravel()))
-    yield pa.RecordBatch.from_arrays([pa.array(s[first], pa.int32()), pa.array(c[first]), pa.array(n.astype(np.int64)), lists], names=["set_id", "cluster_id", "n", "sums"])
+    return pa.RecordBatch.from_arrays([pa.array(s[first], pa.int32()), pa.array(c[first]), pa.array(n.astype(np.int64)), lists], names=["set_id", "cluster_id", "n", "sums"])
 
 
 def describe(found: DataFrame, weights: DataFrame, vectors: DataFrame, key: str, dim: int, typical: int = 3) -> DataFrame:
     """(set_id, cluster_id, size, centroid, typical) per cluster; typical: the keys that receive most flow, best first.
 
-    A cluster with most of the rows is summed in up to 64 parts (salted by key) before its parts meet.
+    A vector travels once for all its clusters: clusters are nested, and the coarsest, by which rows are placed, has
+    the smallest name. One with most of the rows is summed in up to 64 parts (salted by key) before its parts meet.
     """
     one = vectors.groupBy(key).agg(F.min("vec").alias("vec"))
-    rows = found.join(one, key).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(64)))
-    part = rows.repartition("set_id", "cluster_id", "salt").select("set_id", "cluster_id", "vec").mapInArrow(partial(_sums, dim=dim), "set_id int, cluster_id long, n long, sums array<double>")
+    of = found.groupBy(key).agg(F.collect_list(F.struct("set_id", "cluster_id")).alias("of"), F.min("cluster_id").alias("coarse"))
+    rows = one.join(of, key).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(64)))
+    sizes = pin(of.groupBy("coarse").count())
+    many = max(TILE, (sizes.agg(F.sum("count")).first()[0] or 0) // 512)
+    hot = [r[0] for r in sizes.where(F.col("count") > many).select("coarse").collect()]  # fewer than 512
+    place = F.when(F.col("coarse").isin(hot), F.col("salt")).otherwise(F.lit(0)) if hot else F.lit(0)
+    part = rows.withColumn("salt", place).repartition("coarse", "salt").select("of", "vec").mapInArrow(partial(_sums, dim=dim), "set_id int, cluster_id long, n long, sums array<double>")
     add = F.aggregate(F.collect_list("sums"), F.array_repeat(F.lit(0.0), dim), lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
     total = part.groupBy("set_id", "cluster_id").agg(F.sum("n").alias("size"), add.alias("sums"))
     best = found.join(weights, ["set_id", key])
