@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from vecloom.session import local_session  # noqa: E402
+from vecloom.session import local_session, ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, "4g", "tests")
     s.sparkContext.setLogLevel("ERROR")
+    ship(s)
     yield s
     s.stop()
 

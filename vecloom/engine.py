@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vecloom.operators import graph, knn, mst, partitions
 from vecloom.operators.clusters import ClusterSets, sizes
 from vecloom.operators.projection import Projection
+from vecloom.session import ship
 from vecloom.sources.store import Store, Trace
 from vecloom.streaming import ingest
 
@@ -18,6 +19,7 @@ class Engine:
     """Every read runs on the newest version of the store; writes make new versions, so readers are never blocked."""
 
     def __init__(self, spark: SparkSession, path: str):
+        ship(spark)
         self.spark, self.store, self.trace = spark, Store(spark, path), Trace()
         self._clusters: ClusterSets | None = None
         self._projection: Projection | None = None
