@@ -130,7 +130,38 @@ def build(x: np.ndarray, degree: int = 24, width: int = 48, alpha: float = 1.2,
             dc = ((xc - x[node[part]][:, None]) ** 2).sum(2)
             nbr[node[part]] = robust_prune(x, c, dc, degree, alpha)
         done += len(batch)
-    return nbr[:n], _reach_all(nbr[:n], entry)
+    nbr = _lift(x, nbr[:n], degree * 2 // 3, degree // 4)
+    return nbr, _reach_all(nbr, entry)
+
+
+def _lift(x: np.ndarray, nbr: np.ndarray, room: int, least: int) -> np.ndarray:
+    """Add to nodes that few edges lead to an edge from each of their ``least`` nearest neighbours (at most ``room`` more
+    per node, the shortest first): pruning of reverse edges may have cut all near ways to a point."""
+    n = len(x)
+    led = np.bincount(nbr[nbr < n], minlength=n)
+    out = np.hstack([nbr, np.full((n, room), n, dtype=np.int64)])
+    poor = np.flatnonzero(led < 2 * least)
+    if not len(poor):
+        return out
+    to, frm, dist = [], [], []
+    wide = np.vstack([x, np.zeros((1, x.shape[1]), x.dtype)])
+    for a in range(0, len(poor), 1024):
+        p = poor[a : a + 1024]
+        c = nbr[p]
+        d = np.where(c < n, ((wide[c] - x[p][:, None]) ** 2).sum(2), np.inf)
+        o = np.argsort(d, 1, kind="stable")[:, :least]
+        d, c = np.take_along_axis(d, o, 1), np.take_along_axis(c, o, 1)
+        r, k = np.nonzero(np.isfinite(d))
+        to.append(p[r]), frm.append(c[r, k]), dist.append(d[r, k])
+    t, f, d = np.concatenate(to), np.concatenate(frm), np.concatenate(dist)
+    new = ~(nbr[f] == t[:, None]).any(1)
+    t, f, d = t[new], f[new], d[new]
+    o = np.lexsort((t, d, f))
+    t, f = t[o], f[o]
+    pos = np.arange(len(f)) - np.searchsorted(f, f)
+    ok = pos < room
+    out[f[ok], nbr.shape[1] + pos[ok]] = t[ok]
+    return out
 
 
 def _reach_all(nbr: np.ndarray, entry: np.ndarray) -> np.ndarray:

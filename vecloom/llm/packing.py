@@ -95,12 +95,13 @@ def pack(items: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     state = pin(_packed(rest, capacity, max(1, -(-n // SHARD)), 1)) if n else None
     if state is None:
         return done.select(F.col("item").alias(item), "piece", "amount", "batch")
+    last = 0
     for seed in range(2, 2 + EXCHANGES):
         loose = (F.col("gap") > 0) & (F.col("filled") < capacity)
         pool = pin(state.where(loose))
         m = pool.count()
         shards = max(1, -(-m // SHARD))
-        if not m or (seed > 2 and shards == 1 and last == 1):  # noqa: F821
+        if not m or (shards == 1 and last == 1):
             break
         again = pin(_packed(pool, capacity, shards, seed))
         last = shards

@@ -20,10 +20,12 @@ from vecloom.session import pin
 SHARD = 4096  # vectors of one graph
 STRIPE = 8  # shards of a cell that one task searches for a block of queries
 BLOCK = 4096  # queries of one task
-WIDTH = 256  # beam
+WIDTH = 64  # beam of a search, besides BEAM_PER_K for each neighbour sought
+BEAM_PER_K = 4
 
 
 def _build(table: pa.Table, dim: int) -> pa.Table:
+    table = table.sort_by("rep")  # the same graph whatever order the rows arrive in
     x = matrix(table["vec"], dim)
     mid = x.mean(0)
     nbr, entry = build(x - mid)
@@ -97,7 +99,7 @@ def _search(shards: pa.Table, queries: pa.Table, dim: int, most: int, cells: Cel
         nbr = np.frombuffer(shards["links"][i].as_py(), np.uint16).astype(np.int64).reshape(n, -1)
         entry = np.frombuffer(shards["entries"][i].as_py(), np.uint16).astype(np.int64)
         mid = v.mean(0)
-        at, _ = search(v - mid, nbr, entry, x - mid, most, WIDTH)
+        at, _ = search(v - mid, nbr, entry, x - mid, most, WIDTH + BEAM_PER_K * most)
         ok = at < n
         # exact distances, so that results of different shards compare
         exact = np.full(at.shape, np.inf)

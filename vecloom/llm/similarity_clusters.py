@@ -258,9 +258,9 @@ def similarity_clusters(vectors: DataFrame, key: str, dim: int, limits: list[tup
         step = markov_step(edges)
         nxt = pin(_contract(edges, step))
         now = nxt.count()
-        if now > left * 0.9:  # even cycles and grids have no attractors: follow each node's strongest link instead
+        if now > left * 0.9:  # even cycles and grids have no attractors: follow each node's smallest neighbour instead
             drop(nxt)
-            step = _strongest(edges)
+            step = _smallest(edges)
             nxt = pin(_contract(edges, step))
             now = nxt.count()
         s = step.select(F.col("set_id").alias("ss"), F.col("node").alias("sn"), F.col("label").alias("sl"))
@@ -297,8 +297,8 @@ def _contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return g.select("set_id", "a", "b", F.least(F.col("t"), 2 * F.col("m")).alias("s"))
 
 
-def _strongest(edges: DataFrame) -> DataFrame:
-    """Each node's label: the smaller of itself and the far end of its strongest link to a smaller node, taken twice."""
+def _smallest(edges: DataFrame) -> DataFrame:
+    """Each node's label: the smallest of itself and its neighbours, followed twice."""
     up = edges.groupBy("set_id", F.col("b").alias("node")).agg(F.min("a").alias("label"))
     top = edges.select("set_id", F.col("a").alias("node"), F.col("a").alias("label")).distinct()
     one = up.unionByName(top).groupBy("set_id", "node").agg(F.min("label").alias("label"))
