@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from vecloom.plans import engine, general
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"mst_insert_one", "mst_insert_batch", "edge_extremes", "intra_edges", "inter_edges", "induced_subgraph", "cluster_boundary_edges", "expand_one_hop", "edge_delete", "path_bottleneck", "sssp_tree"}
+SLOW = {"mst_insert_one", "mst_insert_batch", "edge_extremes", "intra_edges", "inter_edges", "induced_subgraph", "cluster_boundary_edges", "expand_one_hop", "edge_delete", "path_bottleneck", "sssp_tree", "mst_full", "partition_neighbors"}
 
 QUERIES, ORACLES = {**engine.QUERIES, **general.QUERIES}, {**engine.ORACLES, **general.ORACLES}
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")

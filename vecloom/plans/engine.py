@@ -6,7 +6,7 @@ weights and means are rounded to 6 decimals, since sums in different order diffe
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -435,7 +435,7 @@ def umap_project(s, d):
 # writes
 def insert_then_mst(s, d):
     """The table streamed in through micro-batches; the tree that the store holds afterwards."""
-    root = tempfile.mkdtemp(prefix="vecloom-stream-") if shared_dir(s).startswith("file:///tmp") else f"{shared_dir(s)}/stream-{id(object())}"
+    root = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     store = Store(s, f"{root}/store")
     old, new = _split_new(s, d, NEW)
     old.write.mode("overwrite").parquet(f"{root}/in/a")
@@ -447,7 +447,7 @@ def insert_then_mst(s, d):
 
 
 def roundtrip_parquet(s, d):
-    root = f"{shared_dir(s)}/store-{abs(hash(d))}"
+    root = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
     store = Store(s, root)
     v = store.write({"vectors": _members(s, d)}, by={"vectors": "partition_id"})
     return store.read("vectors", v).select("vec_id", F.col("partition_id").cast("long").alias("partition_id"), F.get("embedding", F.lit(0)).cast("double").alias("first"))
