@@ -69,3 +69,25 @@ def test_empty(spark):
 def test_wide_tree_is_preaggregated(spark):
     df = spark.range(1, 5001).select(F.col("id"), F.lit(0).cast("long").alias("parent")).unionByName(spark.createDataFrame([(0, None)], "id long, parent long"))
     assert hierarchy(df, "id", "parent", paths=False).where("id = 0").first()["n_below"] == 5000
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_subtrees_that_lead_into_a_circle(spark, seed):
+    r = random.Random(seed)
+    ring = [(0, 1), (1, 2), (2, 0), (3, 3)]
+    pairs = ring + [(i, r.randrange(i)) for i in range(4, 40)]
+    parent = dict(pairs)
+    want = set()
+    for x in range(4, 40):
+        y, k = parent[x], 1
+        while y > 3:
+            want.add((y, x, k))
+            y, k = parent[y], k + 1
+    assert want
+    got = {x["id"]: x for x in hierarchy(frame(spark, pairs, {i: i for i in range(40)}), "id", "parent", "size").collect()}
+    for x in range(40):
+        own = [(d, k) for a, d, k in want if a == x]
+        g = got[x]
+        assert (g["n_below"], g["total_below"], g["height"]) == ((None,) * 3 if x < 4 else (len(own), sum(d for d, _ in own), max((k for _, k in own), default=0)))
+        assert g["leads_to_circle"] and g["on_circle"] is (x < 4)
+    assert {tuple(z) for z in descendants(frame(spark, pairs), "id", "parent", beneath_circles=True).collect()} == want

@@ -96,13 +96,20 @@ def _circles(base: DataFrame, residual: DataFrame) -> DataFrame:
     return f.join(low, F.col("a") == F.col("mv")).join(ring.select(F.col("v").alias("rv")), F.col("v") == F.col("rv"), "left").select("v", "ring", F.col("rv").isNotNull().alias("on_ring"))
 
 
+def _beneath(base: DataFrame, ring: DataFrame) -> DataFrame:
+    """``base`` without the nodes on a circle: a node whose parent stands on one becomes a root."""
+    on = ring.where("on_ring").select(F.col("v").alias("rv"))
+    off = base.join(on, F.col("v") == F.col("rv"), "left_anti").join(on, F.col("a") == F.col("rv"), "left")
+    return off.select("v", F.when(F.col("rv").isNull(), F.col("a")).alias("a"), "w")
+
+
 def hierarchy(rows: DataFrame, node: str, parent: str, weight: str | None = None, paths: bool = True) -> DataFrame:
     """(node, parent, root, depth, path, n_below, total_below, height, leads_to_circle, on_circle), one row per node.
 
     A node whose parent is null or no node of the table is a root (depth 0). ``path`` runs from the root down to the
     node. ``n_below`` counts all descendants, ``total_below`` sums their ``weight`` (null counts 0). For nodes that
-    lead into a circle root is the smallest node of that circle and depth, path, n_below, total_below and height are
-    null. Repeated rows of a node: the one with the largest parent counts. Null nodes are left out. An empty table
+    lead into a circle root is the smallest node of that circle and depth and path are null; for nodes on a circle
+    n_below, total_below and height are null too, those beneath one have their own subtree. Repeated rows of a node: the one with the largest parent counts. Null nodes are left out. An empty table
     gives no rows; further columns are ignored.
     """
     base = pin(_clean(rows, node, parent, weight))
@@ -110,29 +117,37 @@ def hierarchy(rows: DataFrame, node: str, parent: str, weight: str | None = None
     parents = base.select(F.col("v").alias("bv"), F.col("a").alias("parent"))
     out = state.join(parents, F.col("v") == F.col("bv"))
     if left:
-        ring = _circles(base, state.where(F.col("a").isNotNull()))
-        out = out.join(ring.withColumnRenamed("v", "cv"), F.col("v") == F.col("cv"), "left")
+        ring = pin(_circles(base, state.where(F.col("a").isNotNull())))
+        bound = base.join(ring.select(F.col("v").alias("x")), F.col("v") == F.col("x"), "left_semi")
+        own, _, _ = _peel(_beneath(bound, ring), False)
+        own = own.select(F.col("v").alias("ov"), F.col("n").alias("on"), F.col("total").alias("ot"), F.col("height").alias("oh"))
+        out = out.join(ring.withColumnRenamed("v", "cv"), F.col("v") == F.col("cv"), "left").join(own, F.col("v") == F.col("ov"), "left")
     else:
-        out = out.withColumn("ring", F.lit(None).cast("long")).withColumn("on_ring", F.lit(None).cast("boolean"))
+        none = lambda t: F.lit(None).cast(t)
+        out = out.withColumns({"ring": none("long"), "on_ring": none("boolean"), "on": none("long"), "ot": none("long"), "oh": none("int")})
     lost = F.col("a").isNotNull()
     keep = lambda c: F.when(~lost, F.col(c)).alias(c)
-    # a node on a circle is also below itself; nodes beneath a circle-bound node have exact counts, the circle has none
+    below = lambda c, own, name: F.when(~lost, F.col(c)).otherwise(F.col(own)).alias(name)
+    # a node on a circle is also below itself and has no counts; nodes beneath a circle have those of their own subtree
     return out.select(
         F.col("v").alias(node), "parent", F.when(lost, F.col("ring")).otherwise(F.col("root")).alias("root"),
-        keep("depth"), keep("path"), F.when(~F.coalesce("on_ring", F.lit(False)) & ~lost, F.col("n")).alias("n_below"),
-        F.when(~lost, F.col("total")).alias("total_below"), keep("height"), lost.alias("leads_to_circle"), F.coalesce("on_ring", F.lit(False)).alias("on_circle"),
+        keep("depth"), keep("path"), below("n", "on", "n_below"), below("total", "ot", "total_below"), below("height", "oh", "height"),
+        lost.alias("leads_to_circle"), F.coalesce("on_ring", F.lit(False)).alias("on_circle"),
     )
 
 
-def descendants(rows: DataFrame, node: str, parent: str) -> DataFrame:
+def descendants(rows: DataFrame, node: str, parent: str, beneath_circles: bool = False) -> DataFrame:
     """(ancestor, descendant, distance): every pair, as rows, so that no node's list has to fit one task.
 
     Doubling: after round k the pairs at distance up to 2**(k+1) are known. Nodes that lead into a circle are left
-    out (they have no last ancestor); ``hierarchy`` reports them.
+    out (they have no last ancestor) unless ``beneath_circles``: then only those on a circle are, and the pairs beneath
+    one are given too. ``hierarchy`` reports both.
     """
     base = pin(_clean(rows, node, parent, None))
     state, _, left = _peel(base, False)
-    if left:
+    if left and beneath_circles:
+        base = pin(_beneath(base, pin(_circles(base, state.where(F.col("a").isNotNull())))))
+    elif left:
         base = pin(base.join(state.where(F.col("a").isNotNull()).select(F.col("v").alias("x")), F.col("v") == F.col("x"), "left_anti"))
     drop(state)
     jump = base.where(F.col("a").isNotNull()).select("v", "a")

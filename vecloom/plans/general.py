@@ -28,6 +28,11 @@ def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return descendants(current_meta(spark, folder, "merged_into"), "cluster_id", "merged_into")
 
 
+def p2_descendants_all(spark: SparkSession, folder: str) -> DataFrame:
+    """``p2_descendants`` with the pairs beneath circles, which its SQL leaves out; only clusters on a circle have none."""
+    return descendants(current_meta(spark, folder, "merged_into"), "cluster_id", "merged_into", beneath_circles=True)
+
+
 def references(spark: SparkSession, folder: str) -> tuple[list[Reference], dict[str, DataFrame]]:
     meta = current_meta(spark, folder, "merged_into", "created_at", "merged_at", "deleted_at")
     clusters = meta.select(F.col("cluster_id").alias("key"), F.col("created_at").alias("since"), F.col("deleted_at").alias("until"))
@@ -73,7 +78,7 @@ def p6_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return out.join(current_meta(spark, folder, "size"), "cluster_id", "left").select("cluster_id", "n_rows", "n_members", F.col("mode").alias("mode_vec_id"), "mode_n", "median_day", "size")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p3_found, p3_report, p6_found, p6_clusters)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p2_descendants_all, p3_found, p3_report, p6_found, p6_clusters)}
 
 _META = """meta AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY loaded_at DESC) rn
   FROM cluster_meta WHERE cluster_id IS NOT NULL) WHERE rn = 1)"""
