@@ -212,12 +212,14 @@ def _stream(text: str, column: list[tuple[int, int, int, bool]], lines: list[str
     return out
 
 
-def _runs(auto: Automaton, ids: list[int]) -> tuple[set[int], list[tuple[int, int]]]:
-    """(short items met whole, runs that cannot be extended: (last word, length) of at least SEED words)."""
+def _runs(auto: Automaton, ids: list[int]) -> tuple[set[int], list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """(short items met whole, runs that cannot be extended: (last word, length) of at least SEED words,
+    words that end a run of at least LEAST words: (word, state, length))."""
     nxt, link, length, whole = auto.next, auto.link, auto.len, auto.whole
     s = n = 0
     short: set[int] = set()
     runs: list[tuple[int, int]] = []
+    deep: list[tuple[int, int, int]] = []
     for i, w in enumerate(ids):
         if w < 0:
             if n >= SEED:
@@ -236,13 +238,32 @@ def _runs(auto: Automaton, ids: list[int]) -> tuple[set[int], list[tuple[int, in
             n += 1
         else:
             s = n = 0
+        if n >= LEAST:
+            deep.append((i, s, n))
         if s and whole[s]:
             for item in whole[s]:
                 if auto.size[item] <= n:
                     short.add(item)
     if n >= SEED:
         runs.append((len(ids) - 1, n))
-    return short, runs
+    return short, runs, deep
+
+
+def _passages(auto: Automaton, deep: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """(item, its last word, last word, length) of every passage of at least LEAST words that goes no further in its
+    own item, whether or not it lies inside a longer run of another."""
+    held: dict[tuple[int, int], int] = {}
+    at = -1
+    for i, s, n in [*deep, (-1, 0, 0)]:
+        now: dict[tuple[int, int], int] = {}
+        while s > 0 and auto.len[s] >= LEAST:  # the item ends of a suffix are those of its state, the longest suffix first
+            for e in auto.ends[s]:
+                now.setdefault(e, min(n, auto.len[s]))
+            s = auto.link[s]
+        for (item, end), length in held.items():
+            if i != at + 1 or (item, end + 1) not in now:
+                yield item, end, at, length
+        held, at = now, i
 
 
 def _spell(auto: Automaton, ids: list[int], last: int, n: int) -> int:
@@ -277,7 +298,7 @@ def leaks_of(auto: Automaton, cache: dict[str, int], text: str, boxes: list[dict
                 if v != -2:
                     ids.append(v)
                     kept.append(word)
-            short, runs = _runs(auto, ids)
+            short, runs, deep = _runs(auto, ids)
             for item in short:
                 n = auto.size[item]
                 entry = found.setdefault(item, [0, set(), []])
@@ -292,22 +313,17 @@ def leaks_of(auto: Automaton, cache: dict[str, int], text: str, boxes: list[dict
                                 break
                         if s is not None and (item, n - 1) in auto.ends[s]:
                             entry[2].append((kept[i - n + 1][2], kept[i][3]))
+            for item, end, last, n in _passages(auto, deep):
+                entry = found.setdefault(item, [0, set(), []])
+                entry[0] = max(entry[0], n)
+                entry[1].update(range(end - n + 1, end + 1))
+                if spans:
+                    entry[2].append((kept[last - n + 1][2], kept[last][3]))
             pieces: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
             for last, n in runs:
                 if n < LEAST and len(runs) == 1:
                     continue
                 s = _spell(auto, ids, last, n)
-                if n >= LEAST:
-                    top = s
-                    while auto.link[top] > 0 and auto.len[auto.link[top]] >= LEAST:
-                        top = auto.link[top]
-                    for item, end in auto.ends[top]:
-                        whole = n if (item, end) in auto.ends[s] else LEAST
-                        entry = found.setdefault(item, [0, set(), []])
-                        entry[0] = max(entry[0], whole)
-                        entry[1].update(range(end - whole + 1, end + 1))
-                        if spans:
-                            entry[2].append((kept[last - whole + 1][2], kept[last][3]))
                 if len(auto.ends[s]) <= 64:
                     for item, end in auto.ends[s]:
                         pieces[item].append((last - n + 1, last, end - n + 1, end))
