@@ -135,6 +135,24 @@ def test_clusters_are_the_chains_of_links(spark, tile, monkeypatch):
         assert 0 < len(r["typical"]) <= 3 and set(r["typical"]) <= set(own)
 
 
+@pytest.mark.parametrize("tile", [50, 8192])
+def test_typical_members_are_nearest_to_the_centroid_of_all(spark, tile, monkeypatch):
+    monkeypatch.setattr(similarity_clusters, "TILE", tile)
+    x = np.vstack([blobs(400, 4), np.full((1, DIM), 50, np.float32), np.full((1, DIM), 50.01, np.float32)])
+    v = usable_frame(spark, x).persist()
+    found, weights = clusters(v, "vec_id", DIM, [(1, 0.5), (2, 0.9)])
+    members = {}
+    for r in found.collect():
+        members.setdefault((r["set_id"], r["cluster_id"]), []).append(r["vec_id"])
+    got = {(r["set_id"], r["cluster_id"]): r for r in describe(found, weights, v, "vec_id", DIM).collect()}
+    assert set(got) == set(members) and max(map(len, members.values())) > 50
+    for name, own in members.items():
+        y = x[sorted(own)].astype(np.float64)
+        d = dict(zip(sorted(own), ((y - y.mean(0)) ** 2).sum(1)))
+        assert got[name]["size"] == len(own) and len(got[name]["typical"]) == min(3, len(own))
+        assert np.allclose([d[i] for i in got[name]["typical"]], sorted(d.values())[:3])
+
+
 def test_clusters_empty_and_alone(spark):
     for x in (np.empty((0, DIM)), blobs(1)):
         assert clusters(usable_frame(spark, x), "vec_id", DIM, [(1, 1.0)])[0].count() == 0

@@ -5,15 +5,17 @@
    lightest spanning forest and each vector's nearest links, which connect exactly the same vectors at every smaller
    threshold (MST(A u B) = MST(MST(A) u MST(B))).
 2. Flow. Within a tile, sparse Markov clustering (square, inflate, prune) runs per threshold; attractor rows give
-   first clusters, and the flow a member receives tells how typical it is. Clusters become nodes, links between them
+   first clusters. Clusters become nodes, links between them
    remain, and the same flow runs on that smaller graph as a distributed matrix product, until no link is left.
    Every merge follows links and none is left over, so the final clusters are exactly the chains of linked vectors.
+3. Description. The most central members of a final cluster are those nearest to its centroid, over all its members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -239,7 +241,8 @@ def similarity_clusters(vectors: DataFrame, key: str, dim: int, limits: list[tup
 
     Vectors (key, vec) whose squared L2 distance is below a threshold, directly or through others, share a cluster,
     named by its smallest key; clusters of one are left out. Equal vectors have distance 0. Null or non-positive
-    thresholds join nothing; an empty table gives no rows. ``got`` is the flow a vector receives from its cluster.
+    thresholds join nothing; an empty table gives no rows. ``got`` is the flow a vector receives
+    inside its own tile, null if it has no link there; ``describe`` does not rank by it.
     """
     limits = sorted((int(s), float(t)) for s, t in limits if t is not None and t > 0)
     reps, members = fold_copies(vectors, key)
@@ -275,7 +278,7 @@ def similarity_clusters(vectors: DataFrame, key: str, dim: int, limits: list[tup
     sizes = out.groupBy(F.col("set_id").alias("zs"), F.col("cluster_id").alias("zc")).count().where("count > 1").drop("count")
     found = out.join(sizes, (F.col("set_id") == F.col("zs")) & (F.col("cluster_id") == F.col("zc")), "left_semi")
     typical = typical.select(F.col("set_id").alias("ts"), F.col("node").alias("tn"), "got")
-    weights = found.join(typical, (F.col("set_id") == F.col("ts")) & (F.col("mrep") == F.col("tn")), "left").select("set_id", key, F.coalesce("got", F.lit(1.0)).alias("got"))
+    weights = found.join(typical, (F.col("set_id") == F.col("ts")) & (F.col("mrep") == F.col("tn")), "left").select("set_id", key, "got")
     return found.select("set_id", key, "cluster_id"), weights
 
 
@@ -334,24 +337,109 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], dim: int) ->
     return pa.RecordBatch.from_arrays([pa.array(s[first], pa.int32()), pa.array(c[first]), pa.array(n.astype(np.int64)), lists], names=["set_id", "cluster_id", "n", "sums"])
 
 
+def _grouped(s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in the order of (s, c): first row of each group, its size, and each row's group."""
+    first = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])]))
+    n = np.diff(np.append(first, len(s)))
+    return first, n, np.repeat(np.arange(len(first)), n)
+
+
+def _central(it: Iterator[pa.RecordBatch], key: str, dim: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Size, centroid and most central members of whole clusters; rows come in the order of ``coarse``, which holds together."""
+    held, n, limit = [], 0, FLUSH // 4
+    for b in it:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n > limit:
+            t = pa.Table.from_batches(held).combine_chunks()
+            coarse = t["coarse"].to_numpy()
+            cut = int(np.searchsorted(coarse, coarse[-1]))  # the last cluster may go on
+            if cut:
+                yield _described(t.slice(0, cut), key, dim, most)
+            held, n = t.slice(cut).to_batches(), n - cut
+            limit = max(FLUSH // 4, 2 * n)
+    if n:
+        yield _described(pa.Table.from_batches(held), key, dim, most)
+
+
+def _described(t: pa.Table, key: str, dim: int, most: int) -> pa.RecordBatch:
+    of = t["of"].combine_chunks()
+    row = np.repeat(np.arange(t.num_rows), pc.list_value_length(of).to_numpy(zero_copy_only=False))
+    flat = of.flatten()
+    s, c, ids = flat.field("set_id").to_numpy(), flat.field("cluster_id").to_numpy(), t[key].to_numpy()[row]
+    o = np.lexsort((ids, c, s))
+    s, c, ids = s[o], c[o], ids[o]
+    first, n, g = _grouped(s, c)
+    x = matrix(t["vec"], dim)[row[o]].astype(np.float64)
+    mid = np.add.reduceat(x, first, axis=0) / n[:, None]
+    x -= mid[g]
+    d = np.einsum("ij,ij->i", x, x)
+    d[n[g] <= 2] = 0  # two are equally far
+    o = np.lexsort((ids, d, g))
+    best = ids[o][np.arange(len(g)) - first[g] < most]
+    lists = lambda ends, v: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(v))
+    cols = [pa.array(s[first], pa.int32()), pa.array(c[first]), pa.array(n.astype(np.int64)), lists(np.arange(1, len(first) + 1) * dim, mid.ravel()), lists(np.cumsum(np.minimum(n, most)), best)]
+    return pa.RecordBatch.from_arrays(cols, names=["set_id", "cluster_id", "size", "centroid", "typical"])
+
+
+def _nearest(it: Iterator[pa.RecordBatch], key: str, dim: int, most: int, mid: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The ``most`` rows of a task nearest to each of the centroids ``mid``, by (set_id, cluster_id)."""
+    best: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    for b in it:
+        if not b.num_rows:
+            continue
+        of, x, ids = b.column("of"), matrix(b.column("vec"), dim), b.column(key).to_numpy()
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(of).to_numpy(zero_copy_only=False))
+        flat = of.flatten()
+        s, c = flat.field("set_id").to_numpy(), flat.field("cluster_id").to_numpy()
+        o = np.lexsort((c, s))
+        s, c, row = s[o], c[o], row[o]
+        first, n, _ = _grouped(s, c)
+        for f, k in zip(first, n):
+            r, name = row[f : f + k], (int(s[f]), int(c[f]))
+            d = ((x[r].astype(np.float64) - mid[name]) ** 2).sum(1)
+            near = np.lexsort((ids[r], d))[:most]
+            best[name] = sorted([*best.get(name, []), *zip(d[near].tolist(), ids[r][near].tolist())])[:most]
+    out = [(*name, d, i) for name, z in best.items() for d, i in z]
+    cols = list(zip(*out)) or [()] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.int64()))], names=["set_id", "cluster_id", "d", key])
+
+
 def describe(found: DataFrame, weights: DataFrame, vectors: DataFrame, key: str, dim: int, typical: int = 3) -> DataFrame:
-    """(set_id, cluster_id, size, centroid, typical) per cluster; typical: the keys that receive most flow, best first.
+    """(set_id, cluster_id, size, centroid, typical) per cluster; typical: the keys nearest to the centroid of all
+    members, best first (ties: the smaller key). ``weights`` is not read: flow inside a tile tells nothing of a cluster
+    that reaches beyond it.
 
     A vector travels once for all its clusters: clusters are nested, and the coarsest, by which rows are placed, has
-    the smallest name. One with most of the rows is summed in up to 64 parts (salted by key) before its parts meet.
+    the smallest name. Clusters too large for one task (fewer than 4,096) are summed where their rows are, and the rows
+    are then compared with the centroids.
     """
     one = vectors.groupBy(key).agg(F.min("vec").alias("vec"))
-    of = found.groupBy(key).agg(F.collect_list(F.struct("set_id", "cluster_id")).alias("of"), F.min("cluster_id").alias("coarse"))
-    rows = one.join(of, key).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(64)))
-    sizes = pin(of.groupBy("coarse").count())
-    many = max(TILE, (sizes.agg(F.sum("count")).first()[0] or 0) // 512)
-    hot = [r[0] for r in sizes.where(F.col("count") > many).select("coarse").collect()]  # fewer than 512
-    place = F.when(F.col("coarse").isin(hot), F.col("salt")).otherwise(F.lit(0)) if hot else F.lit(0)
-    part = rows.withColumn("salt", place).repartition("coarse", "salt").select("of", "vec").mapInArrow(partial(_sums, dim=dim), "set_id int, cluster_id long, n long, sums array<double>")
+    sizes = pin(found.groupBy("set_id", "cluster_id").count())
+    many = max(TILE, (sizes.agg(F.sum("count")).first()[0] or 0) // 4096)
+    hot: dict[int, list[int]] = {}
+    for s, c in sizes.where(F.col("count") > many).select("set_id", "cluster_id").collect():
+        hot.setdefault(s, []).append(c)
+    is_hot = lambda s, c: reduce(or_, [(s == F.lit(z)) & c.isin(v) for z, v in hot.items()], F.lit(False))
+    large = is_hot(F.col("set_id"), F.col("cluster_id"))
+    pair = F.struct("set_id", "cluster_id")
+    of = found.groupBy(key).agg(F.collect_list(F.when(~large, pair)).alias("of"), F.collect_list(F.when(large, pair)).alias("hot"), F.min(F.when(~large, F.col("cluster_id"))).alias("coarse"))
+    rows = one.join(of, key)
+    if hot:
+        rows = pin(rows)
+    placed = rows.where(F.col("coarse").isNotNull()).select(key, "of", "coarse", "vec").repartition("coarse").sortWithinPartitions("coarse")
+    out = placed.mapInArrow(partial(_central, key=key, dim=dim, most=typical), "set_id int, cluster_id long, size long, centroid array<double>, typical array<long>")
+    if not hot:
+        return out
+    rows = rows.where(F.size("hot") > 0).select(key, F.col("hot").alias("of"), "vec")
+    part = rows.select("of", "vec").mapInArrow(partial(_sums, dim=dim), "set_id int, cluster_id long, n long, sums array<double>")
     add = F.aggregate(F.collect_list("sums"), F.array_repeat(F.lit(0.0), dim), lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
-    total = part.groupBy("set_id", "cluster_id").agg(F.sum("n").alias("size"), add.alias("sums"))
-    best = found.join(weights, ["set_id", key])
-    w = Window.partitionBy("set_id", "cluster_id").orderBy(F.desc("got"), key)
-    best = best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= typical)
-    best = best.groupBy("set_id", "cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", key))), lambda z: z[key]).alias("typical"))
-    return total.join(best, ["set_id", "cluster_id"]).select("set_id", "cluster_id", "size", F.transform("sums", lambda z: z / F.col("size")).alias("centroid"), "typical")
+    total = pin(part.groupBy("set_id", "cluster_id").agg(F.sum("n").alias("size"), add.alias("sums")))
+    total = total.select("set_id", "cluster_id", "size", F.transform("sums", lambda z: z / F.col("size")).alias("centroid"))
+    mid = {(r[0], r[1]): np.array(r[2]) for r in total.select("set_id", "cluster_id", "centroid").collect()}
+    best = rows.mapInArrow(partial(_nearest, key=key, dim=dim, most=typical, mid=mid), f"set_id int, cluster_id long, d double, {key} long")
+    best = best.groupBy("set_id", "cluster_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", key))), 1, typical).alias("b"))
+    best = best.select("set_id", "cluster_id", F.transform("b", lambda z: z[key]).alias("typical"))
+    return out.unionByName(total.join(best, ["set_id", "cluster_id"]))
