@@ -167,6 +167,20 @@ def test_first_tree_merge_and_rehoming(spark):
     assert partitions.bootstrap(df, 8).groupBy("partition_id").count().agg(F.max("count")).first()[0] <= 8
 
 
+def test_bootstrap_is_the_same_in_one_task_and_in_many(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(90, 4)), r.normal(size=(50, 4)) + 6, np.full((60, 4), 2.0)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    read = lambda: {(q["vec_id"], q["partition_id"]) for q in partitions.bootstrap(df, 16).collect()}
+    want = read()
+    monkeypatch.setattr(partitions, "ONE", 40, raising=False)  # the 60 equal vectors exceed a task
+    passes = []
+    inner = partitions._all_means
+    monkeypatch.setattr(partitions, "_all_means", lambda v, big: passes.append(big) or inner(v, big))
+    assert read() == want and len(passes) > 1
+    assert max(sum(1 for _, p in want if p == q) for _, q in want) <= 16
+
+
 def test_clusters_and_hierarchy(spark):
     x, df = points(spark)
     tree, nodes = mst.mst(df).persist(), df.select(F.col("vec_id").alias("node"))

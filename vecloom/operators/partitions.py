@@ -6,7 +6,8 @@ or a merge relabels members and moves no edge.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.blocks import rows_of
 from vecloom.operators.graph import components, inter, with_partitions
-from vecloom.session import pin
+from vecloom.session import drop, pin
 
 CAPACITY = 64
+ONE = 65_536  # vectors that one task divides alone
+MAX_ITER = 128  # rounds of Lloyd per split
 SIDES = "vec_id long, partition_id long, side int"
 
 
@@ -104,7 +107,7 @@ def induced(edges: DataFrame, partitions: list[int]) -> DataFrame:
 Strategy = Callable[[np.ndarray, np.ndarray, list[tuple[int, int]]], np.ndarray]
 
 
-def two_means(max_iter: int | None = 128) -> Strategy:
+def two_means(max_iter: int | None = MAX_ITER) -> Strategy:
     """Lloyd with two means. Seeds: a point near the centroid and a neighbour of it, in that order of trial; equal
     distances go to side 0. Stops when a side no longer changes or after ``max_iter`` rounds; the next pair of seeds
     is tried while one side holds everything. Points that are all equal are divided by their order."""
@@ -254,37 +257,131 @@ def absorb(membership: DataFrame, edges: DataFrame, sink: int, candidates: list[
     return membership
 
 
+Means = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _far(x: np.ndarray, means: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    return ((x - means[1]) ** 2).sum(1) < ((x - means[0]) ** 2).sum(1)
+
+
+def _per_part(b: pa.RecordBatch, parts: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(partition, positions, vectors) of the partitions asked for."""
+    of = b.column("partition_id").to_numpy()
+    x = None
+    for p in np.unique(of).tolist():
+        if p in parts:
+            x = rows_of(pa.chunked_array([b.column("embedding")])) if x is None else x
+            k = np.flatnonzero(of == p)
+            yield p, k, x[k]
+
+
+def _sides(it: Iterator[pa.RecordBatch], now: Means, before: Means) -> Iterator[pa.RecordBatch]:
+    """Counts and sums of both sides under the means ``now``, and how many vectors had another side under ``before``."""
+    got: dict[int, list] = {}
+    for b in it:
+        for p, _, x in _per_part(b, now) if b.num_rows else ():
+            far = _far(x, now[p])
+            moved = int((far != _far(x, before[p])).sum()) if p in before else len(far)
+            new = [int((~far).sum()), int(far.sum()), moved, x[~far].sum(0), x[far].sum(0)]
+            got[p] = [u + v for u, v in zip(got[p], new)] if p in got else new
+    cols = list(zip(*[(p, *v) for p, v in got.items()])) or [()] * 6
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.float64())] * 2
+    yield pa.RecordBatch.from_arrays([pa.array([list(z) if isinstance(z, np.ndarray) else z for z in c], k) for c, k in zip(cols, kinds)], names=["p", "n0", "n1", "moved", "s0", "s1"])
+
+
+def _closest(it: Iterator[pa.RecordBatch], to: dict[int, np.ndarray], other: bool) -> Iterator[pa.RecordBatch]:
+    """The vector nearest to a point per partition (``other``: that does not equal it), ties to the smaller id."""
+    best: dict[int, tuple[float, int, list[float]]] = {}
+    for b in it:
+        for p, k, x in _per_part(b, to) if b.num_rows else ():
+            d, ids = ((x - to[p]) ** 2).sum(1), b.column("vec_id").to_numpy()[k]
+            if other:
+                d[(x == to[p]).all(1)] = np.inf
+            i = np.lexsort((ids, d))[0]
+            if d[i] < np.inf and (p not in best or (d[i], ids[i]) < best[p][:2]):
+                best[p] = (float(d[i]), int(ids[i]), x[i].tolist())
+    cols = list(zip(*[(p, *v) for p, v in best.items()])) or [()] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64())))], names=["p", "d", "id", "x"])
+
+
+def _side(it: Iterator[pa.RecordBatch], means: Means, middle: dict[int, int], names: dict[int, tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """The rows with the partition of their side: by the nearer mean, or by id where there are no two means."""
+    for b in it:
+        ids, to = b.column("vec_id").to_numpy(), b.column("partition_id").to_numpy().copy()
+        for p, k, x in _per_part(b, names) if b.num_rows else ():
+            far = _far(x, means[p]) if p in means else ids[k] > middle[p]
+            to[k] = np.where(far, names[p][1], names[p][0])
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(to, pa.int64())], names=["vec_id", "embedding", "partition_id"])
+
+
+def _middle(part: DataFrame, n: int) -> int:
+    """The id with (n + 1) // 2 ids up to it, found by counting."""
+    lo, hi = part.agg(F.min("vec_id"), F.max("vec_id")).first()
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if part.where(F.col("vec_id") <= mid).count() >= (n + 1) // 2:
+            hi = mid
+        else:
+            lo = mid + 1
+    return lo
+
+
+def _all_means(v: DataFrame, big: dict[int, int]) -> Means:
+    """Two means of each partition of ``big``, as ``two_means`` finds them, by passes over all of its vectors. A
+    partition without two different vectors has none."""
+    v = v.select("vec_id", "embedding", "partition_id").where(F.col("partition_id").isin(list(big)))
+    dim = v.select(F.size("embedding")).first()[0]
+    add = lambda c: F.aggregate(F.collect_list(c), F.array_repeat(F.lit(0.0), dim), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+
+    def sides(now: Means, before: Means) -> list:
+        got = v.mapInArrow(partial(_sides, now=now, before=before), "p long, n0 long, n1 long, moved long, s0 array<double>, s1 array<double>")
+        return got.groupBy("p").agg(F.sum("n0"), F.sum("n1"), F.sum("moved"), add("s0"), add("s1")).collect()
+
+    def closest(to: dict[int, np.ndarray], other: bool) -> dict[int, np.ndarray]:
+        got = v.mapInArrow(partial(_closest, to=to, other=other), "p long, d double, id long, x array<double>")
+        return {r[0]: np.array(r[1]["x"]) for r in got.groupBy("p").agg(F.min(F.struct("d", "id", "x"))).collect()}
+
+    origin = np.zeros(dim)
+    centre = {p: np.array(s0) / n0 for p, n0, _, _, s0, _ in sides({p: (origin, origin) for p in big}, {})}
+    a = closest(centre, False)
+    b = closest(a, True)
+    now: Means = {p: (a[p], b[p]) for p in b}
+    before: Means = {}
+    done: Means = {}
+    for k in range(1, MAX_ITER + 1):
+        nxt: Means = {}
+        for p, n0, n1, moved, s0, s1 in sides(now, before) if now else []:
+            if not n0 or not n1:  # rounding alone: divided by order
+                continue
+            if not moved or k == MAX_ITER:
+                done[p] = now[p]
+            else:
+                nxt[p] = (np.array(s0) / n0, np.array(s1) / n1)
+        now, before = nxt, now
+    return done
+
+
 def bootstrap(vectors: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(vec_id, partition_id): two-means splits, level by level, until every partition is within the capacity.
 
-    While a partition is larger than one task should hold (``ONE`` vectors), its two means are found on a bounded
-    sample and its vectors go to the nearer one; smaller ones are divided completely within a task.
+    While a partition is larger than one task should hold (``ONE`` vectors), the rounds of its two means are passes
+    over all of its vectors; smaller ones are divided the same way within a task. Equal vectors are divided by id.
     """
     from vecloom.operators.mst import clean
 
-    one = 65_536
-    v = pin(clean(vectors).withColumn("partition_id", F.lit(0).cast("long")))
+    v = pin(clean(vectors).withColumn("partition_id", F.lit(0).cast("long")).select("vec_id", "embedding", "partition_id"))
+    last = 0
     while True:
-        big = [r[0] for r in v.groupBy("partition_id").count().where(F.col("count") > one).collect()]
+        big = {r[0]: r[1] for r in v.groupBy("partition_id").count().where(F.col("count") > max(ONE, capacity)).collect()}
         if not big:
             break
-        h = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20))
-        means = {}
-        for p in big:
-            part = v.where(F.col("partition_id") == p)
-            n = part.count()
-            rows = part.where(h < int(min(1.0, 4096 / n) * (1 << 20))).orderBy("vec_id").collect()
-            x = np.array([r["embedding"] for r in rows], np.float64)
-            side = two_means()(np.array([r["vec_id"] for r in rows]), x, [])
-            means[p] = (x[side == 0].mean(0), x[side == 1].mean(0))
-        from vecloom.functions.vectors import sq_dist
-        from vecloom.operators.knn import literal
-
-        to = F.col("partition_id")
-        for p, (a, b) in means.items():
-            far = sq_dist(F.col("embedding"), literal(list(b))) < sq_dist(F.col("embedding"), literal(list(a)))
-            to = F.when(F.col("partition_id") == p, F.when(far, 2 * F.lit(p) + 2).otherwise(2 * F.lit(p) + 1)).otherwise(to)
-        v = pin(v.withColumn("partition_id", to.cast("long")))
+        means = _all_means(v, big)
+        middle = {p: _middle(v.where(F.col("partition_id") == p), n) for p, n in big.items() if p not in means}
+        names = {p: (last + 2 * k + 1, last + 2 * k + 2) for k, p in enumerate(sorted(big))}
+        last += 2 * len(big)
+        nxt = pin(v.mapInArrow(partial(_side, means=means, middle=middle, names=names), v.schema))
+        drop(v)
+        v = nxt
 
     def divide(t: pa.Table) -> pa.Table:
         o = np.argsort(t["vec_id"].to_numpy())
