@@ -69,7 +69,7 @@ class Automaton:
         for s in order:  # end positions go up the suffix links, longest first
             if self.len[s] >= 1 and self.link[s] > 0:
                 ends[self.link[s]].extend(ends[s])
-        self.ends = [sorted(set(e)) for e in ends]
+        self.ends = [frozenset(e) for e in ends]
         # short items that end wherever a state does, down the suffix links
         self.whole: list[tuple[int, ...]] = [()] * len(self.len)
         own = defaultdict(list)
@@ -274,6 +274,31 @@ def _spell(auto: Automaton, ids: list[int], last: int, n: int) -> int:
     return s
 
 
+def _continued(auto: Automaton, ids: list[int], kept: list[tuple[str, int, int, int]], runs: list[tuple[int, int]]) -> set[tuple[int, tuple[int, int, int, int]]]:
+    """(item, (first word, last word, first and last word in the item)) of the runs after or before which the item goes
+    on across whole lines. Of two runs the one with fewer places in the items is listed, the other looked up."""
+    out = set()
+    states: dict[int, frozenset] = {}
+    ends = lambda k: states[k] if k in states else states.setdefault(k, auto.ends[_spell(auto, ids, *runs[k])])
+    for x, (last, n) in enumerate(runs):
+        for y in range(x + 1, len(runs)):
+            end, m = runs[y]
+            first = end - m + 1
+            skipped = kept[first][1] - kept[last][1]
+            if skipped > GAP_LINES + 1:
+                break
+            if first - last <= 1 or skipped < 1:
+                continue
+            a, b = ends(x), ends(y)
+            for lost in (0, 1):  # a word may be lost in a break
+                step = m + lost
+                both = [(i, e) for i, e in a if (i, e + step) in b] if len(a) <= len(b) else [(i, e - step) for i, e in b if (i, e - step) in a]
+                for item, e in both:
+                    out.add((item, (last - n + 1, last, e - n + 1, e)))
+                    out.add((item, (first, end, e + lost + 1, e + step)))
+    return out
+
+
 def leaks_of(auto: Automaton, cache: dict[str, int], text: str, boxes: list[dict] | None, spans: bool) -> dict[int, tuple[int, int, list[tuple[int, int]]]]:
     """item to (longest run, item words met, character spans) of a page's leaks."""
     lines = text.split("\n")
@@ -320,13 +345,8 @@ def leaks_of(auto: Automaton, cache: dict[str, int], text: str, boxes: list[dict
                 if spans:
                     entry[2].append((kept[last - n + 1][2], kept[last][3]))
             pieces: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-            for last, n in runs:
-                if n < LEAST and len(runs) == 1:
-                    continue
-                s = _spell(auto, ids, last, n)
-                if len(auto.ends[s]) <= 64:
-                    for item, end in auto.ends[s]:
-                        pieces[item].append((last - n + 1, last, end - n + 1, end))
+            for item, piece in _continued(auto, ids, kept, runs):
+                pieces[item].append(piece)
             for item, ps in pieces.items():
                 if len(ps) < 2:
                     continue
