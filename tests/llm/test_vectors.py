@@ -97,6 +97,14 @@ def test_most_similar(spark, shard, monkeypatch):
     assert hit >= 0.95 * want_n
 
 
+def test_query_at_an_empty_centre(spark, monkeypatch):
+    x = blobs(60, copies=1)
+    monkeypatch.setattr(similar, "fit_cells", lambda *_: Cells(np.stack([np.full(DIM, 500.0), x[0], np.full(DIM, -500.0), x[1]])))
+    q = usable_frame(spark, np.full((1, DIM), 400)).select(F.col("vec_id").alias("q"), F.lit(3).alias("k"), F.lit(None).cast("long").alias("self"), "vec")
+    got = [r["vec_id"] for r in most_similar(usable_frame(spark, x), "vec_id", q, DIM).orderBy("rank").collect()]
+    assert got == np.argsort(((x.astype(np.float64) - 400) ** 2).sum(1))[:3].tolist()
+
+
 def test_most_similar_empty(spark):
     none = usable_frame(spark, np.empty((0, DIM)))
     q = spark.createDataFrame([], "q long, k int, self long, vec binary")

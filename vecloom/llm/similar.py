@@ -44,8 +44,12 @@ class Index:
         self.reps, self.members = fold_copies(vectors, key)
         n = self.reps.count()
         self.cells: Cells = fit_cells(self.reps, n, dim)
-        placed = in_cells(self.reps, self.cells, dim)
-        sizes = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
+        while True:
+            placed = in_cells(self.reps, self.cells, dim)
+            sizes = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
+            if not sizes or len(sizes) == len(self.cells.c):
+                break
+            self.cells = Cells(self.cells.c[sorted(sizes)])  # a query at home in an empty cell would find nothing
         self.parts = {c: -(-m // SHARD) for c, m in sizes.items()}
         parts = F.element_at(F.lit(_map(self.parts)), F.col("cell")) if self.parts else F.lit(1)
         placed = placed.withColumn("shard", F.pmod(F.xxhash64("rep"), parts).cast("int"))
