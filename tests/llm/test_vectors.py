@@ -75,7 +75,6 @@ def test_cell_bound_is_a_bound():
 @pytest.mark.parametrize("shard", [64, 4096])
 def test_most_similar(spark, shard, monkeypatch):
     monkeypatch.setattr(similar, "SHARD", shard)
-    monkeypatch.setattr(similar, "STRIPE", 2)
     monkeypatch.setattr(similar, "BLOCK", 50)
     x = blobs()
     v = usable_frame(spark, x).persist()

@@ -23,6 +23,7 @@ def beam_search(x: np.ndarray, nbr: np.ndarray, entry: np.ndarray, q: np.ndarray
     ids[:, : o.shape[1]] = e[o]
     d[:, : o.shape[1]] = np.take_along_axis(d0, o, 1)
     seen[:, e] = True
+    flat, turn = seen.ravel(), np.empty(b * (n + 1), dtype=np.int32)
     done = ids == n
     act = np.arange(b)
     place = np.zeros(b, dtype=np.int64)
@@ -38,11 +39,14 @@ def beam_search(x: np.ndarray, nbr: np.ndarray, entry: np.ndarray, q: np.ndarray
         done[at, col] = True
         to = nbr[ids[at, col]].ravel()
         who = np.repeat(at, r)
-        new = ~seen[who, to]
-        key = np.unique(who[new] * (n + 1) + to[new])
-        if not len(key):
+        key = who * (n + 1) + to
+        new = np.flatnonzero(~flat[key])
+        if not len(new):
             continue
-        who, to = np.divmod(key, n + 1)
+        key = key[new]
+        turn[key] = np.arange(len(key), dtype=np.int32)
+        new = new[turn[key] == np.arange(len(key))]  # a point that several neighbours lead to counts once
+        who, to = who[new], to[new]
         seen[who, to] = True
         dist = xn[to] - 2 * np.einsum("ij,ij->i", x[to], q[who])
         count = np.bincount(who, minlength=b)
@@ -185,12 +189,13 @@ def _reach_all(nbr: np.ndarray, entry: np.ndarray) -> np.ndarray:
         wave = np.array([low])
 
 
-def search(x: np.ndarray, nbr: np.ndarray, entry: np.ndarray, q: np.ndarray, k: int, width: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` nearest found for each query; the beam is at least ``k`` wide."""
+def search(x: np.ndarray, nbr: np.ndarray, entry: np.ndarray, q: np.ndarray, k: int, width: int, places: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest found for each query; the beam is at least ``k`` wide. ``places`` bounds the marks held at once."""
     n = len(x)
     w = max(width, k)
     ids, ds = np.full((len(q), k), n, dtype=np.int64), np.full((len(q), k), np.inf, dtype=np.float32)
+    block = max(64, min(1024, places // (n + 1)))
     for a in range(0, len(q), block):
-        i, d = beam_search(x, nbr, entry, q[a : a + block], w)
+        i, d = beam_search(x, nbr, entry, q[a : a + block], w, expand=max(4, w // 8))
         ids[a : a + block], ds[a : a + block] = i[:, :k], d[:, :k]
     return ids, ds

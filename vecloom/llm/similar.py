@@ -1,137 +1,184 @@
 """Most similar vectors by robust-pruned directed graphs, one per shard.
 
-Cells (fitted on a bounded sample) hold whole shards of at most ``SHARD`` vectors; a cell above that is divided by
-hash, so a cell with a third of all rows only means more shards. A query first searches the shards of its own cell;
-the k-th distance found then names, by the plane between centres, every other cell that can hold a nearer vector, and
-only those are searched. The cells therefore lose nothing; what is lost is what a beam misses within a shard.
+Cells are fitted on a bounded sample; a cell with more vectors than a graph should hold is divided by centres of its
+own, so every shard is a region of space. A shard's graph is stored as one row per vector (its vector and its edges).
+Queries go to shards: first to the one they fall into; the k-th distance found then names, by the planes between
+centres, the other shards that can hold a nearer vector, and the nearest of those (``PROBES``) are searched too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.graph_index import build, search
-from vecloom.llm.vectors import Cells, binary, fit_cells, fold_copies, in_cells, matrix
-from vecloom.session import pin
-
-SHARD = 4096  # vectors of one graph
-STRIPE = 8  # shards of a cell that one task searches for a block of queries
-BLOCK = 4096  # queries of one task
+from vecloom.llm.vectors import Cells, Shards, binary, fit_cells, fold_copies, in_cells, matrix
+from vecloom.session import drop, pin
+
+SHARD = 8192  # vectors a graph should hold
+MOST_SHARDS = 65_536  # centres that travel to the tasks (16 MB at 64 lanes); beyond it graphs grow
+FITTED = 16_384  # sampled vectors of one cell on which its own centres are fitted
+BLOCK = 16_384  # queries of one task
+PROBES = 64  # shards searched for a query besides its own, nearest first, where the planes leave more open
 WIDTH = 64  # beam of a search, besides BEAM_PER_K for each neighbour sought
 BEAM_PER_K = 4
+GRAPH = "shard int, rep long, vec binary, links binary, entry int"
 
 
 def _build(table: pa.Table, dim: int) -> pa.Table:
+    """The graph of one shard, a row per vector in the order of ``rep``: links are positions, entry its turn as entry point."""
     table = table.sort_by("rep")  # the same graph whatever order the rows arrive in
     x = matrix(table["vec"], dim)
-    mid = x.mean(0)
-    nbr, entry = build(x - mid)
-    return pa.table({
-        "cell": table["cell"][:1].cast(pa.int32()), "shard": table["shard"][:1].cast(pa.int32()), "n": pa.array([len(x)], pa.int32()),
-        "reps": pa.array([table["rep"].to_numpy().astype(np.int64).tobytes()], pa.binary()), "vecs": pa.array([x.tobytes()], pa.binary()),
-        "links": pa.array([nbr.astype(np.uint16).tobytes()], pa.binary()), "entries": pa.array([entry.astype(np.uint16).tobytes()], pa.binary()),
-    })
+    n = len(x)
+    nbr, entry = build(x - x.mean(0))
+    turn = np.full(n, -1, np.int32)
+    turn[entry[::-1]] = np.arange(len(entry), dtype=np.int32)[::-1]
+    width = nbr.shape[1] * 4
+    links = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(nbr.astype(np.int32).tobytes())])
+    return pa.table({"shard": table["shard"].cast(pa.int32()), "rep": table["rep"], "vec": table["vec"], "links": links, "entry": pa.array(turn)})
+
+
+def _centres(table: pa.Table, dim: int, n: dict[int, int]) -> pa.Table:
+    """Centres within one cell from its sample: the first by key, moved to their means three times."""
+    table = table.sort_by("h")
+    cell = table["cell"][0].as_py()
+    x = matrix(table["vec"], dim).astype(np.float64)
+    c = x[: n[cell]].copy()
+    for _ in range(3):
+        z = Cells(c)
+        h = np.concatenate([z.home(x[a : a + 1024].astype(np.float32)) for a in range(0, len(x), 1024)])
+        count = np.bincount(h, minlength=len(c))
+        for lane in range(dim):
+            s = np.bincount(h, x[:, lane], len(c))
+            c[:, lane] = np.where(count > 0, s / np.maximum(count, 1), c[:, lane])
+    return pa.table({"cell": pa.array(np.full(len(c), cell, np.int32)), "vec": binary(c)})
+
+
+def _place(it: Iterator[pa.RecordBatch], shards: Shards, dim: int) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        x = matrix(b.column("vec"), dim)
+        h = [shards.home(x[a : a + 1024]) for a in range(0, len(x), 1024)]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(h) if h else np.empty(0), pa.int32())], names=[*b.schema.names, "shard"])
 
 
 class Index:
-    """Folded vectors, their cells, and a table with one row per shard (its vectors and graph)."""
+    """Folded vectors and the graphs of their shards."""
 
     def __init__(self, vectors: DataFrame, key: str, dim: int):
         self.dim, self.key = dim, key
         self.reps, self.members = fold_copies(vectors, key)
         n = self.reps.count()
-        self.cells: Cells = fit_cells(self.reps, n, dim)
-        while True:
-            placed = in_cells(self.reps, self.cells, dim)
-            sizes = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
-            if not sizes or len(sizes) == len(self.cells.c):
-                break
-            self.cells = Cells(self.cells.c[sorted(sizes)])  # a query at home in an empty cell would find nothing
-        self.parts = {c: -(-m // SHARD) for c, m in sizes.items()}
-        parts = F.element_at(F.lit(_map(self.parts)), F.col("cell")) if self.parts else F.lit(1)
-        placed = placed.withColumn("shard", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-        schema = "cell int, shard int, n int, reps binary, vecs binary, links binary, entries binary"
-        self.shards = pin(placed.groupBy("cell", "shard").applyInArrow(lambda t: _build(t, dim), schema))
+        cells = fit_cells(self.reps, n, dim)
+        placed = pin(in_cells(self.reps, cells, dim))
+        sizes = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # one row per cell, at most MOST_CELLS
+        room = max(SHARD, -(-n // (MOST_SHARDS // 2)))
+        self.shards = Shards(cells, self._within(placed, {c: -(-2 * m // room) for c, m in sizes.items() if m > room}, sizes))
+        kinds = "rep long, vec binary, shard int"
+        rows = placed.select("rep", "vec").mapInArrow(partial(_place, shards=self.shards, dim=dim), kinds)
+        self.graphs = pin(rows.groupBy("shard").applyInArrow(lambda t: _build(t, dim), GRAPH))
+        drop(placed)
+        self.sizes = np.zeros(self.shards.n, np.int64)
+        for r in self.graphs.groupBy("shard").count().collect():  # at most MOST_SHARDS
+            self.sizes[r[0]] = r[1]
+
+    def _within(self, placed: DataFrame, want: dict[int, int], sizes: dict[int, int]) -> dict[int, np.ndarray]:
+        if not want:
+            return {}
+        take = {c: max(k, min(sizes[c], FITTED)) for c, k in want.items()}
+        share = F.element_at(F.lit(_map({c: int(min(1.0, t / sizes[c]) * (1 << 30)) for c, t in take.items()})), F.col("cell"))
+        h = F.xxhash64(F.lit(5), "rep")
+        part = placed.where(F.pmod(h, F.lit(1 << 30)) < share).select("cell", "vec", h.alias("h"))
+        out: dict[int, list] = {}
+        dim = self.dim
+        for r in part.groupBy("cell").applyInArrow(lambda t: _centres(t, dim, want), "cell int, vec binary").collect():
+            out.setdefault(r[0], []).append(np.frombuffer(r[1], np.float32))
+        return {c: np.stack(z) for c, z in out.items()}
 
     def search(self, queries: DataFrame, most: int) -> DataFrame:
         """queries (q, k, vec) to (q, rep, d): at least the k nearest folded vectors found of each query, d squared L2.
 
-        ``most`` is the largest k. A query whose k-th place is not filled keeps searching all cells.
+        ``most`` is the largest k. A query whose k-th place is not filled keeps searching until enough shards are met.
         """
-        q = in_cells(queries.select(F.col("q").cast("long"), F.col("k").cast("int"), "vec"), self.cells, self.dim)
-        q = q.withColumn("pass", F.lit(1))
+        q = queries.select(F.col("q").cast("long"), F.col("k").cast("int"), "vec")
+        q = pin(q.mapInArrow(partial(_place, shards=self.shards, dim=self.dim), "q long, k int, vec binary, shard int"))
         near = pin(self._pass(q, most, True))
-        more = near.where(F.size("more") > 0).select("q", "k", "vec", F.explode("more").alias("cell")).distinct().withColumn("pass", F.lit(2))
+        more = near.where(F.size("more") > 0).select("q", "k", F.explode("more").alias("shard"))
         out = near.select("q", "k", F.explode("found").alias("f"))
         if more.limit(1).count():
+            vec = q.select(F.col("q").alias("vq"), "vec")
+            more = pin(more.join(vec, F.col("q") == F.col("vq")).select("q", "k", "vec", "shard"))
             out = out.unionByName(self._pass(more, most, False).select("q", "k", F.explode("found").alias("f")))
         w = Window.partitionBy("q").orderBy("f.d", "f.rep")
         out = out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("k"))
         return out.select("q", F.col("f.rep").alias("rep"), F.col("f.d").alias("d"))
 
     def _pass(self, q: DataFrame, most: int, route: bool) -> DataFrame:
-        q = pin(q)
-        blocks = {r[0]: -(-r[1] // BLOCK) for r in q.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
-        blocks = blocks or {0: 1}
-        per = F.coalesce(F.element_at(F.lit(_map(blocks)), F.col("cell")), F.lit(0))
-        s = self.shards.withColumn("stripe", (F.col("shard") / STRIPE).cast("int")).withColumn("nb", per).where("nb > 0")
-        s = s.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
-        stripes = F.coalesce(F.element_at(F.lit(_map({c: -(-m // STRIPE) for c, m in self.parts.items()} or {0: 1})), F.col("cell")), F.lit(0))
-        q = q.withColumn("block", F.pmod(F.xxhash64("q"), per).cast("int")).withColumn("ns", stripes).where("ns > 0")
-        q = q.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("ns") - 1))).drop("ns")
-        keys = ["cell", "stripe", "block"]
-        schema = "q long, k int, vec binary, found array<struct<d: double, rep: long>>, more array<int>"
-        dim, cells = self.dim, self.cells if route else None
-        return s.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, dim, most, cells), schema)
+        """One search of each query in the shard it is sent to. Only shards that are asked travel; one that very many
+        queries ask travels once for each ``BLOCK`` of them."""
+        blocks = q.groupBy(F.col("shard").alias("bs")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+        blocks = F.broadcast(blocks)  # at most MOST_SHARDS rows of two numbers
+        g = self.graphs.join(blocks, F.col("shard") == F.col("bs")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        q = q.join(blocks, F.col("shard") == F.col("bs")).withColumn("block", F.pmod(F.xxhash64("q"), F.col("nb")).cast("int"))
+        keys = ["shard", "block"]
+        g, q = g.select(*keys, "rep", "vec", "links", "entry"), q.select(*keys, "q", "k", "vec")
+        schema = "q long, k int, found array<struct<d: double, rep: long>>, more array<int>"
+        dim, shards, sizes = self.dim, self.shards if route else None, self.sizes
+        return g.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, dim, most, shards, sizes), schema)
 
 
 def _map(d: dict[int, int]):
     return F.create_map(*[F.lit(int(x)) for kv in d.items() for x in kv])
 
 
-def _search(shards: pa.Table, queries: pa.Table, dim: int, most: int, cells: Cells | None) -> pa.Table:
+def _search(graph: pa.Table, queries: pa.Table, dim: int, most: int, shards: Shards | None, sizes: np.ndarray) -> pa.Table:
     m = queries.num_rows
     x = matrix(queries["vec"], dim)
-    ids, ds = np.full((m, 0), -1, np.int64), np.full((m, 0), np.inf)
-    for i in range(shards.num_rows if m else 0):
-        n = shards["n"][i].as_py()
-        reps = np.frombuffer(shards["reps"][i].as_py(), np.int64)
-        v = np.frombuffer(shards["vecs"][i].as_py(), np.float32).reshape(n, dim)
-        nbr = np.frombuffer(shards["links"][i].as_py(), np.uint16).astype(np.int64).reshape(n, -1)
-        entry = np.frombuffer(shards["entries"][i].as_py(), np.uint16).astype(np.int64)
+    ids, ds = np.full((m, most), -1, np.int64), np.full((m, most), np.inf)
+    n = graph.num_rows
+    if m and n:
+        graph = graph.sort_by("rep")
+        reps, v = graph["rep"].to_numpy(), matrix(graph["vec"], dim)
+        nbr = np.frombuffer(b"".join(graph["links"].to_pylist()), np.int32).reshape(n, -1).astype(np.int64)
+        turn = graph["entry"].to_numpy()
+        entry = np.flatnonzero(turn >= 0)
+        entry = entry[np.argsort(turn[entry])]
         mid = v.mean(0)
         at, _ = search(v - mid, nbr, entry, x - mid, most, WIDTH + BEAM_PER_K * most)
         ok = at < n
         # exact distances, so that results of different shards compare
-        exact = np.full(at.shape, np.inf)
         for a in range(0, m, 512):
             o = ok[a : a + 512]
             diff = v[np.where(o, at[a : a + 512], 0)].astype(np.float64) - x[a : a + 512, None].astype(np.float64)
-            exact[a : a + 512] = np.where(o, np.einsum("ijk,ijk->ij", diff, diff), np.inf)
-        ids = np.hstack([ids, np.where(ok, np.append(reps, -1)[at], -1)])
-        ds = np.hstack([ds, exact])
-        o = np.argsort(ds, 1, kind="stable")[:, :most]
+            ds[a : a + 512] = np.where(o, np.einsum("ijk,ijk->ij", diff, diff), np.inf)
+        ids = np.where(ok, np.append(reps, -1)[at], -1)
+        o = np.lexsort((ids, ds), axis=1)
         ids, ds = np.take_along_axis(ids, o, 1), np.take_along_axis(ds, o, 1)
     k = queries["k"].to_numpy()
-    full = np.isfinite(ds) & (np.arange(ds.shape[1])[None] < k[:, None]) if m else np.zeros((0, 0), bool)
+    full = np.isfinite(ds) & (np.arange(most)[None] < k[:, None])
     lens = full.sum(1)
     off = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
     found = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(ds[full]), pa.array(ids[full])], ["d", "rep"]))
-    more: list[list[int]] = [[] for _ in range(m)]
-    if cells is not None and m:
-        last = np.where(lens >= k, np.sqrt(np.where(lens > 0, np.take_along_axis(np.hstack([ds, np.full((m, 1), np.inf)]), np.maximum(np.minimum(lens, k) - 1, 0)[:, None], 1)[:, 0], np.inf)), np.inf)
-        for a in range(0, m, 1024):
-            f = cells.far(x[a : a + 1024])
-            h = cells.home(x[a : a + 1024])
+    more: list[np.ndarray] = [np.empty(0, np.int32)] * m
+    if shards is not None and m:
+        last = np.where(lens >= k, np.sqrt(ds[np.arange(m), np.clip(k, 1, most) - 1]), np.inf)
+        step = max(16, (1 << 21) // shards.n)
+        for a in range(0, m, step):
+            part = x[a : a + step]
+            f, h = shards.far(part), shards.home(part)
             f[np.arange(len(h)), h] = np.inf
-            for r, c in zip(*np.nonzero(f <= last[a : a + 1024, None])):
-                if np.isfinite(f[r, c]):
-                    more[a + r].append(int(c))
-    keep = pa.array([v if g else None for v, g in zip(queries["vec"].to_pylist(), more)], pa.binary())
-    return pa.table({"q": queries["q"], "k": queries["k"], "vec": keep, "found": found, "more": pa.array(more, pa.list_(pa.int32()))})
+            f[:, sizes == 0] = np.inf
+            for r in np.flatnonzero((f <= last[a : a + step, None]).any(1)):
+                c = np.flatnonzero(np.isfinite(f[r]) & (f[r] <= last[a + r]))
+                c = c[np.argsort(f[r, c], kind="stable")]
+                enough = int(np.searchsorted(np.cumsum(sizes[c]), k[a + r] - lens[a + r])) + 1 if lens[a + r] < k[a + r] else 0
+                more[a + r] = c[: max(PROBES, enough)].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(z) for z in more])]).astype(np.int32)), pa.array(np.concatenate([*more, np.empty(0, np.int32)])))
+    return pa.table({"q": queries["q"], "k": queries["k"], "found": found, "more": lists})
 
 
 def most_similar(vectors: DataFrame, key: str, queries: DataFrame, dim: int, own: bool = True, most: int | None = None) -> DataFrame:

@@ -93,6 +93,37 @@ class Cells:
         return np.maximum(f - 1e-3 * (1 + np.sqrt(d.min(1)))[:, None], 0)
 
 
+class Shards:
+    """Leaves of two levels of cells: a cell with more vectors than a shard should hold has centres of its own.
+
+    ``home`` names the leaf of a vector, ``far`` bounds from below its distance to any point of each leaf: by the plane
+    between cells and, within a cell, by the plane between the leaf's centre and the nearest one there.
+    """
+
+    def __init__(self, cells: Cells, within: dict[int, np.ndarray]):
+        self.cells, self.within = cells, {c: Cells(z) for c, z in within.items() if len(z) > 1}
+        many = np.array([len(self.within[c].c) if c in self.within else 1 for c in range(len(cells.c))])
+        self.first = np.concatenate([[0], np.cumsum(many)])
+        self.top = np.repeat(np.arange(len(many)), many)
+        self.n = int(self.first[-1])
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        top = self.cells.home(x)
+        leaf = self.first[top]
+        for c, z in self.within.items():
+            k = np.flatnonzero(top == c)
+            if len(k):
+                leaf[k] += z.home(x[k])
+        return leaf
+
+    def far(self, x: np.ndarray) -> np.ndarray:
+        f = self.cells.far(x)[:, self.top]
+        for c, z in self.within.items():
+            part = f[:, self.first[c] : self.first[c + 1]]
+            np.maximum(part, z.far(x), out=part)
+        return f
+
+
 def fit_cells(reps: DataFrame, n: int, dim: int, rows_per_cell: int = 8192) -> Cells:
     """Cells from a sample of about ``SAMPLE`` vectors, chosen by a hash of their key.
 
