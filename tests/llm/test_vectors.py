@@ -96,6 +96,25 @@ def test_most_similar(spark, shard, monkeypatch):
     assert hit >= 0.95 * want_n
 
 
+@pytest.mark.parametrize("shard", [64, 4096])
+def test_nearest_of_each(spark, shard, monkeypatch):
+    monkeypatch.setattr(similar, "SHARD", shard)
+    x = blobs()
+    got = {}
+    for r in similar.nearest_of_each(usable_frame(spark, x), "vec_id", DIM, 5).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["vec_id"], r["d"]))
+    hit = 0
+    for i in range(len(x)):
+        d = ((x.astype(np.float64) - x[i]) ** 2).sum(1)
+        order = [j for j in np.lexsort((np.arange(len(x)), d)) if j != i][:5]
+        have = sorted(got[i])
+        assert [h[0] for h in have] == [1, 2, 3, 4, 5] and all(abs(h[2] - d[h[1]]) < 1e-9 for h in have)
+        hit += len({h[1] for h in have} & set(order))
+    assert hit >= 0.97 * 5 * len(x)
+    assert similar.nearest_of_each(usable_frame(spark, x[:1]), "vec_id", DIM, 5).count() == 0
+    assert similar.nearest_of_each(usable_frame(spark, x[:0]), "vec_id", DIM, 5).count() == 0
+
+
 def test_query_at_an_empty_centre(spark, monkeypatch):
     x = blobs(60, copies=1)
     monkeypatch.setattr(similar, "fit_cells", lambda *_: Cells(np.stack([np.full(DIM, 500.0), x[0], np.full(DIM, -500.0), x[1]])))

@@ -10,7 +10,7 @@ from vecloom.llm.leaks import leaks, without_leaks
 from vecloom.llm.match_groups import match_groups, pairs_of_lists
 from vecloom.llm.mixing import mix, mix_report, with_tokens
 from vecloom.llm.packing import pack, packing_report
-from vecloom.llm.similar import most_similar
+from vecloom.llm.similar import most_similar, nearest_of_each
 from vecloom.llm.similarity_clusters import describe, similarity_clusters
 from vecloom.llm.vectors import usable
 from vecloom.sources.tables import table, uuid_text
@@ -31,9 +31,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, folder: str, k: int = 10) -> DataFrame:
+    near = nearest_of_each(usable_vectors(spark, folder), "vec_id", DIM, k)
+    return near.select(F.col("q").alias("of_vec_id"), "vec_id", "rank", F.round("d", 5).alias("d"))
+
+
+def p1_twentieth(spark: SparkSession, folder: str, k: int = 10) -> DataFrame:
+    """The vectors whose id is divisible by 20 as queries against all."""
     v = usable_vectors(spark, folder)
-    q = v.groupBy("vec_id").agg(F.min("vec").alias("vec")).select(F.col("vec_id").alias("q"), F.lit(k).alias("k"), F.col("vec_id").alias("self"), "vec")
-    return most_similar(v, "vec_id", q, DIM, most=k).select(F.col("q").alias("of_vec_id"), "vec_id", "rank", "d")
+    q = v.where("vec_id % 20 = 0").groupBy("vec_id").agg(F.min("vec").alias("vec")).select(F.col("vec_id").alias("q"), F.lit(k).alias("k"), F.col("vec_id").alias("self"), "vec")
+    return most_similar(v, "vec_id", q, DIM, most=k).select(F.col("q").alias("of_vec_id"), "vec_id", "rank", F.round("d", 5).alias("d"))
 
 
 def _limits(spark: SparkSession, folder: str) -> list[tuple[int, float]]:
@@ -114,7 +120,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restore(docs, garbled_lines(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p4_found, p4_clusters, p5_found, p5_groups, p7_batches, p7_report, p8_found, p8_cleaned, p9_documents, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p1_twentieth, p4_found, p4_clusters, p5_found, p5_groups, p7_batches, p7_report, p8_found, p8_cleaned, p9_documents, p9_report, p10_found, p10_restored)}
 ORACLES: dict[str, str] = {
     "p1_found": """WITH q AS (SELECT DISTINCT request_id, vec_id AS own, k, vector FROM knn_requests WHERE k > 0 AND len(vector) = 64
    AND len(list_filter(vector, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
@@ -122,6 +128,10 @@ ORACLES: dict[str, str] = {
    AND len(list_filter(embedding, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
  d AS (SELECT request_id, vec_id, k, list_distance(vector::DOUBLE[], embedding::DOUBLE[]) AS d FROM q, v WHERE own IS NULL OR own <> vec_id)
  SELECT request_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY d, vec_id) rn FROM d) WHERE rn <= k""",
+    "p1_twentieth": """WITH v AS (SELECT DISTINCT vec_id, embedding FROM vectors WHERE deleted_at IS NULL AND len(embedding) = 64
+   AND len(list_filter(embedding, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
+ d AS (SELECT a.vec_id AS of_vec_id, b.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2 AS d FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+ SELECT of_vec_id, vec_id, rank::INT AS rank, round(d, 5) AS d FROM (SELECT *, row_number() OVER (PARTITION BY of_vec_id ORDER BY d, vec_id) AS rank FROM d) WHERE rank <= 10""",
     "p4_found": """WITH RECURSIVE v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM vectors WHERE deleted_at IS NULL AND len(embedding) = 64
    AND len(list_filter(embedding, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
  near AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.e, b.e) ** 2 AS d FROM v a, v b WHERE a.vec_id < b.vec_id AND abs(a.e[1] - b.e[1]) < 1.3 AND abs(a.e[2] - b.e[2]) < 1.3 AND list_distance(a.e, b.e) ** 2 < 1.7),

@@ -27,11 +27,13 @@ BLOCK = 16_384  # queries of one task
 PROBES = 64  # shards searched for a query besides its own, nearest first, where the planes leave more open
 WIDTH = 64  # beam of a search, besides BEAM_PER_K for each neighbour sought
 BEAM_PER_K = 4
-GRAPH = "shard int, rep long, vec binary, links binary, entry int"
+NEAR = "found array<struct<d: double, rep: long>>, more array<int>"
+GRAPH = f"shard int, rep long, vec binary, links binary, entry int, {NEAR}"
 
 
-def _build(table: pa.Table, dim: int) -> pa.Table:
-    """The graph of one shard, a row per vector in the order of ``rep``: links are positions, entry its turn as entry point."""
+def _build(table: pa.Table, dim: int, each: int, shards: Shards, sizes: np.ndarray) -> pa.Table:
+    """The graph of one shard, a row per vector in the order of ``rep``: links are positions, entry its turn as entry
+    point. With ``each`` it also gives the ``each`` nearest of every vector of the shard."""
     table = table.sort_by("rep")  # the same graph whatever order the rows arrive in
     x = matrix(table["vec"], dim)
     n = len(x)
@@ -40,7 +42,13 @@ def _build(table: pa.Table, dim: int) -> pa.Table:
     turn[entry[::-1]] = np.arange(len(entry), dtype=np.int32)[::-1]
     width = nbr.shape[1] * 4
     links = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(nbr.astype(np.int32).tobytes())])
-    return pa.table({"shard": table["shard"].cast(pa.int32()), "rep": table["rep"], "vec": table["vec"], "links": links, "entry": pa.array(turn)})
+    k = np.full(n if each else 0, each)
+    ids, ds = _nearest(x, table["rep"].to_numpy(), nbr, entry, x[: len(k)], each)
+    found, more = _lists(ids, ds, k, x[: len(k)], shards, sizes) if each else (pa.array([None] * n, FOUND), pa.array([None] * n, pa.list_(pa.int32())))
+    return pa.table({"shard": table["shard"].cast(pa.int32()), "rep": table["rep"], "vec": table["vec"], "links": links, "entry": pa.array(turn), "found": found, "more": more})
+
+
+FOUND = pa.list_(pa.struct([("d", pa.float64()), ("rep", pa.int64())]))
 
 
 def _centres(table: pa.Table, dim: int, n: dict[int, int]) -> pa.Table:
@@ -67,24 +75,23 @@ def _place(it: Iterator[pa.RecordBatch], shards: Shards, dim: int) -> Iterator[p
 
 
 class Index:
-    """Folded vectors and the graphs of their shards."""
+    """Folded vectors and the graphs of their shards; with ``each`` also the ``each`` nearest of every folded vector."""
 
-    def __init__(self, vectors: DataFrame, key: str, dim: int):
-        self.dim, self.key = dim, key
+    def __init__(self, vectors: DataFrame, key: str, dim: int, each: int = 0):
+        self.dim, self.key, self.each = dim, key, each
         self.reps, self.members = fold_copies(vectors, key)
         n = self.reps.count()
         cells = fit_cells(self.reps, n, dim)
-        placed = pin(in_cells(self.reps, cells, dim))
-        sizes = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # one row per cell, at most MOST_CELLS
+        placed = in_cells(self.reps, cells, dim)
+        held = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # one row per cell, at most MOST_CELLS
         room = max(SHARD, -(-n // (MOST_SHARDS // 2)))
-        self.shards = Shards(cells, self._within(placed, {c: -(-2 * m // room) for c, m in sizes.items() if m > room}, sizes))
-        kinds = "rep long, vec binary, shard int"
-        rows = placed.select("rep", "vec").mapInArrow(partial(_place, shards=self.shards, dim=dim), kinds)
-        self.graphs = pin(rows.groupBy("shard").applyInArrow(lambda t: _build(t, dim), GRAPH))
-        drop(placed)
-        self.sizes = np.zeros(self.shards.n, np.int64)
-        for r in self.graphs.groupBy("shard").count().collect():  # at most MOST_SHARDS
-            self.sizes[r[0]] = r[1]
+        self.shards = shards = Shards(cells, self._within(placed, {c: -(-2 * m // room) for c, m in held.items() if m > room}, held))
+        rows = pin(self.reps.mapInArrow(partial(_place, shards=shards, dim=dim), "rep long, vec binary, shard int"))
+        self.sizes = sizes = np.zeros(shards.n, np.int64)
+        for r in rows.groupBy("shard").count().collect():  # at most MOST_SHARDS
+            sizes[r[0]] = r[1]
+        self.graphs = pin(rows.groupBy("shard").applyInArrow(lambda t: _build(t, dim, each, shards, sizes), GRAPH))
+        drop(rows)
 
     def _within(self, placed: DataFrame, want: dict[int, int], sizes: dict[int, int]) -> dict[int, np.ndarray]:
         if not want:
@@ -106,7 +113,15 @@ class Index:
         """
         q = queries.select(F.col("q").cast("long"), F.col("k").cast("int"), "vec")
         q = pin(q.mapInArrow(partial(_place, shards=self.shards, dim=self.dim), "q long, k int, vec binary, shard int"))
-        near = pin(self._pass(q, most, True))
+        return self._further(pin(self._pass(q, most, True)), q, most)
+
+    def nearest_of_each(self) -> DataFrame:
+        """(q, rep, d) for every folded vector q: the ``each`` nearest found, itself among them."""
+        k = F.lit(self.each).alias("k")
+        near = self.graphs.select(F.col("rep").alias("q"), k, "found", "more")
+        return self._further(near, self.graphs.select(F.col("rep").alias("q"), "vec"), self.each)
+
+    def _further(self, near: DataFrame, q: DataFrame, most: int) -> DataFrame:
         more = near.where(F.size("more") > 0).select("q", "k", F.explode("more").alias("shard"))
         out = near.select("q", "k", F.explode("found").alias("f"))
         if more.limit(1).count():
@@ -126,7 +141,7 @@ class Index:
         q = q.join(blocks, F.col("shard") == F.col("bs")).withColumn("block", F.pmod(F.xxhash64("q"), F.col("nb")).cast("int"))
         keys = ["shard", "block"]
         g, q = g.select(*keys, "rep", "vec", "links", "entry"), q.select(*keys, "q", "k", "vec")
-        schema = "q long, k int, found array<struct<d: double, rep: long>>, more array<int>"
+        schema = f"q long, k int, {NEAR}"
         dim, shards, sizes = self.dim, self.shards if route else None, self.sizes
         return g.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, dim, most, shards, sizes), schema)
 
@@ -135,30 +150,27 @@ def _map(d: dict[int, int]):
     return F.create_map(*[F.lit(int(x)) for kv in d.items() for x in kv])
 
 
-def _search(graph: pa.Table, queries: pa.Table, dim: int, most: int, shards: Shards | None, sizes: np.ndarray) -> pa.Table:
-    m = queries.num_rows
-    x = matrix(queries["vec"], dim)
+def _nearest(v: np.ndarray, reps: np.ndarray, nbr: np.ndarray, entry: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest found in a graph for each row of ``x``: (keys, squared L2 in double), -1 and infinity for none."""
+    n, m = len(v), len(x)
     ids, ds = np.full((m, most), -1, np.int64), np.full((m, most), np.inf)
-    n = graph.num_rows
-    if m and n:
-        graph = graph.sort_by("rep")
-        reps, v = graph["rep"].to_numpy(), matrix(graph["vec"], dim)
-        nbr = np.frombuffer(b"".join(graph["links"].to_pylist()), np.int32).reshape(n, -1).astype(np.int64)
-        turn = graph["entry"].to_numpy()
-        entry = np.flatnonzero(turn >= 0)
-        entry = entry[np.argsort(turn[entry])]
-        mid = v.mean(0)
-        at, _ = search(v - mid, nbr, entry, x - mid, most, WIDTH + BEAM_PER_K * most)
-        ok = at < n
-        # exact distances, so that results of different shards compare
-        for a in range(0, m, 512):
-            o = ok[a : a + 512]
-            diff = v[np.where(o, at[a : a + 512], 0)].astype(np.float64) - x[a : a + 512, None].astype(np.float64)
-            ds[a : a + 512] = np.where(o, np.einsum("ijk,ijk->ij", diff, diff), np.inf)
-        ids = np.where(ok, np.append(reps, -1)[at], -1)
-        o = np.lexsort((ids, ds), axis=1)
-        ids, ds = np.take_along_axis(ids, o, 1), np.take_along_axis(ds, o, 1)
-    k = queries["k"].to_numpy()
+    if not m or not n:
+        return ids, ds
+    mid = v.mean(0)
+    at, _ = search(v - mid, nbr, entry, x - mid, most, WIDTH + BEAM_PER_K * most)
+    ok = at < n
+    for a in range(0, m, 512):  # exact distances, so that results of different shards compare
+        o = ok[a : a + 512]
+        diff = v[np.where(o, at[a : a + 512], 0)].astype(np.float64) - x[a : a + 512, None].astype(np.float64)
+        ds[a : a + 512] = np.where(o, np.einsum("ijk,ijk->ij", diff, diff), np.inf)
+    ids = np.where(ok, np.append(reps, -1)[at], -1)
+    o = np.lexsort((ids, ds), axis=1)
+    return np.take_along_axis(ids, o, 1), np.take_along_axis(ds, o, 1)
+
+
+def _lists(ids: np.ndarray, ds: np.ndarray, k: np.ndarray, x: np.ndarray, shards: Shards | None, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """What each query found, and the other shards that can hold something nearer."""
+    m, most = ds.shape
     full = np.isfinite(ds) & (np.arange(most)[None] < k[:, None])
     lens = full.sum(1)
     off = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
@@ -178,7 +190,19 @@ def _search(graph: pa.Table, queries: pa.Table, dim: int, most: int, shards: Sha
                 enough = int(np.searchsorted(np.cumsum(sizes[c]), k[a + r] - lens[a + r])) + 1 if lens[a + r] < k[a + r] else 0
                 more[a + r] = c[: max(PROBES, enough)].astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(z) for z in more])]).astype(np.int32)), pa.array(np.concatenate([*more, np.empty(0, np.int32)])))
-    return pa.table({"q": queries["q"], "k": queries["k"], "found": found, "more": lists})
+    return found, lists
+
+
+def _search(graph: pa.Table, queries: pa.Table, dim: int, most: int, shards: Shards | None, sizes: np.ndarray) -> pa.Table:
+    x, n = matrix(queries["vec"], dim), graph.num_rows
+    graph = graph.sort_by("rep")
+    nbr = np.frombuffer(b"".join(graph["links"].to_pylist()), np.int32).reshape(n, -1).astype(np.int64) if n else np.empty((0, 0), np.int64)
+    turn = graph["entry"].to_numpy()
+    entry = np.flatnonzero(turn >= 0)
+    entry = entry[np.argsort(turn[entry])]
+    ids, ds = _nearest(matrix(graph["vec"], dim), graph["rep"].to_numpy(), nbr, entry, x, most)
+    found, more = _lists(ids, ds, queries["k"].to_numpy(), x, shards, sizes)
+    return pa.table({"q": queries["q"], "k": queries["k"], "found": found, "more": more})
 
 
 def most_similar(vectors: DataFrame, key: str, queries: DataFrame, dim: int, own: bool = True, most: int | None = None) -> DataFrame:
@@ -194,11 +218,30 @@ def most_similar(vectors: DataFrame, key: str, queries: DataFrame, dim: int, own
         most = queries.agg(F.max("k")).first()[0] or 1
     index = Index(vectors, key, dim)
     found = index.search(queries.select("q", (F.col("k") + 1).alias("k"), "vec"), most + 1)
-    # of a group of copies the k + 1 smallest keys suffice; the group limit runs before the shuffle, so a hot group stays small
-    w = Window.partitionBy("rep").orderBy(key)
-    members = index.members.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most + 1).drop("rn").withColumnRenamed("rep", "mrep")
+    members = _first(index, most + 1)
     j = found.join(members, F.col("rep") == F.col("mrep")).select(F.col("q"), key, "d")
     mine = queries.select(F.col("q").alias("qq"), F.col("k").alias("qk"), (F.col("self") if own else F.lit(None).cast("long")).alias("qs"))
     j = j.join(mine, F.col("q") == F.col("qq")).where(F.col("qs").isNull() | (F.col("qs") != F.col(key)))
     j = j.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", key))).where(F.col("rank") <= F.col("qk"))
     return j.select("q", key, "rank", "d")
+
+
+def _first(index: Index, n: int) -> DataFrame:
+    """(key, mrep): of a group of copies the n smallest keys suffice as results; the group limit runs before the shuffle,
+    so a hot group stays small."""
+    w = Window.partitionBy("rep").orderBy(index.key)
+    return index.members.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn").withColumnRenamed("rep", "mrep")
+
+
+def nearest_of_each(vectors: DataFrame, key: str, dim: int, k: int) -> DataFrame:
+    """(q, key, rank, d): the k nearest other vectors of every vector (key, vec), ties to the smaller key.
+
+    Every graph answers its own vectors where it is built. Copies share one search; each leaves itself out. Null keys
+    have no rows, fewer than two vectors give none.
+    """
+    index = Index(vectors, key, dim, k + 1)
+    found = index.nearest_of_each().join(_first(index, k + 1), F.col("rep") == F.col("mrep")).select("q", F.col(key).alias("_near"), "d")
+    near = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "_near"))), 1, k + 1).alias("near"))  # at most (k + 1)^2 each
+    mine = index.members.select(F.col(key).alias("_own"), F.col("rep").alias("_of"))
+    j = mine.join(near, F.col("_of") == F.col("q")).select("_own", F.slice(F.filter("near", lambda z: z["_near"] != F.col("_own")), 1, k).alias("near"))
+    return j.select(F.col("_own").alias("q"), F.posexplode("near").alias("pos", "n")).select("q", F.col("n._near").alias(key), (F.col("pos") + 1).alias("rank"), "n.d")
