@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.graph_index import build, search
-from vecloom.llm.vectors import Cells, Shards, binary, fit_cells, fold_copies, in_cells, matrix
+from vecloom.llm.vectors import Cells, Shards, binary, fit_cells, fold_groups, in_cells, matrix
 from vecloom.session import drop, pin
 
 SHARD = 8192  # vectors a graph should hold
@@ -27,8 +27,8 @@ BLOCK = 16_384  # queries of one task
 PROBES = 64  # shards searched for a query besides its own, nearest first, where the planes leave more open
 WIDTH = 64  # beam of a search, besides BEAM_PER_K for each neighbour sought
 BEAM_PER_K = 4
-NEAR = "found array<struct<d: double, rep: long>>, more array<int>"
-GRAPH = f"shard int, rep long, vec binary, links binary, entry int, {NEAR}"
+NEAR = "found array<struct<d: double, id: long>>, more array<int>"
+GRAPH = f"shard int, rep long, vec binary, copies array<long>, links binary, entry int, {NEAR}"
 
 
 def _build(table: pa.Table, dim: int, each: int, shards: Shards, sizes: np.ndarray) -> pa.Table:
@@ -43,12 +43,12 @@ def _build(table: pa.Table, dim: int, each: int, shards: Shards, sizes: np.ndarr
     width = nbr.shape[1] * 4
     links = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(nbr.astype(np.int32).tobytes())])
     k = np.full(n if each else 0, each)
-    ids, ds = _nearest(x, table["rep"].to_numpy(), nbr, entry, x[: len(k)], each)
+    ids, ds = _nearest(x, table["rep"].to_numpy(), table["copies"], nbr, entry, x[: len(k)], each)
     found, more = _lists(ids, ds, k, x[: len(k)], shards, sizes) if each else (pa.array([None] * n, FOUND), pa.array([None] * n, pa.list_(pa.int32())))
-    return pa.table({"shard": table["shard"].cast(pa.int32()), "rep": table["rep"], "vec": table["vec"], "links": links, "entry": pa.array(turn), "found": found, "more": more})
+    return pa.table({"shard": table["shard"].cast(pa.int32()), "rep": table["rep"], "vec": table["vec"], "copies": table["copies"], "links": links, "entry": pa.array(turn), "found": found, "more": more})
 
 
-FOUND = pa.list_(pa.struct([("d", pa.float64()), ("rep", pa.int64())]))
+FOUND = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
 
 
 def _centres(table: pa.Table, dim: int, n: dict[int, int]) -> pa.Table:
@@ -75,11 +75,19 @@ def _place(it: Iterator[pa.RecordBatch], shards: Shards, dim: int) -> Iterator[p
 
 
 class Index:
-    """Folded vectors and the graphs of their shards; with ``each`` also the ``each`` nearest of every folded vector."""
+    """Folded vectors and the graphs of their shards; with ``each`` also the ``each`` nearest of every folded vector.
 
-    def __init__(self, vectors: DataFrame, key: str, dim: int, each: int = 0):
-        self.dim, self.key, self.each = dim, key, each
-        self.reps, self.members = fold_copies(vectors, key)
+    Of a group of copies at most ``most`` keys are results: the smallest; they stand beside the vector in its graph.
+    """
+
+    def __init__(self, vectors: DataFrame, key: str, dim: int, most: int, each: int = 0):
+        self.dim, self.each = dim, each
+        self.reps, self.groups = fold_groups(vectors, key)
+        self.key = key
+        # the group limit runs before the shuffle, so a hot group stays small
+        w = Window.partitionBy("rep").orderBy(key)
+        few = self.groups.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+        copies = pin(few.groupBy(F.col("rep").alias("crep")).agg(F.sort_array(F.collect_list(key)).alias("copies")))
         n = self.reps.count()
         cells = fit_cells(self.reps, n, dim)
         placed = in_cells(self.reps, cells, dim)
@@ -87,10 +95,11 @@ class Index:
         room = max(SHARD, -(-n // (MOST_SHARDS // 2)))
         self.shards = shards = Shards(cells, self._within(placed, {c: -(-2 * m // room) for c, m in held.items() if m > room}, held))
         rows = pin(self.reps.mapInArrow(partial(_place, shards=shards, dim=dim), "rep long, vec binary, shard int"))
+        whole = rows.join(copies, F.col("rep") == F.col("crep"), "left").drop("crep")
         self.sizes = sizes = np.zeros(shards.n, np.int64)
         for r in rows.groupBy("shard").count().collect():  # at most MOST_SHARDS
             sizes[r[0]] = r[1]
-        self.graphs = pin(rows.groupBy("shard").applyInArrow(lambda t: _build(t, dim, each, shards, sizes), GRAPH))
+        self.graphs = pin(whole.groupBy("shard").applyInArrow(lambda t: _build(t, dim, each, shards, sizes), GRAPH))
         drop(rows)
 
     def _within(self, placed: DataFrame, want: dict[int, int], sizes: dict[int, int]) -> dict[int, np.ndarray]:
@@ -107,7 +116,7 @@ class Index:
         return {c: np.stack(z) for c, z in out.items()}
 
     def search(self, queries: DataFrame, most: int) -> DataFrame:
-        """queries (q, k, vec) to (q, rep, d): at least the k nearest folded vectors found of each query, d squared L2.
+        """queries (q, k, vec) to (q, near): the k nearest keys found of each query, as an array of (d, id) by d and id.
 
         ``most`` is the largest k. A query whose k-th place is not filled keeps searching until enough shards are met.
         """
@@ -116,21 +125,22 @@ class Index:
         return self._further(pin(self._pass(q, most, True)), q, most)
 
     def nearest_of_each(self) -> DataFrame:
-        """(q, rep, d) for every folded vector q: the ``each`` nearest found, itself among them."""
-        k = F.lit(self.each).alias("k")
-        near = self.graphs.select(F.col("rep").alias("q"), k, "found", "more")
+        """(q, near) for every folded vector q: the ``each`` nearest keys found, its own among them."""
+        near = self.graphs.select(F.col("rep").alias("q"), F.lit(self.each).alias("k"), "found", "more")
         return self._further(near, self.graphs.select(F.col("rep").alias("q"), "vec"), self.each)
 
     def _further(self, near: DataFrame, q: DataFrame, most: int) -> DataFrame:
-        more = near.where(F.size("more") > 0).select("q", "k", F.explode("more").alias("shard"))
-        out = near.select("q", "k", F.explode("found").alias("f"))
-        if more.limit(1).count():
-            vec = q.select(F.col("q").alias("vq"), "vec")
-            more = pin(more.join(vec, F.col("q") == F.col("vq")).select("q", "k", "vec", "shard"))
-            out = out.unionByName(self._pass(more, most, False).select("q", "k", F.explode("found").alias("f")))
-        w = Window.partitionBy("q").orderBy("f.d", "f.rep")
-        out = out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("k"))
-        return out.select("q", F.col("f.rep").alias("rep"), F.col("f.d").alias("d"))
+        done = near.where(F.size("more") == 0).select("q", F.col("found").alias("near"))
+        open_ = near.where(F.size("more") > 0)
+        more = open_.select("q", "k", F.explode("more").alias("shard"))
+        if not more.limit(1).count():
+            return done
+        vec = q.select(F.col("q").alias("vq"), "vec")
+        more = pin(more.join(vec, F.col("q") == F.col("vq")).select("q", "k", "vec", "shard"))
+        both = open_.select("q", "k", "found").unionByName(self._pass(more, most, False).select("q", "k", "found"))
+        # a query has at most PROBES more lists, or as many as it takes to fill its places
+        lists = both.groupBy("q", "k").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("near"))
+        return done.unionByName(lists.select("q", F.slice("near", F.lit(1), F.col("k")).alias("near")))
 
     def _pass(self, q: DataFrame, most: int, route: bool) -> DataFrame:
         """One search of each query in the shard it is sent to. Only shards that are asked travel; one that very many
@@ -140,7 +150,7 @@ class Index:
         g = self.graphs.join(blocks, F.col("shard") == F.col("bs")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         q = q.join(blocks, F.col("shard") == F.col("bs")).withColumn("block", F.pmod(F.xxhash64("q"), F.col("nb")).cast("int"))
         keys = ["shard", "block"]
-        g, q = g.select(*keys, "rep", "vec", "links", "entry"), q.select(*keys, "q", "k", "vec")
+        g, q = g.select(*keys, "rep", "vec", "copies", "links", "entry"), q.select(*keys, "q", "k", "vec")
         schema = f"q long, k int, {NEAR}"
         dim, shards, sizes = self.dim, self.shards if route else None, self.sizes
         return g.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, dim, most, shards, sizes), schema)
@@ -150,8 +160,8 @@ def _map(d: dict[int, int]):
     return F.create_map(*[F.lit(int(x)) for kv in d.items() for x in kv])
 
 
-def _nearest(v: np.ndarray, reps: np.ndarray, nbr: np.ndarray, entry: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` nearest found in a graph for each row of ``x``: (keys, squared L2 in double), -1 and infinity for none."""
+def _nearest(v: np.ndarray, reps: np.ndarray, copies: pa.ChunkedArray, nbr: np.ndarray, entry: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest keys found in a graph for each row of ``x``: (keys, squared L2 in double), -1 and infinity for none."""
     n, m = len(v), len(x)
     ids, ds = np.full((m, most), -1, np.int64), np.full((m, most), np.inf)
     if not m or not n:
@@ -165,7 +175,15 @@ def _nearest(v: np.ndarray, reps: np.ndarray, nbr: np.ndarray, entry: np.ndarray
         ds[a : a + 512] = np.where(o, np.einsum("ijk,ijk->ij", diff, diff), np.inf)
     ids = np.where(ok, np.append(reps, -1)[at], -1)
     o = np.lexsort((ids, ds), axis=1)
-    return np.take_along_axis(ids, o, 1), np.take_along_axis(ds, o, 1)
+    ids, ds, at = np.take_along_axis(ids, o, 1), np.take_along_axis(ds, o, 1), np.take_along_axis(at, o, 1)
+    several = {k: z for k, z in enumerate(copies.to_pylist()) if z} if copies.null_count < n else {}
+    if several:
+        shared = np.append(np.isin(np.arange(n), list(several)), False)
+        for r in np.flatnonzero(shared[at].any(1)):
+            every = sorted((d, key) for d, p in zip(ds[r].tolist(), at[r].tolist()) if p < n for key in several.get(p) or (int(reps[p]),))[:most]
+            ids[r, : len(every)] = [z[1] for z in every]
+            ds[r, : len(every)] = [z[0] for z in every]
+    return ids, ds
 
 
 def _lists(ids: np.ndarray, ds: np.ndarray, k: np.ndarray, x: np.ndarray, shards: Shards | None, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -174,7 +192,7 @@ def _lists(ids: np.ndarray, ds: np.ndarray, k: np.ndarray, x: np.ndarray, shards
     full = np.isfinite(ds) & (np.arange(most)[None] < k[:, None])
     lens = full.sum(1)
     off = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-    found = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(ds[full]), pa.array(ids[full])], ["d", "rep"]))
+    found = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(ds[full]), pa.array(ids[full])], ["d", "id"]))
     more: list[np.ndarray] = [np.empty(0, np.int32)] * m
     if shards is not None and m:
         last = np.where(lens >= k, np.sqrt(ds[np.arange(m), np.clip(k, 1, most) - 1]), np.inf)
@@ -200,7 +218,7 @@ def _search(graph: pa.Table, queries: pa.Table, dim: int, most: int, shards: Sha
     turn = graph["entry"].to_numpy()
     entry = np.flatnonzero(turn >= 0)
     entry = entry[np.argsort(turn[entry])]
-    ids, ds = _nearest(matrix(graph["vec"], dim), graph["rep"].to_numpy(), nbr, entry, x, most)
+    ids, ds = _nearest(matrix(graph["vec"], dim), graph["rep"].to_numpy(), graph["copies"], nbr, entry, x, most)
     found, more = _lists(ids, ds, queries["k"].to_numpy(), x, shards, sizes)
     return pa.table({"q": queries["q"], "k": queries["k"], "found": found, "more": more})
 
@@ -216,21 +234,17 @@ def most_similar(vectors: DataFrame, key: str, queries: DataFrame, dim: int, own
     queries = queries.where(F.col("k") > 0)
     if most is None:
         most = queries.agg(F.max("k")).first()[0] or 1
-    index = Index(vectors, key, dim)
-    found = index.search(queries.select("q", (F.col("k") + 1).alias("k"), "vec"), most + 1)
-    members = _first(index, most + 1)
-    j = found.join(members, F.col("rep") == F.col("mrep")).select(F.col("q"), key, "d")
+    index = Index(vectors, key, dim, most + 1)
+    near = index.search(queries.select("q", (F.col("k") + 1).alias("k"), "vec"), most + 1)
     mine = queries.select(F.col("q").alias("qq"), F.col("k").alias("qk"), (F.col("self") if own else F.lit(None).cast("long")).alias("qs"))
-    j = j.join(mine, F.col("q") == F.col("qq")).where(F.col("qs").isNull() | (F.col("qs") != F.col(key)))
-    j = j.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", key))).where(F.col("rank") <= F.col("qk"))
-    return j.select("q", key, "rank", "d")
+    j = near.join(mine, F.col("q") == F.col("qq"))
+    others = F.filter("near", lambda z: F.col("qs").isNull() | (z["id"] != F.col("qs")))
+    return _ranked(j.select("q", F.slice(others, F.lit(1), F.col("qk")).alias("near")), key)
 
 
-def _first(index: Index, n: int) -> DataFrame:
-    """(key, mrep): of a group of copies the n smallest keys suffice as results; the group limit runs before the shuffle,
-    so a hot group stays small."""
-    w = Window.partitionBy("rep").orderBy(index.key)
-    return index.members.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn").withColumnRenamed("rep", "mrep")
+def _ranked(near: DataFrame, key: str) -> DataFrame:
+    r = near.select("q", F.posexplode("near").alias("pos", "n"))
+    return r.select("q", F.col("n.id").alias(key), (F.col("pos") + 1).alias("rank"), "n.d")
 
 
 def nearest_of_each(vectors: DataFrame, key: str, dim: int, k: int) -> DataFrame:
@@ -239,9 +253,9 @@ def nearest_of_each(vectors: DataFrame, key: str, dim: int, k: int) -> DataFrame
     Every graph answers its own vectors where it is built. Copies share one search; each leaves itself out. Null keys
     have no rows, fewer than two vectors give none.
     """
-    index = Index(vectors, key, dim, k + 1)
-    found = index.nearest_of_each().join(_first(index, k + 1), F.col("rep") == F.col("mrep")).select("q", F.col(key).alias("_near"), "d")
-    near = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "_near"))), 1, k + 1).alias("near"))  # at most (k + 1)^2 each
-    mine = index.members.select(F.col(key).alias("_own"), F.col("rep").alias("_of"))
-    j = mine.join(near, F.col("_of") == F.col("q")).select("_own", F.slice(F.filter("near", lambda z: z["_near"] != F.col("_own")), 1, k).alias("near"))
-    return j.select(F.col("_own").alias("q"), F.posexplode("near").alias("pos", "n")).select("q", F.col("n._near").alias(key), (F.col("pos") + 1).alias("rank"), "n.d")
+    index = Index(vectors, key, dim, k + 1, k + 1)
+    near = index.nearest_of_each()
+    again = index.groups.where(F.col(key) != F.col("rep")).select(F.col(key).alias("own"), F.col("rep").alias("of"))
+    near = near.select(F.col("q").alias("own"), "near").unionByName(near.join(again, F.col("q") == F.col("of")).select("own", "near"))
+    others = F.filter("near", lambda z: z["id"] != F.col("own"))
+    return _ranked(near.select(F.col("own").alias("q"), F.slice(others, 1, k).alias("near")), key)

@@ -65,6 +65,17 @@ def fold_copies(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return reps.select("rep", "vec"), members
 
 
+def fold_groups(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(reps: rep, vec; groups: key, rep): as ``fold_copies``, but groups names only keys that share their vector with
+    another key, so that nothing else has to be joined."""
+    h = vectors.where(F.col(key).isNotNull()).select(key, "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
+    best = h.groupBy("h1", "h2").agg(F.min(F.struct(F.col(key).alias("rep"), "vec")).alias("m"), F.max(key).alias("last"))
+    reps = pin(best.select("h1", "h2", F.col("m.rep").alias("rep"), F.col("m.vec").alias("vec"), "last"))
+    several = reps.where("last > rep").select("h1", "h2", "rep")
+    groups = pin(h.select(key, "h1", "h2").join(several, ["h1", "h2"]).select(key, "rep").distinct())
+    return reps.select("rep", "vec"), groups
+
+
 class Cells:
     """Voronoi cells of centres fitted on a bounded sample. ``far`` gives the least distance a cell's points can have."""
 
