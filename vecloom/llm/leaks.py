@@ -3,45 +3,58 @@
 The items are a given, small table; their automaton over words (at most twice as many states as words) goes to every
 task. A page is first put into reading order: columns are found from the boxes of its lines, lines that run across
 columns are divided at the gaps, words broken at line ends are joined. Words are compared without case, punctuation
-and by letter classes that a scan confuses. For each word the automaton gives the longest run of words up to it that
+and accents, by letter classes that a scan confuses, and where symbols are in the wrong encoding by the other letters. For each word the automaton gives the longest run of words up to it that
 stands in some item; where an advert interrupts a column the run may go on after it.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_CHARACTERS = 20_000_000  # of all items together
 LEAST = 12  # consecutive words, or a whole shorter item
 SEED = 3  # shortest run kept for joining across an interruption
-GAP_LINES = 5  # whole lines that may interrupt a run
+GAP_LINES = 12  # whole lines that may interrupt a run
 BREAKS = "-¬=­‐‑"  # marks of a word broken at a line end
 INDENT = 12  # pixels by which an advert's line is set off its column
 #: Letters that a scan confuses, each group counted as its first member (after lower case).
 PAIRS = (("rn", "m"), ("vv", "w"))
 GROUPS = ("ceao0", "il1", "tfs5", "un", "hb8", "gq", "vy")
 _FOLD = str.maketrans({ch: g[0] for g in GROUPS for ch in g})
+#: Latin letters that have no decomposition.
+_PLAIN = str.maketrans({"ł": "l", "đ": "d", "ø": "o", "ı": "i", "æ": "ae", "œ": "oe", "ß": ""})
+
+
+def _classes(letters: str) -> str:
+    for a, b in PAIRS:
+        letters = letters.replace(a, b)
+    return letters.translate(_FOLD).replace("tt", "")  # sharp s is left out, so is its spelling ss
 
 
 def fold(word: str) -> str:
-    """A word as it is compared: lower case, letters and digits only, letters a scan confuses made equal.
+    """A word as it is compared: lower case, letters and digits only, accents taken off, letters a scan confuses made
+    equal; letters of other scripts stay. Empty for what is no word."""
+    low = word.lower()
+    if low.isascii():
+        return _classes("".join(ch for ch in low if ch.isalnum())) or ("~" if any(ch.isalnum() for ch in low) else "")
+    plain = "".join(ch for ch in unicodedata.normalize("NFKD", low.translate(_PLAIN)) if ch.isalnum())
+    if not plain or (not any(ch.isascii() for ch in plain) and 2 * sum(ch.isalnum() for ch in low) < len(low)):
+        return ""  # marks, among them a dash in the wrong encoding
+    return _classes(plain) or "~"
 
-    Letters outside ASCII are left out, since a page in the wrong encoding shows others in their place; so are sharp s
-    and its spelling ss. A word of such letters alone is "~", so that it still counts as a word.
-    """
-    w = "".join(ch for ch in word.lower() if ch.isalnum())
-    if not w:
-        return ""
-    for a, b in PAIRS:
-        w = w.replace(a, b)
-    w = "".join(ch for ch in w if ch.isascii()).translate(_FOLD).replace("tt", "")
-    return w or "~"
+
+def skeleton(word: str) -> str:
+    """The ASCII letters of a word: what is left of it where the others are in the wrong encoding."""
+    return _classes("".join(ch for ch in word.lower() if ch.isascii() and ch.isalnum()))
 
 
 class Automaton:
@@ -49,13 +62,14 @@ class Automaton:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.words: dict[str, int] = {}
+        self.bare: dict[str, int] = {}  # by the ASCII letters of words that have others
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
         ends: list[list[tuple[int, int]]] = [[]]
         self.size: dict[int, int] = {}
         short: list[tuple[int, int]] = []
         for item, text in items:
-            seq = [self.words.setdefault(w, len(self.words)) for w in (fold(t) for t in (text or "").split()) if w]
+            seq = [self._add(w, t) for w, t in ((fold(t), t) for t in (text or "").split()) if w]
             if not seq:
                 continue
             self.size[item] = len(seq)
@@ -79,6 +93,24 @@ class Automaton:
             up = self.whole[self.link[s]] if self.link[s] > 0 else ()
             self.whole[s] = (*up, *own[s])
 
+    def _add(self, w: str, word: str) -> int:
+        k = self.words.setdefault(w, len(self.words))
+        if not word.isascii():
+            self.bare.setdefault(skeleton(word), k)
+        return k
+
+    def lookup(self, word: str) -> int:
+        """Number of a page's word among the items' words; -1 if it is none of them, -2 if it is no word. A word with
+        symbols outside ASCII that is none as it stands may be one of theirs in the wrong encoding."""
+        w = fold(word)
+        if not w:  # a line or a root sign stands for a letter only where the encoding is wrong
+            strange = any(ch > "\xff" and unicodedata.category(ch) in ("Sm", "So") for ch in word)
+            return self.bare.get("", -2) if strange else -2
+        k = self.words.get(w)
+        if k is None and not word.isascii():
+            k = self.bare.get(skeleton(word))
+        return -1 if k is None else k
+
     def _new(self, length: int, ends: list) -> int:
         self.next.append({}), self.len.append(length), self.link.append(0), ends.append([])
         return len(self.len) - 1
@@ -109,7 +141,11 @@ class Automaton:
         return c
 
 
-def columns(text: str, boxes: list[dict] | None) -> list[list[tuple[int, int, int, bool]]]:
+PIECE = re.compile(r"\S+(?:[^\S\t]\S+)*")
+Boxes = list[tuple[int, int, int] | None] | list[dict | None]  # left, right and upper edge, or the struct itself
+
+
+def columns(text: str, boxes: Boxes | None) -> list[list[tuple[int, int, int, bool]]]:
     """Reading order: for each column its pieces (line number, start, end, set off), top to bottom.
 
     Starts of columns are where lines begin: left edges more than 100 pixels apart form groups. A line that runs
@@ -118,17 +154,23 @@ def columns(text: str, boxes: list[dict] | None) -> list[list[tuple[int, int, in
     a box count as one column in the order given.
     """
     lines = text.split("\n")
-    if not boxes or len(boxes) != len(lines) or any(b is None or b["x0"] is None or b["x1"] is None or b["y0"] is None for b in boxes):
+    if boxes and isinstance(boxes[0], dict):
+        boxes = [b and (b["x0"], b["x1"], b["y0"]) for b in boxes]
+    if not boxes or len(boxes) != len(lines) or any(b is None or None in b for b in boxes):
         return [[(no, 0, len(ln), False) for no, ln in enumerate(lines)]]
-    left = min(b["x0"] for b in boxes)
+    left = min(b[0] for b in boxes)
     spans = []
     widths = []
-    for ln, b in zip(lines, boxes):
-        parts = [(m.start(), m.end()) for m in re.finditer(r"\S+(?: \S+)*", ln)]
+    for ln, (x0, x1, _) in zip(lines, boxes):
+        if "  " in ln or "\t" in ln or not ln:
+            parts = [(m.start(), m.end()) for m in PIECE.finditer(ln)]
+        else:
+            end = len(ln.rstrip())
+            parts = [(len(ln) - len(ln.lstrip()), end)] if end else []
         spans.append(parts)
         if len(parts) == 1 and len(ln) > 8:
-            widths.append((b["x1"] - b["x0"]) / len(ln))
-    single = [b["x0"] for p, b in zip(spans, boxes) if len(p) <= 1]
+            widths.append((x1 - x0) / len(ln))
+    single = [b[0] for p, b in zip(spans, boxes) if len(p) <= 1]
     starts: list[int] = []
     for x in sorted([left, *single]):
         if not starts or x - starts[-1] > 100:
@@ -142,7 +184,7 @@ def columns(text: str, boxes: list[dict] | None) -> list[list[tuple[int, int, in
         usual = max((k for k in counts if k > 1 and counts[k] >= 2), key=lambda k: (counts[k], k), default=most)
         cw = sorted(widths)[len(widths) // 2] if widths else 9.3
         if len(starts) < usual:
-            wide = [(b["x0"], b["x1"], p, ln) for p, b, ln in zip(spans, boxes, lines) if len(p) == usual]
+            wide = [(b[0], b[1], p, ln) for p, b, ln in zip(spans, boxes, lines) if len(p) == usual]
             for k in range(1, usual):
                 # a last piece ends where its line's box ends, so the last column begins its own length before
                 if k == usual - 1:
@@ -161,20 +203,20 @@ def columns(text: str, boxes: list[dict] | None) -> list[list[tuple[int, int, in
     for no, (p, b) in enumerate(zip(spans, boxes)):
         if not p:
             continue
-        first = min(range(n), key=lambda c: abs(starts[c] - b["x0"]))
-        away = b["x0"] - starts[first] >= INDENT
+        first = min(range(n), key=lambda c: abs(starts[c] - b[0]))
+        away = b[0] - starts[first] >= INDENT
         if len(p) == 1:
             cols[first].append((no, *p[0], away))
             continue
-        across = b["x1"] - b["x0"]
-        room = (starts[first + 1] if first + 1 < n else b["x1"] + 1) - b["x0"]
+        across = b[1] - b[0]
+        room = (starts[first + 1] if first + 1 < n else b[1] + 1) - b[0]
         if n == 1 or across <= room:  # the blanks stand inside one column
             cols[first].append((no, p[0][0], p[-1][1], away))
             continue
         groups = _divide(p, n - first, fits)
         for k, (s, e) in enumerate(groups):
-            cols[min(first + k, n - 1) if k < len(groups) - 1 or len(groups) == n - first else n - 1 if b["x1"] > starts[n - 1] else min(first + k, n - 1)].append((no, s, e, away and k == 0))
-    top = [b["y0"] for b in boxes]
+            cols[min(first + k, n - 1) if k < len(groups) - 1 or len(groups) == n - first else n - 1 if b[1] > starts[n - 1] else min(first + k, n - 1)].append((no, s, e, away and k == 0))
+    top = [b[2] for b in boxes]
     return [sorted(c, key=lambda piece: (top[piece[0]], piece[0])) for c in cols if c]
 
 
@@ -212,6 +254,40 @@ def _stream(text: str, column: list[tuple[int, int, int, bool]], lines: list[str
     return out
 
 
+def _numbers(auto: Automaton, cache: dict[str, int], column: list[tuple[int, int, int, bool]], lines: list[str]) -> tuple[list[int], list[int]]:
+    """As ``_stream``, but only the numbers of the words and the piece each begins in."""
+    ids: list[int] = []
+    piece: list[int] = []
+    held, first, last, known = "", 0, len(column) - 1, cache.get
+    for k, (no, s, e, _) in enumerate(column):
+        words = lines[no][s:e].split()
+        if not words:
+            continue
+        at = k
+        if held:
+            words[0] = held + words[0]
+            at, held = first, ""
+        if k < last and len(words[-1]) > 1 and words[-1][-1] in BREAKS:
+            held, first = words.pop()[:-1], at if len(words) == 0 else k
+        got = list(map(known, words))
+        if None in got:
+            for n, w in enumerate(words):
+                if got[n] is None:
+                    got[n] = cache[w] = auto.lookup(w)
+        where = [at, *([k] * (len(got) - 1))] if got else []
+        if -2 in got:
+            where = [z for z, v in zip(where, got) if v != -2]
+            got = [v for v in got if v != -2]
+        ids += got
+        piece += where
+    if held:
+        v = auto.lookup(held)
+        if v != -2:
+            ids.append(v)
+            piece.append(first)
+    return ids, piece
+
+
 def _runs(auto: Automaton, ids: list[int]) -> tuple[set[int], list[tuple[int, int]], list[tuple[int, int, int]]]:
     """(short items met whole, runs that cannot be extended: (last word, length) of at least SEED words,
     words that end a run of at least LEAST words: (word, state, length))."""
@@ -274,7 +350,7 @@ def _spell(auto: Automaton, ids: list[int], last: int, n: int) -> int:
     return s
 
 
-def _continued(auto: Automaton, ids: list[int], kept: list[tuple[str, int, int, int]], runs: list[tuple[int, int]]) -> set[tuple[int, tuple[int, int, int, int]]]:
+def _continued(auto: Automaton, ids: list[int], piece: list[int], runs: list[tuple[int, int]]) -> set[tuple[int, tuple[int, int, int, int]]]:
     """(item, (first word, last word, first and last word in the item)) of the runs after or before which the item goes
     on across whole lines. Of two runs the one with fewer places in the items is listed, the other looked up."""
     out = set()
@@ -284,7 +360,7 @@ def _continued(auto: Automaton, ids: list[int], kept: list[tuple[str, int, int,
         for y in range(x + 1, len(runs)):
             end, m = runs[y]
             first = end - m + 1
-            skipped = kept[first][1] - kept[last][1]
+            skipped = piece[first] - piece[last]
             if skipped > GAP_LINES + 1:
                 break
             if first - last <= 1 or skipped < 1:
@@ -299,7 +375,7 @@ def _continued(auto: Automaton, ids: list[int], kept: list[tuple[str, int, int,
     return out
 
 
-def leaks_of(auto: Automaton, cache: dict[str, int], text: str, boxes: list[dict] | None, spans: bool) -> dict[int, tuple[int, int, list[tuple[int, int]]]]:
+def leaks_of(auto: Automaton, cache: dict[str, int], text: str, boxes: Boxes | None, spans: bool) -> dict[int, tuple[int, int, list[tuple[int, int]]]]:
     """item to (longest run, item words met, character spans) of a page's leaks."""
     lines = text.split("\n")
     offsets, at = [], 0
@@ -313,16 +389,19 @@ def leaks_of(auto: Automaton, cache: dict[str, int], text: str, boxes: list[dict
         if len(calm) < len(column) and calm:
             variants.append(calm)
         for col in variants:
-            words = _stream(text, col, lines, offsets)
-            ids, kept = [], []
-            for word in words:
-                v = cache.get(word[0])
-                if v is None:
-                    f = fold(word[0])
-                    v = cache[word[0]] = auto.words.get(f, -1) if f else -2
-                if v != -2:
-                    ids.append(v)
-                    kept.append(word)
+            kept: list[tuple[str, int, int, int]] = []
+            if spans:
+                ids, piece = [], []
+                for word in _stream(text, col, lines, offsets):
+                    v = cache.get(word[0])
+                    if v is None:
+                        v = cache[word[0]] = auto.lookup(word[0])
+                    if v != -2:
+                        ids.append(v)
+                        piece.append(word[1])
+                        kept.append(word)
+            else:
+                ids, piece = _numbers(auto, cache, col, lines)
             short, runs, deep = _runs(auto, ids)
             for item in short:
                 n = auto.size[item]
@@ -345,8 +424,8 @@ def leaks_of(auto: Automaton, cache: dict[str, int], text: str, boxes: list[dict
                 if spans:
                     entry[2].append((kept[last - n + 1][2], kept[last][3]))
             pieces: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-            for item, piece in _continued(auto, ids, kept, runs):
-                pieces[item].append(piece)
+            for item, part in _continued(auto, ids, piece, runs) if len(runs) > 1 else ():
+                pieces[item].append(part)
             for item, ps in pieces.items():
                 if len(ps) < 2:
                     continue
@@ -357,7 +436,7 @@ def leaks_of(auto: Automaton, cache: dict[str, int], text: str, boxes: list[dict
                     for b in ps[x + 1 :]:
                         # whole lines between them, and the item goes on where it stopped (a word may be lost in a break)
                         gap = b[0] - tail[1] - 1
-                        skipped = kept[b[0]][1] - kept[tail[1]][1]
+                        skipped = piece[b[0]] - piece[tail[1]]
                         if gap > 0 and 0 < b[2] - tail[3] <= 2 and 1 <= skipped <= GAP_LINES + 1:
                             total += b[3] - tail[3]
                             tail = b
@@ -372,13 +451,28 @@ def leaks_of(auto: Automaton, cache: dict[str, int], text: str, boxes: list[dict
     return {item: (e[0], len(e[1]), e[2]) for item, e in found.items()}
 
 
-def _find(it: Iterator[pa.RecordBatch], auto: Automaton) -> Iterator[pa.RecordBatch]:
+def _pages(b: pa.RecordBatch) -> Iterator[tuple[int, str, list[tuple[int, int, int] | None] | None]]:
+    """(doc_id, text, boxes) of the pages with a text."""
+    col = b.column("line_boxes")
+    flat = col.flatten()
+    edges = list(zip(*(flat.field(c).to_pylist() for c in ("x0", "x1", "y0"))))
+    if flat.null_count:
+        edges = [e if ok else None for e, ok in zip(edges, flat.is_valid().to_pylist())]
+    count = pc.list_value_length(col).to_pylist()
+    at = 0
+    for doc, text, n in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), count):
+        boxes = edges[at : at + n] if n is not None else None
+        at += n or 0
+        if text:
+            yield doc, text, boxes
+
+
+def _find(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    auto = shared.value
     cache: dict[str, int] = {}
     for b in it:
         out: list[tuple] = []
-        for doc, text, boxes in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("line_boxes").to_pylist()):
-            if not text:
-                continue
+        for doc, text, boxes in _pages(b):
             if len(cache) > 500_000:
                 cache.clear()
             for item, (longest, met, _) in leaks_of(auto, cache, text, boxes, False).items():
@@ -387,26 +481,29 @@ def _find(it: Iterator[pa.RecordBatch], auto: Automaton) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=["doc_id", "item_id", "longest", "coverage"])
 
 
-def automaton(items: DataFrame) -> Automaton:
-    """items (item_id, text): the given evaluation items. Items without words and null ids are left out."""
-    rows = items.where(F.col("item_id").isNotNull()).select("item_id", "text").orderBy("item_id").collect()
-    return Automaton([(r[0], r[1]) for r in rows])
+def automaton(items: DataFrame):
+    """items (item_id, text): the given evaluation items, as a broadcast automaton. Items without words and null ids are
+    left out. They have to be a small table: above ``MOST_CHARACTERS`` this raises instead of filling the driver."""
+    rows = items.where(F.col("item_id").isNotNull()).select("item_id", "text")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > MOST_CHARACTERS:
+        raise ValueError(f"evaluation items of {size} characters; divide them into sets of at most {MOST_CHARACTERS}")
+    return items.sparkSession.sparkContext.broadcast(Automaton([(r[0], r[1]) for r in rows.orderBy("item_id").collect()]))
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, longest, coverage): documents (doc_id, text, line_boxes) that hold LEAST consecutive words of
     an item within a column, or all of a shorter one. Null and empty texts hold nothing; missing boxes mean one column."""
-    auto = automaton(items)
-    return docs.select("doc_id", "text", "line_boxes").mapInArrow(partial(_find, auto=auto), "doc_id long, item_id long, longest int, coverage double")
+    shared = automaton(items)
+    return docs.select("doc_id", "text", "line_boxes").mapInArrow(partial(_find, shared=shared), "doc_id long, item_id long, longest int, coverage double")
 
 
-def _clean(it: Iterator[pa.RecordBatch], auto: Automaton) -> Iterator[pa.RecordBatch]:
+def _clean(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    auto = shared.value
     cache: dict[str, int] = {}
     for b in it:
         out: list[tuple] = []
-        for doc, text, boxes in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("line_boxes").to_pylist()):
-            if not text:
-                continue
+        for doc, text, boxes in _pages(b):
             hits = leaks_of(auto, cache, text, boxes, False)
             if not hits:
                 continue
@@ -434,5 +531,5 @@ def _clean(it: Iterator[pa.RecordBatch], auto: Automaton) -> Iterator[pa.RecordB
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_ids, n_removed, text) of the documents with leaks: their text without the leaked passages."""
-    auto = automaton(items)
-    return docs.select("doc_id", "text", "line_boxes").mapInArrow(partial(_clean, auto=auto), "doc_id long, item_ids array<long>, n_removed long, text string")
+    shared = automaton(items)
+    return docs.select("doc_id", "text", "line_boxes").mapInArrow(partial(_clean, shared=shared), "doc_id long, item_ids array<long>, n_removed long, text string")
