@@ -8,7 +8,8 @@ from tests.conftest import rows
 from vecloom.engine import IDS, Engine
 from vecloom.functions import vectors as vec
 from vecloom.operators import clusters, graph, knn, mst, partitions
-from vecloom.operators.projection import ModelNotInitialized, Projection, fuzzy_union, training_batches
+from vecloom.sources.store import Delta, Store, difference
+from vecloom.operators.projection import ModelNotInitialized, Projection, fuzzy_union, padded, training_batches
 
 
 def points(spark, n=60, dim=5, seed=1):
@@ -114,6 +115,7 @@ def test_paths(spark):
     assert [(r["src"], r["dst"]) for r in graph.trail(e, 1, 4, hops=False).orderBy("step").collect()] == [(1, 2), (2, 3), (3, 4)]
     assert graph.trail(e, 1, 9).count() == 0 and graph.trail(e, 1, 1).count() == 0
     assert {r["node"]: r["cost"] for r in graph.shortest(e, 1).collect()} == {1: 0, 2: 1, 3: 6, 4: 7}
+    assert rows(graph.shortest(e, 1, small=False)) == rows(graph.shortest(e, 1, small=True))
     with pytest.raises(KeyError):
         graph.shortest(e, 77)
 
@@ -162,8 +164,14 @@ def test_first_tree_merge_and_rehoming(spark):
         partitions.merge(m, e, 0, 1, capacity=10)
     with pytest.raises(partitions.NotConnected):
         partitions.merge(m, e.where("src < 0"), 0, 1)
-    trees = partitions.into_trees(m, e, capacity=5)
-    assert trees.count() == 60
+    many = graph.delete_edges(tree, tree.orderBy(F.desc("weight")).limit(30))
+    m = graph.components(nodes, many).select(F.col("node").alias("vec_id"), F.col("component").alias("partition_id"))
+    for small in (True, False):
+        pieces = partitions.into_trees(m, graph.with_partitions(tree, m), 10, small)
+        assert pieces.count() == 60 and pieces.select("piece").distinct().count() < m.select("partition_id").distinct().count()
+        most = max(10, m.groupBy("partition_id").count().agg(F.max("count")).first()[0])
+        assert pieces.groupBy("piece").count().agg(F.max("count")).first()[0] <= most
+        assert pieces.groupBy("piece").agg(F.min("vec_id").alias("low")).where("low <> piece").count() == 0
     assert partitions.bootstrap(df, 8).groupBy("partition_id").count().agg(F.max("count")).first()[0] <= 8
 
 
@@ -233,8 +241,70 @@ def test_projection(spark):
     w = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5), (1, 3, 1.0)], "i long, j long, w double")
     assert rows(fuzzy_union(w)) == [(1, 2, 0.75), (1, 3, 1.0)]
     m = spark.createDataFrame([(i, 100) for i in range(40)] + [(50, None), (51, -1)], "partition_id long, size long")
-    b = training_batches(m).groupBy("batch").agg(F.sum("size").alias("s"))
-    assert b.agg(F.max("s")).first()[0] < 1152 + 100
+    b = training_batches(m)
+    per = b.groupBy("batch").agg(F.sum("size").alias("s"), F.max("room").alias("room"))
+    assert b.count() == 40 and all(r["s"] + r["room"] == 1152 and r["s"] <= 1152 for r in per.collect()) and per.count() <= 5
+    wide = training_batches(spark.createDataFrame([(1, 2500), (2, 1152), (3, 1)], "partition_id long, size long"))
+    assert rows(wide.groupBy("partition_id").agg(F.sum("size"))) == [(1, 2500), (2, 1152), (3, 1)]
+    assert wide.groupBy("batch").agg(F.sum("size").alias("s")).where("s > 1152").count() == 0
+    few = training_batches(df.groupBy(F.lit(1).alias("partition_id")).agg(F.count(F.lit(1)).alias("size")), 50)
+    full = padded(df.withColumn("partition_id", F.lit(1)), few, 5, 50)
+    assert {r["count"] for r in full.groupBy("batch").count().collect()} == {50} and full.where("vec_id is not null").select("vec_id").distinct().count() == 120
+    again = Projection(1).of_rows(p.rows(spark))
+    assert rows(again.transform(df)) == rows(out)
+
+
+def test_everything_is_there_after_reopening(spark, tmp_path):
+    x, df = points(spark)
+    v = df.select("vec_id", "embedding")
+    path = f"file://{tmp_path}/db"
+    e = Engine(spark, path)
+    e.insert(v.where("vec_id < 50"))
+    e.create_cluster_set(1.5)
+    e.projection()
+    n = len(e.store.versions())
+    with e.transaction():
+        e.insert(v.where("vec_id >= 50"))
+        e.delete(v.where("vec_id = 3"))
+        assert e.vectors().count() == 59
+    assert len(e.store.versions()) == n + 1
+    e = Engine(spark, path)
+    left = set(range(60)) - {3}
+    assert pairs(e.store.read("mst_edges")) == brute_tree(x, left)
+    want = clusters.single_linkage(v.where("vec_id <> 3").select(F.col("vec_id").alias("node")), e.store.read("mst_edges"), 1.5)
+    assert rows(e.cluster_sets().get(1.5)) == rows(want)
+    m = e.cluster_meta(1.5, members=True)
+    assert m.count() == 59 and e.cluster_meta(1.5).agg(F.sum("size")).first()[0] == 59
+    for wrong in (lambda: e.cluster_meta(0.7), lambda: e.cluster_meta(1.5, -4)):
+        with pytest.raises(KeyError):
+            wrong()
+    assert e.partition_meta().agg(F.sum("size")).first()[0] == 59
+    assert e.projection().fitted and e.neighbours().columns == ["src", "dst"]
+    e.undo()  # the transaction as a whole
+    assert e.vectors().count() == 50 and e.cluster_meta(1.5).agg(F.sum("size")).first()[0] == 50
+    with pytest.raises(ZeroDivisionError), e.transaction():
+        e.delete(v.where("vec_id < 10"))
+        1 / 0  # noqa: B018
+    assert e.vectors().count() == 50
+    e.update(spark.createDataFrame([(7, [9.0] * 5), (90, [8.0] * 5)], "vec_id long, embedding array<float>"))
+    assert e.get(vector=7).first()["embedding"] == [9.0] * 5 and e.vectors().count() == 51
+
+
+def test_store_keeps_changes_and_compacts(spark, tmp_path):
+    t = Store(spark, f"file://{tmp_path}/t")
+    row = lambda k, v: spark.createDataFrame([(k, v)], "vec_id long, partition_id long")
+    t.write({"membership": row(0, 0)})
+    want = {(0, 0)}
+    for k in range(1, 12):
+        t.write({"membership": Delta(row(k, k), row(k - 3, 0))})
+        want = {(a, b) for a, b in want if a != k - 3} | {(k, k)}
+        assert set(map(tuple, t.read("membership").collect())) == want
+        assert t._chain("membership", k)[1] <= 8
+    both = Delta(row(50, 1), row(11, 0)).then(Delta(row(51, 1), row(50, 0)), ["vec_id"])
+    assert set(map(tuple, both.on(t.read("membership"), ["vec_id"]).collect())) == want - {(11, 11)} | {(51, 1)}
+    d = difference(t.read("membership"), t.read("membership", 10), ["vec_id"])
+    assert set(map(tuple, d.on(t.read("membership"), ["vec_id"]).collect())) == set(map(tuple, t.read("membership", 10).collect()))
+    assert t.vacuum(2) and set(map(tuple, t.read("membership").collect())) == want
 
 
 def test_store_stream_and_engine(spark, tmp_path):

@@ -3,11 +3,18 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vecloom.operators import hierarchy as module
 from vecloom.operators.hierarchy import descendants, hierarchy
 
 SCHEMA = "id long, parent long, size long, root long, v string"  # root and v: further columns with clashing names
 
 
+@pytest.fixture(autouse=True, params=["one task", "joins"])
+def way(request, monkeypatch):
+    if request.param == "joins":
+        monkeypatch.setattr(module, "ONE_TASK", -1)
+
+
 def frame(spark, pairs, size=None):
     return spark.createDataFrame([(a, b, (size or {}).get(a), 99, "x") for a, b in pairs], SCHEMA)
 

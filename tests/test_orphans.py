@@ -1,6 +1,9 @@
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from vecloom.operators.orphans import Reference, direct, orphans, report
+from vecloom.operators.skew import hot_keys
 
 T = [datetime(2024, m, 1) for m in range(1, 13)]
 KEYS = "key long, since timestamp_ntz, until timestamp_ntz"
@@ -42,6 +45,18 @@ def test_several_references_per_record_and_circle(spark):
     assert got == {(3, "9", "direct"), (2, "3", "inherited"), (1, "2", "inherited"), (3, "1", "inherited")}
 
 
+def test_half_of_the_rows_on_one_key_in_the_cascade(spark):
+    # cluster 1 refers to one that is missing; half of 20,000 members refer to cluster 1
+    targets = spark.createDataFrame([(i, None, None) for i in range(1, 2001)], KEYS)
+    members = spark.range(20000).select(F.col("id").alias("ref_id"), F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id") % 2000 + 1).cast("long").alias("target"), F.lit(T[0]).cast("timestamp_ntz").alias("at"))
+    tree = spark.createDataFrame([(1, 99999, T[0], ""), (3, 1, T[0], "")], REFS)
+    assert hot_keys(members, "target") == {1: 11} or len(hot_keys(members, "target")) == 1
+    found = orphans([Reference("m", members, "t"), Reference("t", tree, "t", "t")], {"t": targets})
+    n = {(r["ref_table"], r["kind"]): r["count"] for r in found.groupBy("ref_table", "kind").count().collect()}
+    want = sum(1 for i in range(20000) if i % 2 == 0 or i % 2000 + 1 in (1, 3))
+    assert n == {("t", "direct"): 1, ("t", "inherited"): 1, ("m", "inherited"): want}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], REFS)
     targets = spark.createDataFrame([], KEYS)

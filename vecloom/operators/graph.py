@@ -101,30 +101,32 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "weight"))
 
 
-def shortest(edges: DataFrame, start: int, hops: bool = False, limit: int = 10_000) -> DataFrame:
+def shortest(edges: DataFrame, start: int, hops: bool = False, small: bool | None = None) -> DataFrame:
     """(node, cost, previous) for every node reachable from ``start``: sums of weights, or hops. Ties: smaller previous.
 
-    Small graphs are searched in one task; larger ones relax by joins on the frontier. Raises KeyError when the start
-    is no node.
+    Small graphs are searched in one task; larger ones relax by joins on the frontier until no cost falls any more.
+    Weights must not be negative. Raises KeyError when the start is no node.
     """
     e = pin(adjacency(edges).withColumn("weight", F.lit(1.0) if hops else F.col("weight")))
     if not e.where(F.col("a") == F.lit(start)).limit(1).count():
         raise KeyError(start)
-    if e.count() <= 2 * ONE_TASK:
+    if small is None:
+        small = e.count() <= 2 * ONE_TASK
+    if small:
         return _one(e).groupBy("_g").applyInArrow(lambda t: _dijkstra(t, start), "node long, cost double, previous long")
     state = pin(e.sparkSession.createDataFrame([(start, 0.0, None)], "node long, cost double, previous long"))
     wave = state
-    for _ in range(limit):
+    while True:
         step = wave.join(e, F.col("node") == F.col("a")).groupBy(F.col("b").alias("n")).agg(F.min(F.struct((F.col("cost") + F.col("weight")).alias("c"), F.col("node").alias("p"))).alias("m"))
         old = state.select(F.col("node").alias("on"), F.col("cost").alias("oc"), F.col("previous").alias("op"))
-        better = F.col("on").isNull() | (F.col("m.c") < F.col("oc"))
+        same = (F.col("m.c") == F.col("oc")) & (F.col("m.p") < F.col("op"))
+        better = F.col("on").isNull() | (F.col("m.c") < F.col("oc")) | same
         nxt = pin(step.join(old, F.col("n") == F.col("on"), "left").where(better).select(F.col("n").alias("node"), F.col("m.c").alias("cost"), F.col("m.p").alias("previous")))
         if not nxt.limit(1).count():
-            break
+            return state
         new = pin(state.join(nxt.select("node"), "node", "left_anti").unionByName(nxt))
-        drop(state)
+        drop(state), drop(wave)
         state, wave = new, nxt
-    return state
 
 
 def _dijkstra(t: pa.Table, start: int) -> pa.Table:

@@ -1,4 +1,9 @@
-"""Parent-child rows to full hierarchies: leaf peeling in rounds that double their height.
+"""Parent-child rows to full hierarchies by leaf peeling.
+
+Leaves are taken off round by round; each sends its subtree's size, weight and height to its parent, and leaves the
+table. In the reverse order roots hand down names, depths and paths. What is never a leaf stands on a circle. A table
+that fits one task of bounded size (``ONE_TASK`` rows, checked by a count) is peeled there in as many rounds as it is
+high; a larger one in rounds of joins that double their height, with the same result:
 
 Round k peels 2**k generations at once. Each node still below somebody sends what it has gathered (descendants,
 subtree size, height) to its ancestor 2**k generations up; in the other direction it takes that ancestor's path.
@@ -8,11 +13,63 @@ never finished are those that lead into a circle or stand on one.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.session import drop, pin
 
+ONE_TASK = 2_000_000
+STATE = "v long, parent long, root long, depth int, path array<long>, n_below long, total_below long, height int, leads_to_circle boolean, on_circle boolean"
+
+
+def _peel_table(t: pa.Table, lists: bool) -> pa.Table:
+    """The whole hierarchy of a table (v, a, w) that fits one task."""
+    t = t.sort_by("v")
+    v, w = t["v"].to_numpy(), t["w"].to_numpy()
+    n = len(v)
+    has = t["a"].is_valid().to_numpy(zero_copy_only=False)
+    up = np.full(n, -1)
+    up[has] = np.searchsorted(v, t["a"].drop_null().to_numpy())
+    pending = np.bincount(up[has], minlength=n)
+    below, total, height = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32)
+    rounds, leaves = [], np.flatnonzero(pending == 0)
+    while len(leaves):
+        rounds.append(leaves)
+        k = leaves[up[leaves] >= 0]
+        to = up[k]
+        np.add.at(below, to, below[k] + 1)
+        np.add.at(total, to, total[k] + w[k])
+        np.maximum.at(height, to, height[k] + 1)
+        np.subtract.at(pending, to, 1)
+        to = np.unique(to)
+        leaves = to[pending[to] == 0]
+    on = np.ones(n, bool)
+    for k in rounds:
+        on[k] = False
+    root, depth, leads = v.copy(), np.zeros(n, np.int32), on.copy()
+    if on.any():  # the smallest node of each circle: minima over 1, 2, 4, ... steps
+        jump, low, step = np.where(on, up, 0), v.copy(), 1
+        while step < 2 * on.sum():
+            low[on] = np.minimum(low[on], low[jump[on]])
+            jump[on] = jump[jump[on]]
+            step *= 2
+        root[on] = low[on]
+    paths: list[list[int] | None] = [None] * n
+    for k in reversed(rounds):
+        b = k[up[k] >= 0]
+        root[b], depth[b], leads[b] = root[up[b]], depth[up[b]] + 1, leads[up[b]]
+        if lists:
+            for i in k.tolist():
+                if not leads[i]:
+                    paths[i] = [*paths[up[i]], int(v[i])] if up[i] >= 0 else [int(v[i])]
+    return pa.table({
+        "v": v, "parent": t["a"], "root": root, "depth": pa.array(depth, mask=leads), "path": pa.array(paths, pa.list_(pa.int64())),
+        "n_below": pa.array(below, mask=on), "total_below": pa.array(total, mask=on), "height": pa.array(height, mask=on),
+        "leads_to_circle": leads, "on_circle": on,
+    })
+
 
 def _clean(rows: DataFrame, node: str, parent: str, weight: str | None) -> DataFrame:
     w = F.coalesce(F.col(weight).cast("long"), F.lit(0).cast("long")) if weight else F.lit(0).cast("long")
@@ -103,16 +160,22 @@ def _beneath(base: DataFrame, ring: DataFrame) -> DataFrame:
     return off.select("v", F.when(F.col("rv").isNull(), F.col("a")).alias("a"), "w")
 
 
-def hierarchy(rows: DataFrame, node: str, parent: str, weight: str | None = None, paths: bool = True) -> DataFrame:
+def hierarchy(rows: DataFrame, node: str, parent: str, weight: str | None = None, paths: bool = True, small: bool | None = None) -> DataFrame:
     """(node, parent, root, depth, path, n_below, total_below, height, leads_to_circle, on_circle), one row per node.
 
     A node whose parent is null or no node of the table is a root (depth 0). ``path`` runs from the root down to the
     node. ``n_below`` counts all descendants, ``total_below`` sums their ``weight`` (null counts 0). For nodes that
     lead into a circle root is the smallest node of that circle and depth and path are null; for nodes on a circle
     n_below, total_below and height are null too, those beneath one have their own subtree. Repeated rows of a node: the one with the largest parent counts. Null nodes are left out. An empty table
-    gives no rows; further columns are ignored.
+    gives no rows; further columns are ignored. ``small``: whether one task may do it (by default if it has at most
+    ``ONE_TASK`` rows).
     """
     base = pin(_clean(rows, node, parent, weight))
+    if small is None:
+        small = base.count() <= ONE_TASK
+    if small and dict(base.dtypes)["v"] in ("bigint", "int"):
+        one = base.select(F.col("v").cast("long").alias("v"), F.col("a").cast("long").alias("a"), "w").withColumn("_g", F.lit(0))
+        return one.groupBy("_g").applyInArrow(lambda t: _peel_table(t, paths), STATE).withColumnRenamed("v", node)
     state, _, left = _peel(base, paths)
     parents = base.select(F.col("v").alias("bv"), F.col("a").alias("parent"))
     out = state.join(parents, F.col("v") == F.col("bv"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.operators.skew import salted_join
+from vecloom.operators.skew import hot_keys, salted_join
 from vecloom.session import drop, pin
 
 
@@ -24,15 +24,15 @@ class Reference:
     key_of_row: str | None = None
 
 
-def direct(ref: Reference, targets: DataFrame) -> DataFrame:
+def direct(ref: Reference, targets: DataFrame, hot: dict | None = None) -> DataFrame:
     """(ref_table, ref_id, target, at, why): references whose target is missing, deleted or not yet there.
 
     why is missing, deleted (until <= at) or early (since > at). A reference without time can only be missing.
-    Null targets are no references. Hot targets are salted by ref_id.
+    Null targets are no references. Hot targets are salted by ref_id; ``hot`` names them if they are known.
     """
     rows = ref.rows.where(F.col("target").isNotNull()).select("ref_id", "target", "at").distinct()
     t = targets.select(F.col("key").alias("_key"), F.col("since").alias("_since"), F.col("until").alias("_until"))
-    j = salted_join(rows, t, "target", "_key", "ref_id")
+    j = salted_join(rows, t, "target", "_key", "ref_id", "left", hot)
     why = F.when(F.col("_key").isNull(), F.lit("missing")).when(F.col("_until") <= F.col("at"), F.lit("deleted")).when(F.col("_since") > F.col("at"), F.lit("early"))
     return j.withColumn("why", why).where(F.col("why").isNotNull()).select(F.lit(ref.name).alias("ref_table"), "ref_id", F.col("target").cast("string").alias("target"), "at", "why")
 
@@ -64,13 +64,17 @@ def orphans(refs: list[Reference], targets: dict[str, DataFrame]) -> DataFrame:
     circle of references ends it because each key enters once. Within a table that refers to itself a round takes
     all generations at once (by doubling) where each record has one reference, else one generation.
     """
+    # every reference is read, cleaned and counted once
+    once = {r.name: pin(r.rows.where(F.col("target").isNotNull()).select("ref_id", "target", "at").distinct()) for r in refs}
+    hot = {r.name: hot_keys(once[r.name], "target") for r in refs}
     found = None
     for r in refs:
-        d = direct(r, targets[r.into])
+        d = direct(replace(r, rows=once[r.name]), targets[r.into], hot[r.name])
         found = d if found is None else found.unionByName(d)
     found = pin(found.withColumn("kind", F.lit("direct")))
     by_table = {r.name: r.key_of_row for r in refs if r.key_of_row}
-    rows = {r.name: r.rows.where(F.col("target").isNotNull()).select("ref_id", F.col("target").cast("string").alias("target"), "at").distinct() for r in refs}
+    rows = {n: d.select("ref_id", F.col("target").cast("string").alias("target"), "at") for n, d in once.items()}
+    hot = {n: {str(k): m for k, m in h.items()} for n, h in hot.items()}
     trees = {}
     for r in refs:
         if r.key_of_row == r.into:
@@ -86,7 +90,7 @@ def orphans(refs: list[Reference], targets: dict[str, DataFrame]) -> DataFrame:
         parts = None
         for r in refs:
             b = new.where(F.col("in_table") == r.into).select(F.col("key").alias("_bad"))
-            p = rows[r.name].join(b, F.col("target") == F.col("_bad"), "left_semi").select(F.lit(r.name).alias("ref_table"), "ref_id", "target", "at", F.lit("parent is an orphan").alias("why"), F.lit("inherited").alias("kind"))
+            p = salted_join(rows[r.name], b, "target", "_bad", "ref_id", "left_semi", hot[r.name]).select(F.lit(r.name).alias("ref_table"), "ref_id", "target", "at", F.lit("parent is an orphan").alias("why"), F.lit("inherited").alias("kind"))
             parts = p if parts is None else parts.unionByName(p)
         fresh = pin(parts.join(found.select("ref_table", "ref_id", "target", "at").distinct(), ["ref_table", "ref_id", "target"], "left_anti"))
         joined = pin(found.unionByName(fresh))

@@ -21,6 +21,7 @@ from vecloom.session import drop, pin
 CAPACITY = 64
 ONE = 65_536  # vectors that one task divides alone
 MAX_ITER = 128  # rounds of Lloyd per split
+PIECES = 2_000_000  # trees and links between them that one task puts together
 SIDES = "vec_id long, partition_id long, side int"
 
 
@@ -199,19 +200,28 @@ def tree_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return components(nodes, edges).agg(F.countDistinct("component").alias("n"))
 
 
-def into_trees(members: DataFrame, edges: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def into_trees(members: DataFrame, edges: DataFrame, capacity: int = CAPACITY, small: bool | None = None) -> DataFrame:
     """(vec_id, partition_id, piece): each partition divided into its trees; pieces joined by an edge are put together
-    again while they fit the capacity. piece is the smallest member."""
+    again while they fit the capacity. piece is the smallest member.
+
+    Up to ``PIECES`` pieces and links are put together in one task, link by link; more of them in rounds of joins, in
+    each of which two pieces join if the link between them is the first of both in a random order.
+    """
     inside = edges.where("src_part = dst_part")
     c = components(members.select(F.col("vec_id").alias("node")), inside)
+    c = pin(c)
     m = members.select("vec_id", F.col("partition_id").cast("long").alias("partition_id")).join(c, F.col("vec_id") == F.col("node")).select("vec_id", "partition_id", "component")
     a, b = c.select(F.col("node").alias("src"), F.col("component").alias("ca")), c.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
-    links = edges.where("src_part <> dst_part").select("src", "dst").join(a, "src").join(b, "dst").select("ca", "cb").distinct()
-    sizes = m.groupBy("component").count()
-    plan = sizes.select(F.col("component").alias("x"), F.lit(None).cast("long").alias("y"), F.col("count").alias("n")).unionByName(links.select(F.col("ca").alias("x"), F.col("cb").alias("y"), F.lit(0).cast("long").alias("n")))
-    zones = components(sizes.select(F.col("component").alias("node")), links.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
-    plan = plan.join(zones, F.col("x") == F.col("node")).select("x", "y", "n", F.col("component").alias("zone"))
+    links = edges.where("src_part <> dst_part").select("src", "dst").join(a, "src").join(b, "dst")
+    links = pin(links.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).where("ca <> cb").distinct())
+    sizes = pin(c.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    if small is None:
+        small = links.count() + sizes.count() <= PIECES
+    pieces = _joined(sizes, links, capacity) if small else _joined_by_rounds(sizes, links, capacity)
+    return m.join(pieces, "component").select("vec_id", "partition_id", "piece")
+
 
+def _joined(sizes: DataFrame, links: DataFrame, capacity: int) -> DataFrame:
     def merge(t: pa.Table) -> pa.Table:
         x, y, n = t["x"].to_pylist(), t["y"].to_pylist(), t["n"].to_pylist()
         size = {a: k for a, b, k in zip(x, y, n) if b is None}
@@ -219,10 +229,11 @@ def into_trees(members: DataFrame, edges: DataFrame, capacity: int = CAPACITY) -
 
         def root(v: int) -> int:
             while home[v] != v:
+                home[v] = home[home[v]]
                 v = home[v]
             return v
 
-        for a, b in sorted((min(a, b), max(a, b)) for a, b in zip(x, y) if b is not None):
+        for a, b in sorted((a, b) for a, b in zip(x, y) if b is not None):
             p, q = sorted((root(a), root(b)))
             if p != q and size[p] + size[q] <= capacity:
                 home[q] = p
@@ -230,8 +241,27 @@ def into_trees(members: DataFrame, edges: DataFrame, capacity: int = CAPACITY) -
         keys = sorted(home)
         return pa.table({"component": pa.array(keys, pa.int64()), "piece": pa.array([root(v) for v in keys], pa.int64())})
 
-    pieces = plan.groupBy("zone").applyInArrow(merge, "component long, piece long")
-    return m.join(pieces, "component").select("vec_id", "partition_id", "piece")
+    none = F.lit(None).cast("long")
+    plan = sizes.select(F.col("component").alias("x"), none.alias("y"), "n").unionByName(links.select(F.col("ca").alias("x"), F.col("cb").alias("y"), none.alias("n")))
+    return plan.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(merge, "component long, piece long")
+
+
+def _joined_by_rounds(sizes: DataFrame, links: DataFrame, capacity: int) -> DataFrame:
+    home = pin(sizes.select("component", F.col("component").alias("piece")))
+    size = sizes.select(F.col("component").alias("p"), "n")
+    while True:
+        s, t = size.select(F.col("p").alias("sp"), F.col("n").alias("sn")), size.select(F.col("p").alias("tp"), F.col("n").alias("tn"))
+        open_ = pin(links.join(s, F.col("ca") == F.col("sp")).join(t, F.col("cb") == F.col("tp")).where(F.col("sn") + F.col("tn") <= capacity).select("ca", "cb", F.xxhash64("ca", "cb").alias("h")))
+        if not open_.limit(1).count():
+            return home
+        rank = F.min(F.struct("h", "ca", "cb")).alias("m")
+        mine = open_.select(F.explode(F.array("ca", "cb")).alias("v"), "h", "ca", "cb").groupBy("v").agg(rank)
+        both = pin(mine.groupBy("m.ca", "m.cb").count().where("count = 2").select(F.col("cb").alias("gone"), F.col("ca").alias("into")))
+        move = lambda d, c: d.join(both, F.col(c) == F.col("gone"), "left").withColumn(c, F.coalesce("into", c)).drop("gone", "into")  # noqa: E731, B023
+        home = pin(move(home, "piece"))
+        size = pin(move(size, "p").groupBy("p").agg(F.sum("n").alias("n")))
+        moved = move(move(open_.select("ca", "cb"), "ca"), "cb")
+        links = pin(moved.select(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).where("ca <> cb").distinct())
 
 
 def merge(membership: DataFrame, edges: DataFrame, sink: int, source: int, capacity: int = CAPACITY) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.blocks import rows_of
@@ -70,15 +70,52 @@ def fuzzy_union(weights: DataFrame) -> DataFrame:
 
 
 def training_batches(meta: DataFrame, capacity: int = BATCH) -> DataFrame:
-    """(partition_id, size, batch): partitions in hash order fill batches of about ``capacity`` vectors by cumulative
-    size; a partition starts in the batch that its first vector falls into. Two passes: sums per hash bucket, then
-    within each bucket, so no table is sorted as a whole."""
-    h = F.pmod(F.xxhash64("partition_id"), F.lit(1024))
-    m = meta.where(F.col("size") > 0).select("partition_id", "size", h.alias("h"))
-    base = m.groupBy("h").agg(F.sum("size").alias("n")).withColumn("from", F.sum("n").over(Window.orderBy("h")) - F.col("n")).select(F.col("h").alias("bh"), "from")
-    w = Window.partitionBy("h").orderBy("partition_id")
-    j = m.join(F.broadcast(base), F.col("h") == F.col("bh"))
-    return j.select("partition_id", "size", F.floor((F.col("from") + F.sum("size").over(w) - F.col("size")) / capacity).cast("long").alias("batch"))
+    """(partition_id, size, batch, room): partitions fill batches of at most ``capacity`` vectors; ``room`` is what a
+    batch leaves free and is padded with (``padded``).
+
+    A partition that would overflow a batch opens the next one; one that alone exceeds the capacity is divided: its full
+    batches and its rest are rows of their own. Partitions are dealt by a hash to groups of about 64 batches, each
+    filled in one task in the order of a second hash, so no table is sorted as a whole and all but the last batch of a
+    group are closed by the partition that did not fit. Null, zero and negative sizes have no place.
+    """
+    m = meta.where((F.col("size") > 0) & F.col("partition_id").isNotNull()).groupBy(F.col("partition_id").cast("long").alias("partition_id")).agg(F.max(F.col("size").cast("long")).alias("size"))
+    total = m.agg(F.sum("size")).first()[0] or 0
+    groups = max(1, -(-total // (64 * capacity)))
+    m = m.withColumn("g", F.pmod(F.xxhash64("partition_id"), F.lit(groups)).cast("int")).withColumn("h", F.xxhash64(F.lit(3), "partition_id"))
+
+    def fill(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("partition_id", "ascending")])
+        g, out, n, used = t["g"][0].as_py(), [], 0, 0
+        for p, size in zip(t["partition_id"].to_pylist(), t["size"].to_pylist()):
+            while size > 0:
+                take = min(size, capacity)
+                if used + take > capacity:
+                    n, used = n + 1, 0
+                out.append((p, take, n))
+                used, size = used + take, size - take
+        part, take, batch = (np.array(z, np.int64) for z in zip(*out))
+        held = np.bincount(batch, take).astype(np.int64)
+        return pa.table({"partition_id": part, "size": take, "batch": [f"{g}-{k}" for k in batch], "room": capacity - held[batch]})
+
+    return m.groupBy("g").applyInArrow(fill, "partition_id long, size long, batch string, room long")
+
+
+def padded(members: DataFrame, batches: DataFrame, dim: int, capacity: int = BATCH) -> DataFrame:
+    """(batch, pos, vec_id, embedding): the vectors of each batch, filled up to ``capacity`` with rows of zeros whose
+    vec_id is null. members: vec_id, embedding, partition_id; the members of a divided partition follow its rows in the
+    order of their ids."""
+    w = Window.partitionBy("partition_id").orderBy("batch")
+    upto = F.sum("size").over(w)
+    b = batches.select("partition_id", "batch", "size", upto.alias("to"), (upto - F.col("size")).alias("from")).withColumnRenamed("partition_id", "bp")
+    m = clean(members).join(members.select("vec_id", F.col("partition_id").cast("long").alias("partition_id")).dropDuplicates(["vec_id"]), "vec_id")
+    m = m.withColumn("n", F.row_number().over(Window.partitionBy("partition_id").orderBy("vec_id")))
+    real = m.join(b, (F.col("partition_id") == F.col("bp")) & (F.col("n") > F.col("from")) & (F.col("n") <= F.col("to")))
+    real = real.select("batch", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    short = real.groupBy("batch").count().where(F.col("count") < capacity)
+    pad = short.select("batch", F.explode(F.sequence(F.lit(1), (F.lit(capacity) - F.col("count")).cast("int"))).alias("k")).select("batch", F.lit(None).cast("long").alias("vec_id"), F.array_repeat(F.lit(0.0), dim).alias("embedding"))
+    every = real.unionByName(pad)
+    pos = F.row_number().over(Window.partitionBy("batch").orderBy(F.col("vec_id").asc_nulls_last()))
+    return every.withColumn("pos", pos).select("batch", "pos", "vec_id", "embedding")
 
 
 class Projection:
@@ -102,7 +139,7 @@ class Projection:
         return acts
 
     def fit(self, vectors: DataFrame, k: int = 10, epochs: int = 60, rate: float = 0.01) -> Projection:
-        """Train on at most about ``BUFFER`` vectors (chosen by hash); fewer than 6 raise."""
+        """Train, or train further, on at most about ``BUFFER`` vectors (chosen by hash); fewer than 6 raise."""
         v = clean(vectors)
         n = v.count()
         if n <= 5:
@@ -162,12 +199,13 @@ class Projection:
             raise ModelNotInitialized("fit the projection first")
         return clean(vectors).mapInArrow(partial(_apply, model=self), "vec_id long, x double, y double")
 
-    def save(self, path: str) -> None:
-        np.savez(path, *self.w, *self.b)
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The layers as a table of one row each (layer, shape, value), to be stored like any other."""
+        rows = [(k, list(p.shape), [float(v) for v in p.ravel()]) for k, p in enumerate(self.w + self.b)]
+        return spark.createDataFrame(rows, "layer int, shape array<int>, value array<double>")
 
-    def load(self, path: str) -> Projection:
-        z = np.load(path)
-        parts = [z[k] for k in z.files]
+    def of_rows(self, rows: DataFrame) -> Projection:
+        parts = [np.array(r["value"]).reshape(r["shape"]) for r in rows.orderBy("layer").collect()]
         self.w, self.b, self.fitted = parts[: len(parts) // 2], parts[len(parts) // 2 :], True
         return self
 

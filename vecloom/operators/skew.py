@@ -5,31 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.session import drop, pin
 
-def hot_keys(df: DataFrame, key: str, parts: int = 64) -> list:
-    """Keys of which each holds more than 1/``parts`` of the rows; so there are fewer than ``parts`` of them.
 
-    The bound on the list is a property of the data (shares sum to one), which is why collecting it is safe.
+def hot_keys(df: DataFrame, key: str, parts: int | None = None) -> dict:
+    """key: number of tasks it should be spread over, for each key with more rows than a task should get.
+
+    A task should get 1/``parts`` of the rows (by default parts is the number of shuffle partitions, 64 at least), so
+    fewer than ``parts`` keys can exceed it: collecting them is bounded by the shares, which sum to one. Null keys are
+    not counted. ``df`` is read twice; pin it first if it is costly.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = df.count()
-    return [r[0] for r in counts.where(F.col("count") > F.lit(max(total // parts, 1000))).select(key).collect()]
+    parts = parts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bound = max(df.count() // parts, 1000)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > F.lit(bound))
+    return {r[0]: -(-r[1] // bound) for r in counts.collect()}
 
 
-def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread: str, how: str = "left", salts: int = 16, parts: int = 64) -> DataFrame:
-    """Equi-join whose hot left keys are spread over ``salts`` tasks by a hash of column ``spread``.
+def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread: str, how: str = "left", hot: dict | None = None) -> DataFrame:
+    """Equi-join whose hot left keys are spread by a hash of column ``spread`` over as many tasks as their rows need.
 
-    Only rows of ``right`` with a hot key are repeated (``salts`` times each), all others stay single. Rows with a
-    null key match nothing. Columns of both sides must not clash; the result has all of them.
+    Only rows of ``right`` with a hot key are repeated (once for each of its tasks), all others stay single. ``hot``:
+    ``hot_keys`` of the left side, if known. Rows with a null key match nothing. Columns of both sides must not clash;
+    the result has all of them (those of the left side in a semi or anti join).
     """
-    hot = hot_keys(left, left_key, parts)
+    hot = hot_keys(left, left_key) if hot is None else hot
     cond = F.col(left_key) == F.col(right_key)
     if not hot:
         return left.join(right, cond, how)
-    salt = F.when(F.col(left_key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0).cast("long"))
-    every = F.when(F.col(right_key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    a = left.withColumn("_ls", salt)
-    b = right.withColumn("_rs", F.explode(every))
+    one = F.lit(1).cast("long")
+    tasks = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in hot.items() for x in (k, int(n))]).cast(f"map<{kind},bigint>"), c), one)
+    kind = dict(left.dtypes)[left_key]
+    a = left.withColumn("_ls", F.when(F.col(left_key).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), tasks(F.col(left_key)))))
+    b = right.where(F.col(right_key).isNotNull()).withColumn("_rs", F.explode(F.sequence(F.lit(0).cast("long"), tasks(F.col(right_key)) - 1)))
     return a.join(b, cond & (F.col("_ls") == F.col("_rs")), how).drop("_ls", "_rs")
 
 
@@ -56,26 +63,28 @@ def mode_per_key(freq: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def weighted_percentile(freq: DataFrame, key: str, value: str, q: float, buckets: int = 64) -> DataFrame:
-    """(key, value at share q): exact lower percentile of the weighted values, the smallest v with F(v) >= q.
+    """(key, percentile): exact lower percentile of the weighted values, the smallest v with F(v) >= q.
 
-    No key is sorted in one task: weights are first summed per (key, value bucket), the bucket that holds the
-    rank is found among at most ``buckets`` rows per key, and only that bucket's values are ordered.
-    ``value`` must be an integer column; buckets are equal ranges between a key's smallest and largest value.
+    No key is sorted in one task: each round sums the weights of a key's range in at most ``buckets`` equal parts, finds
+    the part that holds the rank and goes on with that part alone, until it is a single value. However the values are
+    spread, a round leaves 1/``buckets`` of the range, so 64-bit values take 11 rounds at most.
+    ``value`` must be an integer column. Rows with a null key, value or weight count for nothing.
     """
     from pyspark.sql import Window
 
-    ends = freq.groupBy(key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("_all"))
-    width = F.greatest(F.lit(1), F.floor((F.col("_hi") - F.col("_lo")) / F.lit(buckets)) + 1)
-    b = F.floor((F.col(value) - F.col("_lo")) / width)
-    placed = salted_join(freq, ends.withColumnRenamed(key, "_k"), key, "_k", value, "inner").withColumn("_b", b)
-    per = placed.groupBy(key, "_b").agg(F.sum("n").alias("_bn"), F.max("_all").alias("_all"))
-    w = Window.partitionBy(key).orderBy("_b")
-    per = per.withColumn("_to", F.sum("_bn").over(w)).withColumn("_rank", F.ceil(F.col("_all") * F.lit(q)))
-    rank = F.greatest(F.lit(1), F.col("_rank"))
-    home = per.where((F.col("_to") >= rank) & (F.col("_to") - F.col("_bn") < rank)).select(
-        F.col(key).alias("_hk"), F.col("_b").alias("_hb"), (rank - (F.col("_to") - F.col("_bn"))).alias("_left")
-    )
-    near = placed.join(home, (F.col(key) == F.col("_hk")) & (F.col("_b") == F.col("_hb")))
-    w2 = Window.partitionBy(key).orderBy(value)
-    near = near.withColumn("_cum", F.sum("n").over(w2))
-    return near.where((F.col("_cum") >= F.col("_left")) & (F.col("_cum") - F.col("n") < F.col("_left"))).select(key, F.col(value).alias("percentile"))
+    rows = pin(freq.where(F.col(key).isNotNull() & F.col(value).isNotNull() & (F.col("n") > 0)).select(F.col(key).alias("_k"), F.col(value).cast("decimal(20,0)").alias("_v"), F.col("n").cast("long").alias("_n")))
+    hot = hot_keys(rows, "_k")
+    ends = rows.groupBy("_k").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("_n") * F.lit(q)).cast("long")).alias("_rank"))
+    state = pin(ends.withColumnRenamed("_k", "_sk"))
+    while state.where("_hi > _lo").limit(1).count():
+        width = F.floor((F.col("_hi") - F.col("_lo")) / F.lit(buckets)) + 1
+        near = salted_join(rows, state, "_k", "_sk", "_v", "inner", hot).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        near = pin(near.select("_k", "_v", "_n", "_lo", "_hi", "_rank", width.cast("decimal(20,0)").alias("_w"), F.floor((F.col("_v") - F.col("_lo")) / width).cast("int").alias("_b")))
+        per = near.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"), F.max("_rank").alias("_rank"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_w").alias("_w"))
+        per = per.withColumn("_to", F.sum("_bn").over(Window.partitionBy("_k").orderBy("_b")))  # at most ``buckets`` rows a key
+        hit = per.where((F.col("_to") >= F.col("_rank")) & (F.col("_to") - F.col("_bn") < F.col("_rank")))
+        low = (F.col("_lo") + F.col("_b") * F.col("_w")).cast("decimal(20,0)")
+        nxt = pin(hit.select(F.col("_k").alias("_sk"), low.alias("_lo"), F.least(F.col("_hi"), (low + F.col("_w") - 1).cast("decimal(20,0)")).alias("_hi"), (F.col("_rank") - (F.col("_to") - F.col("_bn"))).alias("_rank")))
+        drop(state), drop(rows)
+        state, rows = nxt, near.select("_k", "_v", "_n")
+    return state.select(F.col("_sk").alias(key), F.col("_lo").cast(dict(freq.dtypes)[value]).alias("percentile"))

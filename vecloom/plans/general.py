@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.operators.hierarchy import descendants, hierarchy
-from vecloom.operators.orphans import Reference, direct, orphans, report
+from vecloom.operators.orphans import Reference, orphans, report
 from vecloom.operators.skew import distinct_per_key, frequencies, mode_per_key, weighted_percentile
 from vecloom.sources.tables import latest, table, uuid_text
 
@@ -48,11 +48,8 @@ def references(spark: SparkSession, folder: str) -> tuple[list[Reference], dict[
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     refs, targets = references(spark, folder)
-    out = None
-    for r in refs:
-        d = direct(r, targets[r.into]).select("ref_table", "ref_id", "target", F.date_format("at", "yyyy-MM").alias("period"))
-        out = d if out is None else out.unionByName(d)
-    return out.distinct()
+    found = orphans(refs, targets).where("kind = 'direct'")
+    return found.select("ref_table", "ref_id", "target", F.date_format("at", "yyyy-MM").alias("period")).distinct()
 
 
 def p3_report(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,10 +28,13 @@ def local_session(cores: int = 8, memory: str = "16g", name: str = "vecloom") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and everything
+    runs on this machine. On a cluster without the setting this raises: a machine's own folder would hold a part only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
     own = getattr(spark, "_vecloom_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="vecloom-")

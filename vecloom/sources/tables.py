@@ -27,17 +27,21 @@ def latest(df: DataFrame, key: str, by: str, columns: list[str]) -> DataFrame:
     )
 
 
+_SPELLED = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
 def uuid_text(c: Column) -> Column:
     """One spelling per UUID: lower case, 8-4-4-4-12. Case, braces, hyphens, blanks and a urn prefix do not matter.
 
     Text that has not 32 hexadecimal digits is no UUID and comes back trimmed and in lower case; blank text is null.
     """
+    # each step is a column of a one-element array, so that it is computed once however often it is named
     plain = F.lower(F.trim(c))
-    digits = F.regexp_replace(F.regexp_replace(plain, "^urn:uuid:", ""), "[^0-9a-f]", "")
-    spelled = F.concat_ws(
-        "-", digits.substr(1, 8), digits.substr(9, 4), digits.substr(13, 4), digits.substr(17, 4), digits.substr(21, 12)
-    )
-    return F.when(F.length(digits) == 32, spelled).when(F.length(plain) > 0, plain)
+    step = F.transform(F.array(plain), lambda p: F.struct(p.alias("p"), F.regexp_replace(F.regexp_replace(p, "^urn:uuid:", ""), "[^0-9a-f]", "").alias("d")))
+    spelled = F.transform(step, lambda z: F.when(F.length(z["d"]) == 32, F.concat_ws(
+        "-", z["d"].substr(1, 8), z["d"].substr(9, 4), z["d"].substr(13, 4), z["d"].substr(17, 4), z["d"].substr(21, 12)
+    )).when(F.length(z["p"]) > 0, z["p"]))
+    return F.when(c.rlike(_SPELLED), c).otherwise(F.get(spelled, F.lit(0)))
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
