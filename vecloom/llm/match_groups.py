@@ -3,7 +3,8 @@
 Chains make breadth-first search slow (one round per step), so the graph is contracted first: each node hooks to its
 smallest neighbour and the hooks are followed, which divides the length of every path. The search then runs on the
 contracted graph from the node of highest degree; should it still not end within ``WAVES`` rounds, what it has reached
-becomes one node and the graph is contracted again.
+becomes one node and the graph is contracted again. Text ids take part as 64-bit hashes, if no two of them share one
+(which is checked), else as they are.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecloom.operators.skew import salted_join
 from vecloom.session import drop, pin
 
 HOOKS = 3
@@ -24,20 +26,18 @@ def pairs_of_lists(df: DataFrame, members: Column) -> DataFrame:
 
 
 def _simple(pairs: DataFrame) -> DataFrame:
-    p = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    p = pairs.where(F.col("a") != F.col("b"))
     return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _hook(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest neighbour or itself, followed four steps."""
-    m = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("label")))
-    m = pin(m.groupBy("node").agg(F.min("label").alias("label")))
-    for _ in range(2):
-        o = m.select(F.col("node").alias("on"), F.col("label").alias("ol"))
-        n = pin(m.join(o, F.col("label") == F.col("on"), "left").select("node", F.coalesce("ol", "label").alias("label")))
-        drop(m)
-        m = n
-    return m
+    m = edges.select("b", "a").unionByName(edges.select(F.col("a").alias("b"), "a"))
+    m = pin(m.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
+    two = _move(m, m)
+    four = pin(_move(two, two))
+    drop(m)
+    return four
 
 
 def _relabel(edges: DataFrame, m: DataFrame) -> DataFrame:
@@ -56,63 +56,83 @@ def match_groups(pairs: DataFrame) -> DataFrame:
     """pairs (a, b) to (id, group_id): one row per id that is linked to another; group_id is the group's smallest id.
 
     Repeated and reversed pairs, loops and pairs with a null count for nothing more. An empty table gives no rows.
-    Hot nodes are safe: every step groups by node with partial aggregation or joins pairs with one row per node.
+    Hot nodes are safe: every step groups by node with partial aggregation or joins pairs with one row per node; names
+    are joined to the members of a hot group by salted keys.
     """
+    p = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
+    nodes = None
+    if dict(p.dtypes)["a"] == "string":
+        p = pin(p.distinct())
+        nodes = pin(p.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("v", F.xxhash64("id")))
+        if nodes.groupBy("v").count().where("count > 1").limit(1).count():
+            nodes = None
+    if nodes is None:
+        labels = _labels(p).withColumnRenamed("node", "id")
+    else:
+        labels = _labels(p.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
+        labels = pin(labels.join(nodes, F.col("node") == F.col("v")).select("id", "label"))
+    low = labels.groupBy(F.col("label").alias("low")).agg(F.min("id").alias("group_id"))
+    return salted_join(labels, low, "label", "low", "id", "inner").select("id", "group_id")
+
+
+def _labels(pairs: DataFrame) -> DataFrame:
+    """(node, label) of all nodes: those of one component, and only those, share a label."""
     edges = pin(_simple(pairs))
     labels = pin(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
+    maps: list[DataFrame] = []
 
-    def contract(e: DataFrame, lab: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    def contract(e: DataFrame, rounds: int) -> DataFrame:
         for _ in range(rounds):
-            m = _hook(e)
-            e2, lab2 = pin(_relabel(e, m)), pin(_move(lab, m))
-            drop(e), drop(lab), drop(m)
-            e, lab = e2, lab2
+            maps.append(_hook(e))
+            nxt = pin(_relabel(e, maps[-1]))
+            drop(e)
+            e = nxt
             if not e.limit(1).count():
                 break
-        return e, lab
+        return e
 
-    edges, labels = contract(edges, labels, HOOKS)
+    edges = contract(edges, HOOKS)
     # the giant component
-    seed = _hub(edges)
-    while seed is not None:
-        met, wave = None, edges.sparkSession.createDataFrame([(seed,)], edges.select("a").schema).withColumnRenamed("a", "v")
+    while (seed := _hub(edges)) is not None:
+        both = pin(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        waves = [pin(edges.sparkSession.createDataFrame([(seed,)], both.select("a").schema).withColumnRenamed("a", "v"))]
+        ended = False
         for _ in range(WAVES):
-            met = pin(wave if met is None else met.unionByName(wave))
-            out = edges.join(wave.withColumnRenamed("v", "w"), F.col("a") == F.col("w"), "left_semi").select(F.col("b").alias("v"))
-            back = edges.join(wave.withColumnRenamed("v", "w"), F.col("b") == F.col("w"), "left_semi").select(F.col("a").alias("v"))
-            wave = pin(out.unionByName(back).distinct().join(met, "v", "left_anti"))
-            if not wave.limit(1).count():
+            # in an undirected graph a wave leads back to itself and the one before only
+            old = waves[-1] if len(waves) == 1 else waves[-1].unionByName(waves[-2])
+            out = both.join(waves[-1].withColumnRenamed("v", "w"), F.col("a") == F.col("w"), "left_semi").select(F.col("b").alias("v")).distinct()
+            nxt = pin(out.join(old, "v", "left_anti"))
+            if not nxt.limit(1).count():
+                ended = True
                 break
-        else:
-            met = pin(met.unionByName(wave))
-            wave = None
-        low = met.agg(F.min("v")).first()[0]
-        m = met.select(F.col("v").alias("node"), F.lit(low).alias("label"))
-        labels = pin(_move(labels, m))
-        if wave is not None:  # the search ended: the component goes
+            waves.append(nxt)
+        met = waves[0]
+        for w in waves[1:]:
+            met = met.unionByName(w)
+        maps.append(pin(met.select(F.col("v").alias("node"), F.lit(seed).alias("label"))))
+        drop(both)
+        if ended:  # the component goes
             edges = pin(edges.join(met.withColumnRenamed("v", "w"), F.col("a") == F.col("w"), "left_anti"))
             break
-        edges = pin(_relabel(edges, m))
-        edges, labels = contract(edges, labels, 1)
-        at = labels.where(F.col("node") == F.lit(low)).select("label").first()
-        seed = at[0] if at is not None else _hub(edges)
-        if not edges.where((F.col("a") == F.lit(seed)) | (F.col("b") == F.lit(seed))).limit(1).count():
-            break
+        edges = contract(pin(_relabel(edges, maps[-1])), 1)
     # the small ones: minimum propagation, with a shortcut through the label found
-    state = pin(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
     both = pin(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    state = pin(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     while state.limit(1).count():
         near = both.join(state, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("l"))
         s = state.join(near, F.col("node") == F.col("n"), "left").select("node", "label", F.least("label", F.coalesce("l", "label")).alias("now"))
         via = s.select(F.col("node").alias("vn"), F.col("now").alias("vl"))
         nxt = pin(s.join(via, F.col("now") == F.col("vn"), "left").select("node", F.least("now", F.coalesce("vl", "now")).alias("label"), (F.col("now") < F.col("label")).alias("moved")))
+        moved = nxt.where("moved").limit(1).count()
         drop(state)
         state = nxt.drop("moved")
-        if not nxt.where("moved").limit(1).count():
+        if not moved:
             break
-    labels = pin(_move(labels, state))
-    low = labels.groupBy("label").agg(F.min("node").alias("group_id"))
-    return labels.join(low, "label").select(F.col("node").alias("id"), "group_id")
+    for k, m in enumerate([*maps, state]):
+        labels = _move(labels, m)
+        if k % 4 == 3:
+            labels = pin(labels)
+    return pin(labels)
 
 
 def _hub(edges: DataFrame):
