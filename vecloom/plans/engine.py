@@ -246,11 +246,45 @@ def bootstrap_partitions(s, d):
     return partitions.bootstrap(_v(s, d))
 
 
-def delaunay_neighbors(s, d):
+def split_kmeans2_sides(s, d):
+    return _sides(split_kmeans2(s, d))
+
+
+def split_grow_sides(s, d):
+    return _sides(split_grow(s, d))
+
+
+def _sides(parts: DataFrame) -> DataFrame:
+    """What has to hold of a split: every member once, and two sides."""
+    return parts.groupBy("partition_id").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("members"), (F.countDistinct("side") == 2).alias("two_sides"))
+
+
+def split_into_trees_pieces(s, d):
+    """Every vector once, in a piece named by its smallest member; pieces of one partition join others only if they fit."""
+    p = pin(split_into_trees(s, d))
+    n = p.groupBy(F.col("piece").alias("q")).agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.countDistinct("partition_id").alias("parts"))
+    return p.join(n, F.col("piece") == F.col("q")).select("vec_id", "partition_id", (F.col("low") == F.col("piece")).alias("named"), ((F.col("n") <= partitions.CAPACITY) | (F.col("parts") == 1)).alias("fits"))
+
+
+def bootstrap_partitions_fit(s, d):
+    p = pin(bootstrap_partitions(s, d))
+    n = p.groupBy(F.col("partition_id").alias("q")).count()
+    return p.join(n, F.col("partition_id") == F.col("q")).select("vec_id", (F.col("count") <= partitions.CAPACITY).alias("fits"))
+
+
+def delaunay_plane(s, d):
+    """Neighbours of centroids in the plane of their first two lanes."""
     c = partitions.centroids(_members(s, d)).select(F.col("partition_id").alias("id"), F.get("centroid", F.lit(0)).alias("x"), F.get("centroid", F.lit(1)).alias("y"))
     return partitions.delaunay(c)
 
 
+def delaunay_neighbors(s, d):
+    """Neighbours of centroids in the projection, over all lanes."""
+    p = umap.Projection(64).fit(_v(s, d), epochs=10)
+    c = partitions.centroids(_members(s, d)).select(F.col("partition_id").alias("vec_id"), F.col("centroid").alias("embedding"))
+    return partitions.delaunay(p.transform(c).withColumnRenamed("vec_id", "id"))
+
+
 # trees and graphs
 def _weights(e: DataFrame) -> DataFrame:
     return e.select("src", "dst", _r("weight"))
@@ -424,10 +458,22 @@ def fuzzy_union(s, d):
     return umap.fuzzy_union(w).select("i", "j", _r("w"))
 
 
+def fuzzy_weights_sums(s, d):
+    w = fuzzy_weights(s, d)
+    return w.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("total"), F.round(F.max("w"), 6).alias("top"))
+
+
 def training_batches(s, d):
     return umap.training_batches(table(s, d, "embeddings").groupBy(F.col("label").cast("long").alias("partition_id")).agg(F.count(F.lit(1)).alias("size")))
 
 
+def training_batches_fit(s, d):
+    b = pin(training_batches(s, d))
+    full = b.groupBy(F.col("batch").alias("q")).agg(F.sum("size").alias("n"), F.max("room").alias("r"))
+    j = b.join(full, F.col("batch") == F.col("q"))
+    return j.groupBy("partition_id").agg(F.sum("size").alias("placed"), F.max(F.when(F.col("n") + F.col("r") == umap.BATCH, 0).otherwise(1)).alias("wrong"))
+
+
 def umap_project(s, d):
     return umap.Projection(64).fit(_v(s, d), epochs=10).transform(_v(s, d))
 
@@ -458,12 +504,13 @@ knn_exact knn_batch knn_partition_pruned knn_approx_nprobe nearest_partition ass
 partition_centroids partition_meta membership_lookup partition_neighbors expand_one_hop partition_trail
 required_partitions induced_subgraph split_first_tree forest_tree_count merge_partitions split_edge_rehome
 split_kmeans2 split_grow split_into_trees bootstrap_partitions delaunay_neighbors
+split_kmeans2_sides split_grow_sides split_into_trees_pieces bootstrap_partitions_fit delaunay_plane
 mst_full mst_edges mst_insert_one mst_insert_batch delete_vectors edge_extremes intra_edges inter_edges edge_delete
 tree_path path_bottleneck sssp_tree
 cluster_single_linkage cluster_coarsen cluster_sizes cluster_members cluster_of_vector cluster_listing cluster_meta
 cluster_hierarchy_counts cluster_boundary_edges cluster_graph dendrogram cluster_merge_steps cluster_after_insert
 get_vector vectors_by_partition vectors_by_partitions vectors_by_cluster project_ids project_vectors all_ids vector_meta
-fuzzy_weights fuzzy_union training_batches umap_project insert_then_mst roundtrip_parquet""".split()
+fuzzy_weights fuzzy_weights_sums fuzzy_union training_batches training_batches_fit umap_project insert_then_mst roundtrip_parquet""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # SQL ---------------------------------------------------------------------------------------------------------------
@@ -591,6 +638,26 @@ ORACLES = {
  SELECT i, j, round(a + b - a * b, 6) AS w FROM s""",
     "roundtrip_parquet": "SELECT vec_id, label::BIGINT AS partition_id, embedding[1]::DOUBLE AS first FROM embeddings",
 }
+_SIDES = "SELECT label::BIGINT AS partition_id, count(*) AS rows, count(DISTINCT vec_id) AS members, true AS two_sides FROM embeddings GROUP BY 1"
+ORACLES |= {
+    "split_kmeans2_sides": _SIDES,
+    "split_grow_sides": _SIDES,
+    "split_into_trees_pieces": "SELECT vec_id, label::BIGINT AS partition_id, true AS named, true AS fits FROM embeddings",
+    "bootstrap_partitions_fit": "SELECT vec_id, true AS fits FROM embeddings",
+    "training_batches_fit": "SELECT label::BIGINT AS partition_id, count(*) AS placed, 0 AS wrong FROM embeddings GROUP BY 1",
+    "fuzzy_weights_sums": "SELECT vec_id AS i, 10::BIGINT AS n, round(log2(10), 4) AS total, 1.0::DOUBLE AS top FROM embeddings",
+    "cluster_merge_steps": _CLUST + """, n AS (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) AS k FROM c GROUP BY 1)
+ SELECT vec_id, CASE WHEN cluster_id = (SELECT cluster_id FROM n WHERE k = 2) THEN (SELECT cluster_id FROM n WHERE k = 1) ELSE cluster_id END AS cluster_id FROM c""",
+    # the triangles whose circumcircle is empty
+    "delaunay_plane": _CEN + """, p AS (SELECT partition_id AS id, c[1] AS x, c[2] AS y FROM cen),
+ t AS (SELECT a.id AS i, b.id AS j, c.id AS k, a.x AS ax, a.y AS ay, 2 * (a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y)) AS d,
+   (a.x ** 2 + a.y ** 2) * (b.y - c.y) + (b.x ** 2 + b.y ** 2) * (c.y - a.y) + (c.x ** 2 + c.y ** 2) * (a.y - b.y) AS u,
+   (a.x ** 2 + a.y ** 2) * (c.x - b.x) + (b.x ** 2 + b.y ** 2) * (a.x - c.x) + (c.x ** 2 + c.y ** 2) * (b.x - a.x) AS v
+   FROM p a JOIN p b ON a.id < b.id JOIN p c ON b.id < c.id),
+ o AS (SELECT i, j, k, u / d AS ox, v / d AS oy, (ax - u / d) ** 2 + (ay - v / d) ** 2 AS r FROM t WHERE d <> 0),
+ tri AS (SELECT i, j, k FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id NOT IN (i, j, k) AND (p.x - ox) ** 2 + (p.y - oy) ** 2 < r))
+ SELECT i AS src, j AS dst FROM tri UNION SELECT i, k FROM tri UNION SELECT j, k FROM tri""",
+}
 ORACLES["knn_partition_pruned"] = ORACLES["knn_exact"]
 for _n in ("mst_insert_one", "mst_insert_batch", "insert_then_mst"):
     ORACLES[_n] = ORACLES["mst_edges"]

@@ -21,7 +21,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy(current_meta(spark, folder, "merged_into", "size"), "cluster_id", "merged_into", "size")
+    h = hierarchy(current_meta(spark, folder, "merged_into", "size"), "cluster_id", "merged_into", "size")
+    path = F.when(F.col("path").isNotNull(), F.concat_ws("/", F.col("path").cast("array<string>")))
+    return h.withColumn("path", path)
 
 
 def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,10 +96,39 @@ _WALK = f"""WITH RECURSIVE {_META},
    CASE WHEN top IS NULL THEN path[len(path)] ELSE list_min(path[list_position(path, top):]) END AS root
    FROM ends WHERE rn = 1)"""
 
+_RING = ", ring AS (SELECT v FROM last WHERE lost AND top = v)"
+_REFS = f"""WITH RECURSIVE {_META},
+ vec AS (SELECT {_UUID.format(c='id')} AS key, min(inserted_at) AS since, min(deleted_at) AS until FROM vectors GROUP BY 1),
+ refs AS (
+  SELECT 'cluster_membership' AS ref_table, m.membership_id AS ref_id, m.cluster_id::VARCHAR AS target, m.assigned_at AS ts, t.cluster_id IS NULL AS gone, t.created_at AS since, t.deleted_at AS until
+   FROM cluster_membership m LEFT JOIN meta t ON m.cluster_id = t.cluster_id WHERE m.cluster_id IS NOT NULL
+  UNION
+  SELECT 'cluster_meta', m.cluster_id, m.merged_into::VARCHAR, m.merged_at, t.cluster_id IS NULL, t.created_at, t.deleted_at
+   FROM meta m LEFT JOIN meta t ON m.merged_into = t.cluster_id WHERE m.merged_into IS NOT NULL
+  UNION
+  SELECT 'graphs', g.graph_id, g.target, g.saved_at, v.key IS NULL, v.since, v.until FROM
+   (SELECT graph_id, saved_at, {_UUID.format(c='x')} AS target FROM (SELECT graph_id, saved_at, unnest(ids) AS x FROM graphs)) g
+   LEFT JOIN vec v ON g.target = v.key WHERE g.target IS NOT NULL),
+ direct AS (SELECT *, CASE WHEN gone THEN 'missing' WHEN until <= ts THEN 'deleted' ELSE 'early' END AS why FROM refs WHERE gone OR until <= ts OR since > ts),
+ bad AS (SELECT ref_id AS key FROM direct WHERE ref_table = 'cluster_meta' UNION SELECT m.cluster_id FROM meta m JOIN bad ON m.merged_into = bad.key),
+ found AS (SELECT ref_table, ref_id, target, ts, 'direct' AS kind, why FROM direct UNION
+  SELECT r.ref_table, r.ref_id, r.target, r.ts, 'inherited', 'parent is an orphan' FROM refs r JOIN bad ON r.target = bad.key::VARCHAR
+  WHERE r.ref_table <> 'graphs' AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.ref_table = r.ref_table AND d.ref_id = r.ref_id AND d.target = r.target))"""
+
 ORACLES = {
+    "p3_report": _REFS + " SELECT ref_table, strftime(ts, '%Y-%m') AS period, kind, why, count(*) AS n_references, count(DISTINCT target) AS n_targets FROM found GROUP BY 1, 2, 3, 4",
     "p2_found": _WALK + " SELECT l.v AS cluster_id, l.root AS root_id FROM last l JOIN edge e USING (v) WHERE e.a IS NOT NULL",
     "p2_descendants": _WALK + """, up AS (SELECT v AS descendant, unnest(path[2:]) AS ancestor, unnest(range(1, len(path))) AS distance FROM last WHERE NOT lost)
       SELECT ancestor, descendant, distance::INT AS distance FROM up""",
+    "p2_descendants_all": _WALK + _RING + """, up AS (SELECT v AS descendant, unnest(path[2:]) AS ancestor, unnest(range(1, len(path))) AS distance FROM last)
+      SELECT ancestor, descendant, distance::INT AS distance FROM up WHERE ancestor NOT IN (SELECT v FROM ring) AND descendant NOT IN (SELECT v FROM ring)""",
+    "p2_hierarchy": _WALK + _RING + """, up AS (SELECT v AS d, unnest(path[2:]) AS anc, unnest(range(1, len(path))) AS dist FROM last),
+      n AS (SELECT anc, count(*) AS n, sum(coalesce(size, 0))::BIGINT AS total, max(dist)::INT AS height FROM up JOIN edge ON edge.v = up.d GROUP BY 1)
+      SELECT l.v AS cluster_id, e.a AS parent, l.root, CASE WHEN NOT l.lost THEN len(l.path)::INT - 1 END AS depth,
+       CASE WHEN NOT l.lost THEN array_to_string(list_reverse(l.path), '/') END AS path,
+       CASE WHEN r.v IS NULL THEN coalesce(n.n, 0) END AS n_below, CASE WHEN r.v IS NULL THEN coalesce(n.total, 0) END AS total_below,
+       CASE WHEN r.v IS NULL THEN coalesce(n.height, 0) END AS height, l.lost AS leads_to_circle, r.v IS NOT NULL AS on_circle
+      FROM last l JOIN edge e USING (v) LEFT JOIN ring r ON r.v = l.v LEFT JOIN n ON n.anc = l.v""",
     "p3_found": f"""WITH {_META},
  vec AS (SELECT {_UUID.format(c='id')} AS key, min(inserted_at) AS since, min(deleted_at) AS until FROM vectors GROUP BY 1),
  refs AS (
