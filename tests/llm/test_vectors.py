@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from vecloom.llm import similar, similarity_clusters
+from vecloom.llm import similar, similarity_clusters, vectors
 from vecloom.llm.graph_index import build, search
 from vecloom.llm.similar import most_similar
 from vecloom.llm.similarity_clusters import describe, flow, forest, markov_step, similarity_clusters as clusters
@@ -117,7 +117,7 @@ def test_nearest_of_each(spark, shard, monkeypatch):
 
 def test_query_at_an_empty_centre(spark, monkeypatch):
     x = blobs(60, copies=1)
-    monkeypatch.setattr(similar, "fit_cells", lambda *_: Cells(np.stack([np.full(DIM, 500.0), x[0], np.full(DIM, -500.0), x[1]])))
+    monkeypatch.setattr(vectors, "fit_cells", lambda *_: Cells(np.stack([np.full(DIM, 500.0), x[0], np.full(DIM, -500.0), x[1]])))
     q = usable_frame(spark, np.full((1, DIM), 400)).select(F.col("vec_id").alias("q"), F.lit(3).alias("k"), F.lit(None).cast("long").alias("self"), "vec")
     got = [r["vec_id"] for r in most_similar(usable_frame(spark, x), "vec_id", q, DIM).orderBy("rank").collect()]
     assert got == np.argsort(((x.astype(np.float64) - 400) ** 2).sum(1))[:3].tolist()

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ def _encoder(path: str):
     return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count(it: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    e = _encoder(path)
+def _count(it: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    e = _encoder(SparkFiles.get(name))
     for b in it:
         n = [len(e.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
         cols = [c for c in b.schema.names if c != "text"]
@@ -36,10 +38,12 @@ def _count(it: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
 
 
 def with_tokens(docs: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """Columns ``keep`` and n_tokens of the whole text; null text has none."""
+    """Columns ``keep`` and n_tokens of the whole text; null text has none. The vocabulary file goes from the driver to
+    every executor."""
+    docs.sparkSession.sparkContext.addFile(path)
     df = docs.select(*keep, F.col(text).alias("text"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes)
-    return df.mapInArrow(partial(_count, path=path), f"{kinds}, n_tokens long")
+    return df.mapInArrow(partial(_count, name=os.path.basename(path)), f"{kinds}, n_tokens long")
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:

@@ -54,8 +54,8 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
     v = usable_vectors(spark, folder)
-    found, weights = similarity_clusters(v, "vec_id", DIM, _limits(spark, folder))
-    return describe(found, weights, v, "vec_id", DIM)
+    found, attractors = similarity_clusters(v, "vec_id", DIM, _limits(spark, folder))
+    return describe(found, attractors, v, "vec_id", DIM)
 
 
 def p4_lanes(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,12 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.graph_index import build, search
-from vecloom.llm.vectors import Cells, Shards, binary, fit_cells, fold_groups, in_cells, matrix
+from vecloom.llm.vectors import Shards, fit_shards, fold_groups, matrix
 from vecloom.session import drop, pin
 
 SHARD = 8192  # vectors a graph should hold
-MOST_SHARDS = 65_536  # centres that travel to the tasks (16 MB at 64 lanes); beyond it graphs grow
-FITTED = 16_384  # sampled vectors of one cell on which its own centres are fitted
 BLOCK = 16_384  # queries of one task
 PROBES = 64  # shards searched for a query besides its own, nearest first, where the planes leave more open
 WIDTH = 64  # beam of a search, besides BEAM_PER_K for each neighbour sought
@@ -51,22 +49,6 @@ def _build(table: pa.Table, dim: int, each: int, shards: Shards, sizes: np.ndarr
 FOUND = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
 
 
-def _centres(table: pa.Table, dim: int, n: dict[int, int]) -> pa.Table:
-    """Centres within one cell from its sample: the first by key, moved to their means three times."""
-    table = table.sort_by("h")
-    cell = table["cell"][0].as_py()
-    x = matrix(table["vec"], dim).astype(np.float64)
-    c = x[: n[cell]].copy()
-    for _ in range(3):
-        z = Cells(c)
-        h = np.concatenate([z.home(x[a : a + 1024].astype(np.float32)) for a in range(0, len(x), 1024)])
-        count = np.bincount(h, minlength=len(c))
-        for lane in range(dim):
-            s = np.bincount(h, x[:, lane], len(c))
-            c[:, lane] = np.where(count > 0, s / np.maximum(count, 1), c[:, lane])
-    return pa.table({"cell": pa.array(np.full(len(c), cell, np.int32)), "vec": binary(c)})
-
-
 def _place(it: Iterator[pa.RecordBatch], shards: Shards, dim: int) -> Iterator[pa.RecordBatch]:
     for b in it:
         x = matrix(b.column("vec"), dim)
@@ -88,12 +70,7 @@ class Index:
         w = Window.partitionBy("rep").orderBy(key)
         few = self.groups.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
         copies = pin(few.groupBy(F.col("rep").alias("crep")).agg(F.sort_array(F.collect_list(key)).alias("copies")))
-        n = self.reps.count()
-        cells = fit_cells(self.reps, n, dim)
-        placed = in_cells(self.reps, cells, dim)
-        held = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # one row per cell, at most MOST_CELLS
-        room = max(SHARD, -(-n // (MOST_SHARDS // 2)))
-        self.shards = shards = Shards(cells, self._within(placed, {c: -(-2 * m // room) for c, m in held.items() if m > room}, held))
+        self.shards = shards = fit_shards(self.reps, dim, SHARD)
         rows = pin(self.reps.mapInArrow(partial(_place, shards=shards, dim=dim), "rep long, vec binary, shard int"))
         whole = rows.join(copies, F.col("rep") == F.col("crep"), "left").drop("crep")
         self.sizes = sizes = np.zeros(shards.n, np.int64)
@@ -102,19 +79,6 @@ class Index:
         self.graphs = pin(whole.groupBy("shard").applyInArrow(lambda t: _build(t, dim, each, shards, sizes), GRAPH))
         drop(rows)
 
-    def _within(self, placed: DataFrame, want: dict[int, int], sizes: dict[int, int]) -> dict[int, np.ndarray]:
-        if not want:
-            return {}
-        take = {c: max(k, min(sizes[c], FITTED)) for c, k in want.items()}
-        share = F.element_at(F.lit(_map({c: int(min(1.0, t / sizes[c]) * (1 << 30)) for c, t in take.items()})), F.col("cell"))
-        h = F.xxhash64(F.lit(5), "rep")
-        part = placed.where(F.pmod(h, F.lit(1 << 30)) < share).select("cell", "vec", h.alias("h"))
-        out: dict[int, list] = {}
-        dim = self.dim
-        for r in part.groupBy("cell").applyInArrow(lambda t: _centres(t, dim, want), "cell int, vec binary").collect():
-            out.setdefault(r[0], []).append(np.frombuffer(r[1], np.float32))
-        return {c: np.stack(z) for c, z in out.items()}
-
     def search(self, queries: DataFrame, most: int) -> DataFrame:
         """queries (q, k, vec) to (q, near): the k nearest keys found of each query, as an array of (d, id) by d and id.
 
@@ -156,10 +120,6 @@ class Index:
         return g.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, dim, most, shards, sizes), schema)
 
 
-def _map(d: dict[int, int]):
-    return F.create_map(*[F.lit(int(x)) for kv in d.items() for x in kv])
-
-
 def _nearest(v: np.ndarray, reps: np.ndarray, copies: pa.ChunkedArray, nbr: np.ndarray, entry: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` nearest keys found in a graph for each row of ``x``: (keys, squared L2 in double), -1 and infinity for none."""
     n, m = len(v), len(x)

@@ -4,11 +4,12 @@
    plane is near enough, and a cell is compared in tiles of bounded size. A tile hands on not its pairs but its
    lightest spanning forest and each vector's nearest links, which connect exactly the same vectors at every smaller
    threshold (MST(A u B) = MST(MST(A) u MST(B))).
-2. Flow. Within a tile, sparse Markov clustering (square, inflate, prune) runs per threshold; attractor rows give
-   first clusters. Clusters become nodes, links between them
+2. Flow. Within a tile, sparse Markov clustering (square, inflate, prune) runs per threshold on the links themselves
+   (of each vector the ``FLOW`` strongest, which is all that pruning would leave); attractor rows give first clusters. Clusters become nodes, links between them
    remain, and the same flow runs on that smaller graph as a distributed matrix product, until no link is left.
    Every merge follows links and none is left over, so the final clusters are exactly the chains of linked vectors.
-3. Description. The most central members of a final cluster are those nearest to its centroid, over all its members.
+3. Description. A cluster's attractor is the member on which the flow ends; its most central members are those nearest
+   to its centroid, over all its members.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.vectors import Cells, fit_cells, fold_copies, in_cells, matrix
+from vecloom.llm.vectors import Shards, fit_shards, fold_copies, matrix
 from vecloom.session import drop, pin
 
 TILE = 8192  # vectors on one side of a comparison
 NEAREST = 3  # links kept per vector and tile besides the forest
+FLOW = 64  # strongest links of a vector that the flow sees: as many entries as a column can keep
 PRUNE = 1 / 64  # flow entries below this share of a column are dropped
 ROUNDS = 3  # squarings per level
 FLUSH = 65536  # rows summed before a partial sum is handed on
@@ -100,6 +102,16 @@ def flow(n: int, i: np.ndarray, j: np.ndarray, s: np.ndarray, rounds: int = ROUN
     return row[o][first], np.bincount(row, v, n)
 
 
+def _strongest(i: np.ndarray, j: np.ndarray, w: np.ndarray, most: int) -> np.ndarray:
+    """Whether a link is among the ``most`` shortest of one of its ends."""
+    keep = np.zeros(len(w), bool)
+    end, link = np.concatenate([i, j]), np.tile(np.arange(len(w)), 2)
+    o = np.lexsort((w[link], end))
+    first = np.searchsorted(end[o], end[o])
+    keep[link[o[np.arange(len(o)) - first < most]]] = True
+    return keep
+
+
 def _tile(t: pa.Table, dim: int, limits: list[tuple[int, float]]) -> pa.Table:
     """Compare the rows of side 0 with those of side 1 (or among themselves): forest, nearest links and first clusters."""
     top = max(x for _, x in limits)
@@ -142,54 +154,51 @@ def _tile(t: pa.Table, dim: int, limits: list[tuple[int, float]]) -> pa.Table:
             for e in (i, j):
                 s = np.argsort(e, kind="stable")
                 first = np.searchsorted(e[s], e[s])
-                keep[s[np.arange(len(s)) - first < NEAREST]] = True
+                keep[s[np.arange(len(s)) - first < (FLOW if own else NEAREST)]] = True
             keep[forest(len(x), i, j, w)] = True
             ei, ej, ew = np.concatenate([ei, i[keep]]), np.concatenate([ej, j[keep]]), np.concatenate([ew, w[keep]])
         if len(ew):
-            keep = np.zeros(len(ew), bool)
+            if own:  # the flow runs on the links themselves
+                for sid, lim in limits:
+                    m = _strongest(ei, ej, ew, FLOW) & (ew < lim)
+                    if not m.any():
+                        continue
+                    nodes, pos = np.unique(np.concatenate([ei[m], ej[m]]), return_inverse=True)
+                    half = len(pos) // 2
+                    lab = flow(len(nodes), pos[:half], pos[half:], 1.05 - ew[m] / lim)[0]
+                    out.append((np.ones(len(nodes), np.int32), np.full(len(nodes), sid, np.int32), rep[nodes], rep[nodes[lab]], np.zeros(len(nodes))))
+            keep = _strongest(ei, ej, ew, NEAREST)
             keep[forest(len(x), ei, ej, ew)] = True
-            for e in (ei, ej):
-                s = np.lexsort((ew, e))
-                first = np.searchsorted(e[s], e[s])
-                keep[s[np.arange(len(s)) - first < NEAREST]] = True
             ei, ej, ew = ei[keep], ej[keep], ew[keep]
             lo, hi = np.minimum(rep[ei], rep[ej]), np.maximum(rep[ei], rep[ej])
             out.append((np.zeros(len(ew), np.int32), np.zeros(len(ew), np.int32), lo, hi, ew))
-    if own and len(a):
-        for sid, lim in limits:
-            m = ew < lim
-            if not m.any():
-                continue
-            nodes, pos = np.unique(np.concatenate([ei[m], ej[m]]), return_inverse=True)
-            half = len(pos) // 2
-            lab, got = flow(len(nodes), pos[:half], pos[half:], 1.05 - ew[m] / lim)
-            out.append((np.ones(len(nodes), np.int32), np.full(len(nodes), sid, np.int32), rep[nodes], rep[nodes[lab]], got))
     cols = [np.concatenate(c) if out else np.empty(0) for c in zip(*out)] or [np.empty(0)] * 5
     return pa.table([pa.array(cols[0].astype(np.int32)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int64)), pa.array(cols[3].astype(np.int64)), pa.array(cols[4].astype(np.float64))], names=["kind", "set_id", "a", "b", "w"])
 
 
-def _visits(it: Iterator[pa.RecordBatch], cells: Cells, dim: int, reach: float) -> Iterator[pa.RecordBatch]:
-    """One row per cell a vector has to be compared in; home says which is its own."""
+def _visits(it: Iterator[pa.RecordBatch], shards: Shards, dim: int, reach: float) -> Iterator[pa.RecordBatch]:
+    """One row per shard a vector has to be compared in; home says which is its own."""
     for b in it:
         x = matrix(b.column("vec"), dim)
-        if not len(x):
-            continue
-        for p in range(0, len(x), 2048):
-            far, home = cells.far(x[p : p + 2048]), cells.home(x[p : p + 2048])
-            r, c = np.nonzero(far <= reach)
-            part = b.slice(p, 2048).take(pa.array(r))
+        for p in range(0, len(x), 1024):
+            home = shards.home(x[p : p + 1024])
+            r, c = shards.near(x[p : p + 1024], reach)
+            part = b.slice(p, 1024).take(pa.array(r))
             yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("vec"), pa.array(c.astype(np.int32)), pa.array(home[r] == c)], names=["rep", "vec", "cell", "home"])
 
 
 def links(reps: DataFrame, dim: int, limits: list[tuple[int, float]]) -> tuple[DataFrame, DataFrame]:
-    """(edges: a, b, w; first clusters: set_id, node, label, got) of all vectors nearer than the largest limit."""
-    cells = fit_cells(reps, reps.count(), dim)
+    """(edges: a, b, w; first clusters: set_id, node, label) of all vectors nearer than the largest limit.
+
+    A cell too large for a tile is divided by centres of its own, so that a vector meets only what can be near it; what
+    is still too large for a tile is divided by hash.
+    """
+    shards = fit_shards(reps, dim, 2 * TILE)
     reach = float(np.sqrt(max(x for _, x in limits)))
-    v = pin(reps.select("rep", "vec").mapInArrow(partial(_visits, cells=cells, dim=dim, reach=reach), "rep long, vec binary, cell int, home boolean"))
-    sizes = {(r[0], r[1]): -(-r[2] // TILE) for r in v.groupBy("cell", "home").count().collect()}  # two rows per cell
-    here, there = ({c: n for (c, h), n in sizes.items() if h == side} for side in (True, False))
-    look = lambda d: F.coalesce(F.element_at(F.create_map(*[F.lit(z) for kv in (d or {-1: 0}).items() for z in kv]), F.col("cell")), F.lit(0))
-    v = v.withColumn("nh", look(here)).withColumn("nv", look(there))
+    v = pin(reps.select("rep", "vec").mapInArrow(partial(_visits, shards=shards, dim=dim, reach=reach), "rep long, vec binary, cell int, home boolean"))
+    many = lambda side: F.ceil(F.count(F.when(F.col("home") == side, 1)) / TILE).cast("int")
+    sizes = v.groupBy(F.col("cell").alias("zc")).agg(many(True).alias("nh"), many(False).alias("nv"))
+    v = v.join(F.broadcast(sizes), F.col("cell") == F.col("zc"))  # one row per shard, at most MOST_SHARDS
     tile = F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("nv"))).cast("int")
     v = v.withColumn("t", tile)
     up_to = lambda lo, n: F.when(n > lo, F.sequence(lo, n - 1)).otherwise(F.array().cast("array<int>"))
@@ -205,7 +214,7 @@ def links(reps: DataFrame, dim: int, limits: list[tuple[int, float]]) -> tuple[D
     v = v.select("rep", "vec", "cell", F.col("task.i").alias("i"), F.col("task.j").alias("j"), F.col("task.side").alias("side"), F.col("task.own").alias("own"))
     got = pin(v.groupBy("cell", "i", "j").applyInArrow(lambda x: _tile(x, dim, limits), "kind int, set_id int, a long, b long, w double"))
     edges = got.where("kind = 0").groupBy("a", "b").agg(F.min("w").alias("w"))
-    return edges, got.where("kind = 1").select("set_id", F.col("a").alias("node"), F.col("b").alias("label"), F.col("w").alias("got"))
+    return edges, got.where("kind = 1").select("set_id", F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def markov_step(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -237,24 +246,23 @@ def _columns(m: DataFrame, inflate: bool) -> DataFrame:
 
 
 def similarity_clusters(vectors: DataFrame, key: str, dim: int, limits: list[tuple[int, float]]) -> tuple[DataFrame, DataFrame]:
-    """(clusters: set_id, key, cluster_id; typical: set_id, key, got) for each (set_id, threshold) of ``limits``.
+    """(clusters: set_id, key, cluster_id; attractors: set_id, cluster_id, attractor) for each (set_id, threshold) of ``limits``.
 
     Vectors (key, vec) whose squared L2 distance is below a threshold, directly or through others, share a cluster,
     named by its smallest key; clusters of one are left out. Equal vectors have distance 0. Null or non-positive
-    thresholds join nothing; an empty table gives no rows. ``got`` is the flow a vector receives
-    inside its own tile, null if it has no link there; ``describe`` does not rank by it.
+    thresholds join nothing; an empty table gives no rows. The attractor of a cluster is the member on which the flow
+    of the last level ends; of a group of copies the smallest key stands for all.
     """
     limits = sorted((int(s), float(t)) for s, t in limits if t is not None and t > 0)
     reps, members = fold_copies(vectors, key)
     members = pin(members.withColumnRenamed("rep", "mrep"))
     if not limits:
-        none = members.select(F.lit(0).alias("set_id"), key, F.col(key).alias("cluster_id"), F.lit(0.0).alias("got")).where(F.lit(False))
-        return none.drop("got"), none.drop("cluster_id")
+        none = members.select(F.lit(0).alias("set_id"), key, F.col(key).alias("cluster_id")).where(F.lit(False))
+        return none, none.select("set_id", "cluster_id", F.col(key).alias("attractor"))
     edges, first = links(reps, dim, limits)
     sets = F.array(*[F.struct(F.lit(s).alias("set_id"), F.lit(t).alias("t")) for s, t in limits])
     edges = edges.withColumn("x", F.explode(sets)).where(F.col("w") < F.col("x.t")).select(F.col("x.set_id").alias("set_id"), "a", "b", (1.05 - F.col("w") / F.col("x.t")).alias("s"))
     labels = pin(_seed(edges, first))
-    typical = first
     edges = pin(_contract(edges, labels))
     left = edges.count()
     while left:
@@ -270,16 +278,14 @@ def similarity_clusters(vectors: DataFrame, key: str, dim: int, limits: list[tup
         new = pin(labels.join(s, (F.col("set_id") == F.col("ss")) & (F.col("label") == F.col("sn")), "left").select("set_id", "node", F.coalesce("sl", "label").alias("label")))
         drop(labels), drop(edges)
         labels, edges, left = new, nxt, now
-    low = labels.groupBy("set_id", "label").agg(F.min("node").alias("low"))
+    low = pin(labels.groupBy("set_id", "label").agg(F.min("node").alias("low")))
     named = labels.join(low, ["set_id", "label"]).select(F.col("set_id").alias("ns"), F.col("node").alias("nn"), "low")
     every = members.withColumn("set_id", F.explode(F.array(*[F.lit(s) for s, _ in limits])))
-    out = every.join(named, (F.col("set_id") == F.col("ns")) & (F.col("mrep") == F.col("nn")), "left").select("set_id", key, "mrep", F.coalesce("low", "mrep").alias("cluster_id"))
+    out = every.join(named, (F.col("set_id") == F.col("ns")) & (F.col("mrep") == F.col("nn")), "left").select("set_id", key, F.coalesce("low", "mrep").alias("cluster_id"))
     out = pin(out)
     sizes = out.groupBy(F.col("set_id").alias("zs"), F.col("cluster_id").alias("zc")).count().where("count > 1").drop("count")
     found = out.join(sizes, (F.col("set_id") == F.col("zs")) & (F.col("cluster_id") == F.col("zc")), "left_semi")
-    typical = typical.select(F.col("set_id").alias("ts"), F.col("node").alias("tn"), "got")
-    weights = found.join(typical, (F.col("set_id") == F.col("ts")) & (F.col("mrep") == F.col("tn")), "left").select("set_id", key, "got")
-    return found.select("set_id", key, "cluster_id"), weights
+    return found, low.select("set_id", F.col("low").alias("cluster_id"), F.col("label").alias("attractor"))
 
 
 def _seed(edges: DataFrame, first: DataFrame) -> DataFrame:
@@ -407,15 +413,22 @@ def _nearest(it: Iterator[pa.RecordBatch], key: str, dim: int, most: int, mid: d
     yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.int64()))], names=["set_id", "cluster_id", "d", key])
 
 
-def describe(found: DataFrame, weights: DataFrame, vectors: DataFrame, key: str, dim: int, typical: int = 3) -> DataFrame:
-    """(set_id, cluster_id, size, centroid, typical) per cluster; typical: the keys nearest to the centroid of all
-    members, best first (ties: the smaller key). ``weights`` is not read: flow inside a tile tells nothing of a cluster
-    that reaches beyond it.
+def describe(found: DataFrame, attractors: DataFrame, vectors: DataFrame, key: str, dim: int, typical: int = 3) -> DataFrame:
+    """(set_id, cluster_id, size, centroid, typical, attractor) per cluster; typical: the keys nearest to the centroid of
+    all members, best first (ties: the smaller key); attractor: the member on which the Markov flow ends (of a cluster of
+    copies alone its smallest key).
 
     A vector travels once for all its clusters: clusters are nested, and the coarsest, by which rows are placed, has
     the smallest name. Clusters too large for one task (fewer than 4,096) are summed where their rows are, and the rows
     are then compared with the centroids.
     """
+    a = attractors.select(F.col("set_id").alias("as"), F.col("cluster_id").alias("ac"), "attractor")
+    out = _described_by_centre(found, vectors, key, dim, typical)
+    out = out.join(a, (F.col("set_id") == F.col("as")) & (F.col("cluster_id") == F.col("ac")), "left").drop("as", "ac")
+    return out.withColumn("attractor", F.coalesce("attractor", "cluster_id"))
+
+
+def _described_by_centre(found: DataFrame, vectors: DataFrame, key: str, dim: int, typical: int) -> DataFrame:
     one = vectors.groupBy(key).agg(F.min("vec").alias("vec"))
     sizes = pin(found.groupBy("set_id", "cluster_id").count())
     many = max(TILE, (sizes.agg(F.sum("count")).first()[0] or 0) // 4096)

@@ -15,6 +15,8 @@ from vecloom.session import pin
 
 SAMPLE = 8192  # vectors the cells are fitted on, whatever the size of the table
 MOST_CELLS = 512
+MOST_SHARDS = 65_536  # centres that travel to the tasks (16 MB at 64 lanes)
+FITTED = 16_384  # sampled vectors of one cell on which its own centres are fitted
 
 
 def matrix(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -127,6 +129,19 @@ class Shards:
                 leaf[k] += z.home(x[k])
         return leaf
 
+    def near(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of all leaves that can hold a point within ``reach`` (not squared) of a row."""
+        r, c = np.nonzero(self.cells.far(x) <= reach)
+        single = ~np.isin(c, list(self.within)) if self.within else np.ones(len(c), bool)
+        rows, leaves = [r[single]], [self.first[c[single]]]
+        for k, z in self.within.items():
+            own = r[c == k]
+            if len(own):
+                i, j = np.nonzero(z.far(x[own]) <= reach)
+                rows.append(own[i])
+                leaves.append(self.first[k] + j)
+        return np.concatenate(rows), np.concatenate(leaves)
+
     def far(self, x: np.ndarray) -> np.ndarray:
         f = self.cells.far(x)[:, self.top]
         for c, z in self.within.items():
@@ -183,3 +198,41 @@ def in_cells(df: DataFrame, cells: Cells, dim: int) -> DataFrame:
     """``df`` (with a column vec) and the cell of each row."""
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return df.mapInArrow(partial(_assign, cells=cells, dim=dim), f"{kinds}, cell int")
+
+
+def _centres(table: pa.Table, dim: int, n: dict[int, int]) -> pa.Table:
+    """Centres within one cell from its sample: the first by key, moved to their means three times."""
+    table = table.sort_by("h")
+    cell = table["cell"][0].as_py()
+    x = matrix(table["vec"], dim).astype(np.float64)
+    c = x[: n[cell]].copy()
+    for _ in range(3):
+        z = Cells(c)
+        h = np.concatenate([z.home(x[a : a + 1024].astype(np.float32)) for a in range(0, len(x), 1024)])
+        count = np.bincount(h, minlength=len(c))
+        for lane in range(dim):
+            s = np.bincount(h, x[:, lane], len(c))
+            c[:, lane] = np.where(count > 0, s / np.maximum(count, 1), c[:, lane])
+    return pa.table({"cell": pa.array(np.full(len(c), cell, np.int32)), "vec": binary(c)})
+
+
+def fit_shards(reps: DataFrame, dim: int, room: int, cells: Cells | None = None) -> Shards:
+    """Cells of ``reps`` (rep, vec), and in each that holds more than ``room`` vectors centres of its own, two for every
+    ``room`` of them, fitted on at most ``FITTED`` vectors of the cell (or as many as it has centres). All of them
+    together are at most ``MOST_SHARDS``; beyond that ``room`` grows with the table."""
+    n = reps.count()
+    cells = cells or fit_cells(reps, n, dim)
+    placed = in_cells(reps, cells, dim)
+    held = {r[0]: r[1] for r in placed.groupBy("cell").count().collect()}  # one row per cell, at most MOST_CELLS
+    room = max(room, -(-n // (MOST_SHARDS // 2)))
+    want = {c: -(-2 * m // room) for c, m in held.items() if m > room}
+    if not want:
+        return Shards(cells, {})
+    take = {c: max(k, min(held[c], FITTED)) for c, k in want.items()}
+    share = F.create_map(*[F.lit(z) for c, t in take.items() for z in (int(c), int(min(1.0, t / held[c]) * (1 << 30)))])
+    h = F.xxhash64(F.lit(5), "rep")
+    part = placed.where(F.pmod(h, F.lit(1 << 30)) < F.element_at(share, F.col("cell"))).select("cell", "vec", h.alias("h"))
+    within: dict[int, list] = {}
+    for r in part.groupBy("cell").applyInArrow(lambda t: _centres(t, dim, want), "cell int, vec binary").collect():
+        within.setdefault(r[0], []).append(np.frombuffer(r[1], np.float32))
+    return Shards(cells, {c: np.stack(z) for c, z in within.items()})
