@@ -9,7 +9,7 @@ from vecloom.engine import IDS, Engine
 from vecloom.functions import vectors as vec
 from vecloom.operators import clusters, graph, knn, mst, partitions
 from vecloom.sources.store import Delta, Store, difference
-from vecloom.operators.projection import ModelNotInitialized, Projection, fuzzy_union, padded, training_batches
+from vecloom.operators.projection import ModelNotInitialized, Projection, fuzzy_union, mini_batches, padded, training_batches
 
 
 def points(spark, n=60, dim=5, seed=1):
@@ -70,8 +70,13 @@ def test_knn_cases(spark):
     assert [r["vec_id"] for r in knn.knn(d, [1, 2], 2, where=F.col("vec_id") > 0).collect()] == [1, 2]
 
 
-def test_knn_variants_agree_with_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 1])
+def test_knn_variants_agree_with_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", block)  # 1: more queries and centroids than travel, so tiles
     x, df = points(spark)
+    if block == 1:
+        tiled = knn._tiled
+        monkeypatch.setattr(knn, "_tiled", lambda a, b, k, own, size=7: tiled(a, b, k, own, size))
     d = sq(x)
     want = {(i, int(j)) for i in range(0, 60, 20) for j in sorted(set(range(60)) - {i}, key=lambda j: (d[i, j], j))[:4]}
     assert {(r["query_id"], r["vec_id"]) for r in knn.knn_batch(df, df.where("vec_id % 20 = 0"), 4).collect()} == want
@@ -84,6 +89,10 @@ def test_knn_variants_agree_with_brute_force(spark):
     m = {r["vec_id"]: r["partition_id"] for r in knn.nearest_partition(df, c).collect()}
     cen = np.array([r["centroid"] for r in c.orderBy("partition_id").collect()])
     assert m == {i: int(((x[i] - cen) ** 2).sum(1).argmin()) for i in range(60)}
+    wide = spark.createDataFrame([(i, [100.0 + i] * 5) for i in range(100, 130)], "partition_id long, centroid array<double>")
+    assert rows(knn.nearest_partition(df, c.unionByName(wide)).select("vec_id", "partition_id")) == sorted(m.items())
+    assert knn.knn_batch(df, df.where("vec_id < 0"), 3).count() == 0 == knn.knn_batch(df, df, 0).count()
+    assert knn.knn_pruned(df, q, 100, c, knn.radii(df, c)).count() == 60
     assert {(r["i"], r["j"]): round(r["d"], 9) for r in knn.pairwise(df, 16).collect()} == {(i, j): round(d[i, j], 9) for i in range(60) for j in range(i + 1, 60)}
 
 
@@ -115,6 +124,8 @@ def test_paths(spark):
     assert [(r["src"], r["dst"]) for r in graph.trail(e, 1, 4, hops=False).orderBy("step").collect()] == [(1, 2), (2, 3), (3, 4)]
     assert graph.trail(e, 1, 9).count() == 0 and graph.trail(e, 1, 1).count() == 0
     assert {r["node"]: r["cost"] for r in graph.shortest(e, 1).collect()} == {1: 0, 2: 1, 3: 6, 4: 7}
+    assert [tuple(r) for r in graph.walk(e, 1, 3).collect()] == [([1, 2, 3], 6.0)] and [tuple(r) for r in graph.walk(e, 2, 2).collect()] == [([2], 0.0)]
+    assert graph.walk(e, 1, 9).count() == 0
     assert rows(graph.shortest(e, 1, small=False)) == rows(graph.shortest(e, 1, small=True))
     with pytest.raises(KeyError):
         graph.shortest(e, 77)
@@ -196,6 +207,9 @@ def test_clusters_and_hierarchy(spark):
     a, b = sets.create(1.0), sets.create(2.0)
     assert sets.create(1.0) is a
     assert rows(b) == rows(clusters.single_linkage(nodes, tree, 2.0)) and clusters.nested([a, b])
+    counts = [rows(clusters.hierarchy_counts(nodes, tree, [2.0, 1.0, 0.0], small)) for small in (True, False)]
+    assert counts[0] == counts[1] and counts[0][0] == (0.0, 60, 1)
+    assert rows(clusters.hierarchy_counts(nodes, tree.where("src < 0"), [1.0], True)) == [(1.0, 60, 1)]
     d = clusters.dendrogram(tree)
     for t in (1.0, 2.0):
         assert sets.get(t).select("cluster_id").distinct().count() == 60 - d.where(F.col("weight") < t).count()
@@ -250,6 +264,11 @@ def test_projection(spark):
     few = training_batches(df.groupBy(F.lit(1).alias("partition_id")).agg(F.count(F.lit(1)).alias("size")), 50)
     full = padded(df.withColumn("partition_id", F.lit(1)), few, 5, 50)
     assert {r["count"] for r in full.groupBy("batch").count().collect()} == {50} and full.where("vec_id is not null").select("vec_id").distinct().count() == 120
+    mini = mini_batches(w, df.select("vec_id"), anchors=2, strangers=3)
+    near = {(1, 2): 0.5, (2, 1): 0.5, (1, 3): 1.0, (3, 1): 1.0}
+    assert {(r["anchor"], r["other"]): r["w"] for r in mini.where("w > 0").collect()} == near
+    far = [(r["anchor"], r["other"]) for r in mini.where("w = 0").collect()]
+    assert far and not set(far) & set(near) and all(a != b for a, b in far) and mini.groupBy("anchor").agg(F.countDistinct("batch").alias("n")).where("n > 1").count() == 0
     again = Projection(1).of_rows(p.rows(spark))
     assert rows(again.transform(df)) == rows(out)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.functions.blocks import labels
-from vecloom.operators.graph import _one, components, spanning_forest
+from vecloom.operators.graph import ONE_TASK, _one, components, spanning_forest
 from vecloom.session import pin
 
 
@@ -86,12 +86,35 @@ def dendrogram(tree: DataFrame) -> DataFrame:
     return _one(tree.select("src", "dst", "weight")).groupBy("_g").applyInArrow(run, "step int, weight double, left long, right long, merged_into long, size long")
 
 
-def hierarchy_counts(nodes: DataFrame, tree: DataFrame, thresholds: list[float]) -> DataFrame:
-    """(threshold, n_clusters, largest) at each threshold; each is built from the one before it."""
+def hierarchy_counts(nodes: DataFrame, tree: DataFrame, thresholds: list[float], small: bool | None = None) -> DataFrame:
+    """(threshold, n_clusters, largest) at each threshold. Up to ``ONE_TASK`` edges are read once, in the order of their
+    weight; beyond that each threshold is built from the one before it."""
+    cuts = sorted({float(t) for t in thresholds})
+    if small is None:
+        tree = pin(tree.select("src", "dst", "weight"))
+        small = tree.count() <= ONE_TASK
+    if small:
+        n = nodes.select("node").distinct().count()
+
+        def run(t: pa.Table) -> pa.Table:
+            w = t["weight"].to_numpy()
+            a, b = t["src"].to_numpy(), t["dst"].to_numpy()
+            rows = []
+            for c in cuts:
+                m = w < c
+                lab = labels(a[m], b[m])[1]
+                size = np.unique(lab, return_counts=True)[1]
+                rows.append((c, n - len(lab) + len(size), int(max(size.max(initial=0), min(n, 1)))))
+            c, k, z = zip(*rows)
+            return pa.table({"threshold": pa.array(c, pa.float64()), "n_clusters": pa.array(k, pa.int64()), "largest": pa.array(z, pa.int64())})
+
+        none = tree.sparkSession.createDataFrame([(None, None, None)], "src long, dst long, weight double")  # a task even without edges
+        every = tree.select("src", "dst", "weight").unionByName(none)
+        return _one(every).groupBy("_g").applyInArrow(lambda t: run(t.drop_null()), "threshold double, n_clusters long, largest long")
     out, clusters = None, nodes.select(F.col("node").alias("vec_id"), F.col("node").alias("cluster_id"))
-    for t in sorted(set(thresholds)):
+    for t in cuts:
         clusters = pin(coarsen(clusters, tree, t))
-        row = sizes(clusters).agg(F.count(F.lit(1)).alias("n_clusters"), F.coalesce(F.max("size"), F.lit(0)).alias("largest")).select(F.lit(float(t)).alias("threshold"), "n_clusters", "largest")
+        row = sizes(clusters).agg(F.count(F.lit(1)).alias("n_clusters"), F.coalesce(F.max("size"), F.lit(0)).alias("largest")).select(F.lit(t).alias("threshold"), "n_clusters", "largest")
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -180,6 +180,17 @@ def trail(edges: DataFrame, start: int, end: int, hops: bool = True) -> DataFram
     return path.withColumn("step", F.row_number().over(Window.orderBy("cost", "dst"))).select("step", "src", "dst", "weight")
 
 
+def walk(edges: DataFrame, start: int, end: int, hops: bool = True) -> DataFrame:
+    """(nodes, total): the path of ``trail`` as the list of its nodes and the sum of its weights; start alone and 0 if
+    start = end, no row if the end cannot be reached."""
+    t = trail(edges, start, end, hops)
+    if start == end:
+        return t.agg(F.array(F.lit(start).cast("long")).alias("nodes"), F.lit(0.0).alias("total"))
+    steps = F.array_sort(F.collect_list(F.struct("step", "dst")))  # a path is what the caller asks for, as one row
+    row = t.agg(F.count(F.lit(1)).alias("n"), steps.alias("s"), F.sum("weight").alias("total")).where("n > 0")
+    return row.select(F.concat(F.array(F.lit(start).cast("long")), F.transform("s", lambda z: z["dst"])).alias("nodes"), "total")
+
+
 def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges without those of ``gone`` (src, dst), in either direction."""
     g = gone.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))

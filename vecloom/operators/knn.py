@@ -55,31 +55,50 @@ def _scan(it: Iterator[pa.RecordBatch], ids: np.ndarray, x: np.ndarray, k: int,
 def knn_batch(data: DataFrame, queries: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, d) for many query vectors (vec_id, embedding): k nearest each, ties to the smaller id.
 
-    Queries pass in blocks of ``BLOCK``; each block is compared with every batch of the data as one array operation
-    and only k rows per query and batch are shuffled.
+    Up to ``BLOCK`` queries travel to the data, which stay where they are. More are compared in tiles of a block of
+    queries and a block of data, one task each. Either way only k rows per query and batch or tile are shuffled.
     """
-    v = clean(data)
-    out, block = None, []
-
-    def flush(rows: list) -> None:
-        nonlocal out
-        ids, x = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-        d = v.mapInArrow(partial(_scan, ids=ids, x=x, k=k, skip_self=skip_self), "query_id long, vec_id long, d double")
-        out = d if out is None else out.unionByName(d)
-
-    for r in clean(queries).orderBy("vec_id").toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            flush(block)
-            block = []
-    if block:
-        flush(block)
-    if out is None:
+    v, q = clean(data), clean(queries)
+    few = q.orderBy("vec_id").limit(BLOCK + 1).collect() if k > 0 else []
+    if not few:
         return v.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("d")).where(F.lit(False))
+    if len(few) <= BLOCK:
+        ids, x = np.array([r[0] for r in few], np.int64), np.array([r[1] for r in few], np.float64)
+        out = v.mapInArrow(partial(_scan, ids=ids, x=x, k=k, skip_self=skip_self), "query_id long, vec_id long, d double")
+    else:
+        out = _tiled(q, v, k, skip_self).select(F.col("i").alias("query_id"), F.col("j").alias("vec_id"), "d")
     w = Window.partitionBy("query_id").orderBy("d", "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "d")
 
 
+def _tiled(rows: DataFrame, others: DataFrame, k: int, skip_self: bool, block: int = 2048) -> DataFrame:
+    """(i, j, d): of each tile of ``rows`` by ``others`` (both vec_id, embedding) the k nearest j of each i."""
+    n, m = (max(1, -(-d.count() // block)) for d in (rows, others))
+    h = F.xxhash64("vec_id")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
+    a = rows.select("vec_id", "embedding", F.pmod(h, F.lit(n)).cast("int").alias("bi"), each(m).alias("bj"), F.lit(0).alias("side"))
+    b = others.select("vec_id", "embedding", each(n).alias("bi"), F.pmod(h, F.lit(m)).cast("int").alias("bj"), F.lit(1).alias("side"))
+
+    def tile(t: pa.Table) -> pa.Table:
+        ids, x, side = t["vec_id"].to_numpy(), rows_of(t["embedding"]), t["side"].to_numpy()
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        q = q[np.argsort(ids[q])]
+        out = []
+        for s in range(0, len(p) if len(q) else 0, 256):
+            r = p[s : s + 256]
+            d = sq_dists(x[r], x[q])
+            if skip_self:
+                d[ids[r][:, None] == ids[q][None]] = np.inf
+            at = np.argsort(d, 1, kind="stable")[:, :k]
+            w = np.take_along_axis(d, at, 1)
+            ok = np.isfinite(w)
+            out.append((np.repeat(ids[r], ok.sum(1)), ids[q][at][ok], w[ok]))
+        i, j, w = (np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return pa.table({"i": i.astype(np.int64), "j": j.astype(np.int64), "d": w.astype(np.float64)})
+
+    return a.unionByName(b).groupBy("bi", "bj").applyInArrow(tile, "i long, j long, d double")
+
+
 def radii(members: DataFrame, centroids: DataFrame) -> DataFrame:
     """(partition_id, n, radius): members (partition_id, embedding); radius is the largest distance to the centroid."""
     c = centroids.select(F.col("partition_id").alias("cp"), "centroid")
@@ -87,34 +106,33 @@ def radii(members: DataFrame, centroids: DataFrame) -> DataFrame:
     return j.groupBy("partition_id").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(sq_dist(F.col("embedding"), F.col("centroid")))).alias("radius"))
 
 
-def plan_probes(query: list[float], centroids: DataFrame, meta: DataFrame) -> list[tuple[int, float, int]]:
-    """(partition_id, lower bound of the distance, n), nearest bound first: no vector of a partition lies nearer than
-    the distance to its centroid minus its radius. One row per partition reaches the driver, as a query plan does."""
+def bounds(query: list[float], centroids: DataFrame, meta: DataFrame) -> DataFrame:
+    """(partition_id, b, n): no vector of a partition lies nearer than b, the distance to its centroid minus its radius."""
     q = literal(query)
-    j = centroids.join(meta, "partition_id").select("partition_id", F.greatest(F.lit(0.0), F.sqrt(sq_dist(F.col("centroid"), q)) - F.col("radius")).alias("b"), "n")
-    return [(r[0], r[1], r[2]) for r in j.orderBy("b", "partition_id").collect()]
+    return centroids.join(meta, "partition_id").select("partition_id", F.greatest(F.lit(0.0), F.sqrt(sq_dist(F.col("centroid"), q)) - F.col("radius")).alias("b"), "n")
 
 
 def knn_pruned(members: DataFrame, query: list[float], k: int, centroids: DataFrame, meta: DataFrame) -> DataFrame:
     """As ``knn``, but reads only partitions that can hold one of the k nearest; exact.
 
-    First the partitions with the smallest bounds that hold k vectors together, then all whose bound is not above the
-    k-th distance found. ``members``: vec_id, embedding, partition_id (the filter prunes files if stored by partition).
+    First the partitions with the smallest bounds that hold k vectors together (at most k of them), then all whose
+    bound is not above the k-th distance found, by a semi-join. ``members``: vec_id, embedding, partition_id (the filter
+    prunes files if stored by partition).
     """
-    probes = plan_probes(query, centroids, meta)
-    if k < 1 or not probes:
+    if k < 1:
         return knn(members, query, 0)
+    b = pin(bounds(query, centroids, meta))
     have, first = 0, []
-    for p, _, n in probes:
-        first.append(p)
-        have += n
+    for r in b.where("n > 0").orderBy("b", "partition_id").limit(k).collect():
+        first.append(r[0])
+        have += r[2]
         if have >= k:
             break
     start = knn(members.where(F.col("partition_id").isin(first)), query, k)
     row = start.agg(F.max("d"), F.count(F.lit(1))).first()
-    limit = float("inf") if row[1] < k else row[0] ** 0.5
-    need = [p for p, b, _ in probes if b <= limit * (1 + 1e-9)]
-    return knn(members.where(F.col("partition_id").isin(need)), query, k)
+    if row[1] >= k:
+        b = b.where(F.col("b") <= F.lit(row[0] ** 0.5 * (1 + 1e-9)))
+    return knn(members.join(b.select("partition_id"), "partition_id", "left_semi"), query, k)
 
 
 def knn_probe(members: DataFrame, query: list[float], k: int, centroids: DataFrame, probes: int) -> DataFrame:
@@ -126,32 +144,18 @@ def knn_probe(members: DataFrame, query: list[float], k: int, centroids: DataFra
 def nearest_partition(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """(vec_id, partition_id, d): nearest centroid of each vector, ties to the smaller partition.
 
-    Centroids pass to the tasks in blocks (a partition table has at most one row per 64 vectors); a vector keeps the
-    best of each block, so the shuffle carries one row per vector and block.
+    Up to 16 ``BLOCK`` centroids travel to the vectors; more are compared with them in tiles.
     """
     v = clean(vectors)
-    out, block = None, []
-
-    def flush(rows: list) -> None:
-        nonlocal out
-        ids, x = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-        d = v.mapInArrow(partial(_nearest, ids=ids, x=x), "vec_id long, partition_id long, d double")
-        out = d if out is None else out.unionByName(d)
-
-    n = 0
-    for r in centroids.select("partition_id", "centroid").orderBy("partition_id").toLocalIterator():
-        block.append(r)
-        if len(block) == 16 * BLOCK:
-            flush(block)
-            block, n = [], n + 1
-    if block:
-        flush(block)
-        n += 1
-    if out is None:
+    c = clean(centroids.select(F.col("partition_id").alias("vec_id"), F.col("centroid").alias("embedding")))
+    few = c.orderBy("vec_id").limit(16 * BLOCK + 1).collect()
+    if not few:
         return v.select("vec_id", F.lit(None).cast("long").alias("partition_id"), F.lit(None).cast("double").alias("d")).where(F.lit(False))
-    if n == 1:
-        return out
-    return out.groupBy("vec_id").agg(F.min(F.struct("d", "partition_id")).alias("m")).select("vec_id", "m.partition_id", "m.d")
+    if len(few) <= 16 * BLOCK:
+        ids, x = np.array([r[0] for r in few], np.int64), np.array([r[1] for r in few], np.float64)
+        return v.mapInArrow(partial(_nearest, ids=ids, x=x), "vec_id long, partition_id long, d double")
+    best = _tiled(v, c, 1, False).groupBy(F.col("i").alias("vec_id")).agg(F.min(F.struct("d", "j")).alias("m"))
+    return best.select("vec_id", F.col("m.j").alias("partition_id"), "m.d")
 
 
 def _nearest(it: Iterator[pa.RecordBatch], ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -167,31 +171,8 @@ def knn_graph(data: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(i, j, rank, d): the k nearest other vectors of each vector, by pairs of blocks; a task compares two blocks and
     hands on k rows per vector."""
     v = clean(data)
-    n = max(1, -(-v.count() // block))
-    h = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = v.withColumn("bi", h).withColumn("bj", every).withColumn("side", F.lit(0))
-    b = v.withColumn("bj", h).withColumn("bi", every).withColumn("side", F.lit(1))
-
-    def tile(t: pa.Table) -> pa.Table:
-        ids, x, side = t["vec_id"].to_numpy(), rows_of(t["embedding"]), t["side"].to_numpy()
-        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        q = q[np.argsort(ids[q])]
-        out = []
-        for s in range(0, len(p), 256):
-            r = p[s : s + 256]
-            d = sq_dists(x[r], x[q])
-            d[ids[r][:, None] == ids[q][None]] = np.inf
-            at = np.argsort(d, 1, kind="stable")[:, :k]
-            w = np.take_along_axis(d, at, 1)
-            ok = np.isfinite(w)
-            out.append((np.repeat(ids[r], ok.sum(1)), ids[q][at][ok], w[ok]))
-        i, j, w = (np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        return pa.table({"i": i.astype(np.int64), "j": j.astype(np.int64), "d": w.astype(np.float64)})
-
-    d = a.unionByName(b).groupBy("bi", "bj").applyInArrow(tile, "i long, j long, d double")
     w = Window.partitionBy("i").orderBy("d", "j")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("i", "j", "rank", "d")
+    return _tiled(v, v, k, True, block).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("i", "j", "rank", "d")
 
 
 def pairwise(data: DataFrame, block: int = 2048) -> DataFrame:

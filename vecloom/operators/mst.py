@@ -88,34 +88,48 @@ def insert(tree: DataFrame, old: DataFrame, new: DataFrame, block: int = BLOCK)
 
 
 def delete(tree: DataFrame, vectors: DataFrame, gone: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The tree after deleting the vectors of ``gone`` (vec_id): the parts left are joined again by the lightest pairs."""
+    """The tree after deleting the vectors of ``gone`` (vec_id): the parts left are joined again by the lightest pairs.
+
+    The largest part is not compared with itself: only the vectors of the other parts look for partners.
+    """
     v = pin(clean(vectors).join(gone.select("vec_id").distinct(), "vec_id", "left_anti"))
     g = gone.select(F.col("vec_id").alias("g")).distinct()
     rest = normal(tree).join(g, F.col("src") == F.col("g"), "left_anti").join(g, F.col("dst") == F.col("g"), "left_anti")
     rest = pin(rest)
-    parts = components(v.select(F.col("vec_id").alias("node")), rest)
-    blocks = max(1, -(-v.count() // block))
-    t = _pairs(v, blocks).join(parts, F.col("vec_id") == F.col("node")).drop("node", "b")
+    parts = pin(components(v.select(F.col("vec_id").alias("node")), rest))
+    top = parts.groupBy("component").count().agg(F.max(F.struct("count", "component"))).first()[0]
+    if top is None:
+        return rest
+    every = v.join(parts, F.col("vec_id") == F.col("node")).select("vec_id", "embedding", "component")
+    few = pin(every.where(F.col("component") != F.lit(top["component"])))
+    n, m = few.count(), v.count()
+    if not n:
+        return rest
+    n, m = -(-n // block), -(-m // block)
+    h = F.xxhash64("vec_id")
+    a = few.withColumn("i", F.pmod(h, F.lit(n)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("side", F.lit(0))
+    b = every.withColumn("j", F.pmod(h, F.lit(m)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("side", F.lit(1))
 
     def tile(t: pa.Table) -> pa.Table:
-        x, ids, part = rows_of(t["embedding"]), t["vec_id"].to_numpy(), t["component"].to_numpy()
+        x, ids, side = rows_of(t["embedding"]), t["vec_id"].to_numpy(), t["side"].to_numpy()
+        part = np.unique(t["component"].to_numpy(), return_inverse=True)[1]
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         lo = hi = pl = ph = np.empty(0, np.int64)
         w = np.empty(0)
-        for p in range(0, len(x), 256):
-            d = sq_dists(x[p : p + 256], x)
-            i, j = np.nonzero(part[p : p + 256, None] < part[None])
-            z = d[i, j]
-            i = i + p
+        for s in range(0, len(p) if len(q) else 0, 256):
+            r = p[s : s + 256]
+            d = sq_dists(x[r], x[q])
+            i, j = np.nonzero(part[r][:, None] != part[q][None])
+            z, i, j = d[i, j], r[i], q[j]
+            a_, b_ = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             # of all pairs of two parts only the lightest can matter
-            o = np.lexsort((np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j]), z))
-            key = part[i[o]] * (part.max() + 1) + part[j[o]] if part.max() < 2**31 else None
-            if key is not None:
-                first = np.unique(key, return_index=True)[1]
-                o = o[first]
-            lo, hi, w = np.concatenate([lo, np.minimum(ids[i], ids[j])[o]]), np.concatenate([hi, np.maximum(ids[i], ids[j])[o]]), np.concatenate([w, z[o]])
+            o = np.lexsort((b_, a_, z))
+            key = np.minimum(part[i], part[j])[o] * (part.max() + 1) + np.maximum(part[i], part[j])[o]
+            o = o[np.unique(key, return_index=True)[1]]
+            lo, hi, w = np.concatenate([lo, a_[o]]), np.concatenate([hi, b_[o]]), np.concatenate([w, z[o]])
             pl, ph = np.concatenate([pl, part[i][o]]), np.concatenate([ph, part[j][o]])
         order = np.lexsort((hi, lo, w))
         k = order[kruskal(pl[order], ph[order], np.arange(len(order), dtype=np.float64))]
         return _table(lo[k], hi[k], w[k])
 
-    return spanning_forest(rest.unionByName(t.groupBy("i", "j").applyInArrow(tile, EDGE)))
+    return spanning_forest(rest.unionByName(a.unionByName(b).groupBy("i", "j").applyInArrow(tile, EDGE)))

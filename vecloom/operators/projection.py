@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.blocks import rows_of
 from vecloom.operators.knn import knn_graph
 from vecloom.operators.mst import clean
+from vecloom.session import pin
 
 A, B = 1.0, 1.5  # shape of the low-dimensional similarity 1 / (1 + A * d^(2 B))
 BUFFER = 4096  # vectors of one training set: a bounded sample
@@ -118,6 +119,27 @@ def padded(members: DataFrame, batches: DataFrame, dim: int, capacity: int = BAT
     return every.withColumn("pos", pos).select("batch", "pos", "vec_id", "embedding")
 
 
+def mini_batches(near: DataFrame, others: DataFrame, anchors: int = 16, strangers: int = 8, seed: int = 7) -> DataFrame:
+    """(batch, anchor, other, w): training pairs in batches of about ``anchors`` anchors, each with its neighbours (w from
+    ``near``: i, j, w) and up to ``strangers`` others that are none of them (w = 0). others: vec_id.
+
+    Anchors are dealt to batches by a hash, so every vector with a neighbour is an anchor once; strangers are the members
+    of the batch dealt next. Nothing is sorted as a whole.
+    """
+    both = near.select("i", "j", "w").unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.max("w").alias("w"))
+    both = pin(both)
+    n = max(1, -(-both.select("i").distinct().count() // anchors))
+    deal = lambda c, salt: F.pmod(F.xxhash64(F.lit(seed + salt), c), F.lit(n)).cast("int")
+    pairs = both.select(deal("i", 0).alias("batch"), F.col("i").alias("anchor"), F.col("j").alias("other"), "w")
+    pool = others.select(F.col("vec_id").alias("other"), deal("vec_id", 1).alias("pb"))
+    rank = F.row_number().over(Window.partitionBy("pb").orderBy(F.xxhash64(F.lit(seed), "other"), "other"))
+    pool = pool.withColumn("rn", rank).where(F.col("rn") <= strangers)
+    far = pairs.select("batch", "anchor").distinct().join(pool, F.col("batch") == F.col("pb")).where(F.col("anchor") != F.col("other")).select("batch", "anchor", "other")
+    known = both.select(F.col("i").alias("ki"), F.col("j").alias("kj"))
+    far = far.join(known, (F.col("anchor") == F.col("ki")) & (F.col("other") == F.col("kj")), "left_anti")
+    return pairs.unionByName(far.withColumn("w", F.lit(0.0)))
+
+
 class Projection:
     """A network dim -> 16 -> 16 -> 2. ``fit`` trains on a bounded sample; ``transform`` runs in Arrow batches."""
 

@@ -6,17 +6,16 @@ weights and means are rounded to 6 decimals, since sums in different order diffe
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.engine import Engine
 from vecloom.functions import vectors as vec
 from vecloom.operators import clusters as cl
 from vecloom.operators import graph, knn, partitions
 from vecloom.operators import mst as trees
 from vecloom.operators import projection as umap
-from vecloom.session import pin, shared_dir
+from vecloom.session import pin, scratch
 from vecloom.sources.store import Store
 from vecloom.sources.tables import table
 from vecloom.streaming import ingest
@@ -336,6 +335,19 @@ def tree_path(s, d):
     return graph.trail(pin(_tree(s, d)), 0, _last(s, d)).select("step", "src", "dst", _r("weight"))
 
 
+def tree_walk(s, d):
+    w = graph.walk(pin(_tree(s, d)), 0, _last(s, d))
+    return w.select(F.concat_ws(",", F.col("nodes").cast("array<string>")).alias("nodes"), F.round("total", 6).alias("total"))
+
+
+def mini_batches(s, d):
+    """Anchors with their neighbours: every link of the fuzzy graph in both directions, each anchor in one batch."""
+    near = fuzzy_union(s, d)
+    m = umap.mini_batches(near, _v(s, d))
+    one = m.groupBy("anchor").agg(F.countDistinct("batch").alias("batches"), F.count(F.when(F.col("w") > 0, 1)).alias("neighbours"), F.max(F.when(F.col("w") == 0, F.col("anchor") == F.col("other"))).alias("own"))
+    return one.select(F.col("anchor").alias("vec_id"), "batches", "neighbours", F.coalesce("own", F.lit(False)).alias("own"))
+
+
 def path_bottleneck(s, d):
     return tree_path(s, d).agg(F.max("weight").alias("max_weight"))
 
@@ -481,7 +493,7 @@ def umap_project(s, d):
 # writes
 def insert_then_mst(s, d):
     """The table streamed in through micro-batches; the tree that the store holds afterwards."""
-    root = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    root = scratch(s, "stream")
     store = Store(s, f"{root}/store")
     old, new = _split_new(s, d, NEW)
     old.write.mode("overwrite").parquet(f"{root}/in/a")
@@ -493,12 +505,48 @@ def insert_then_mst(s, d):
 
 
 def roundtrip_parquet(s, d):
-    root = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    root = scratch(s, "store")
     store = Store(s, root)
     v = store.write({"vectors": _members(s, d)}, by={"vectors": "partition_id"})
     return store.read("vectors", v).select("vec_id", F.col("partition_id").cast("long").alias("partition_id"), F.get("embedding", F.lit(0)).cast("double").alias("first"))
 
 
+def reopened_clusters(s, d):
+    """A cluster set made before an insert, read from the store by another engine."""
+    path = scratch(s, "engine")
+    old, new = _split_new(s, d, NEW)
+    e = Engine(s, path)
+    e.insert(old)
+    e.create_cluster_set(T1)
+    with e.transaction():
+        e.insert(new)
+    return Engine(s, path).cluster_sets().get(T1).select("vec_id", "cluster_id")
+
+
+def reopened_after_undo(s, d):
+    """Vectors and partitions after a transaction of a delete and an insert is taken back."""
+    path = scratch(s, "engine")
+    old, new = _split_new(s, d, NEW)
+    e = Engine(s, path)
+    e.insert(old)
+    with e.transaction():
+        e.delete(s.createDataFrame([(x,) for x in GONE], "vec_id long"))
+        e.insert(new)
+    e = Engine(s, path)
+    e.undo()
+    return Engine(s, path).members().select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("first"))
+
+
+def updated_tree(s, d):
+    """The tree after vectors were replaced by those of their successors."""
+    e = Engine(s, scratch(s, "engine"))
+    v = _v(s, d)
+    swap = v.where(F.col("vec_id").isin(*[g + 1 for g in GONE])).select((F.col("vec_id") - 1).alias("vec_id"), F.transform("embedding", lambda x: -x).alias("embedding"))
+    e.insert(v)
+    e.update(swap)
+    return e.store.read("mst_edges").agg(F.count(F.lit(1)).alias("n_edges"), F.round(F.sum("weight"), 4).alias("total_weight"))
+
+
 _NAMES = """vec_add vec_sub vec_scale vec_splat vec_extremes vec_dot vec_sq_dist vec_dim_check vec_position vec_equal
 knn_exact knn_batch knn_partition_pruned knn_approx_nprobe nearest_partition assign_batch pairwise_dist knn_graph
 partition_centroids partition_meta membership_lookup partition_neighbors expand_one_hop partition_trail
@@ -506,11 +554,11 @@ required_partitions induced_subgraph split_first_tree forest_tree_count merge_pa
 split_kmeans2 split_grow split_into_trees bootstrap_partitions delaunay_neighbors
 split_kmeans2_sides split_grow_sides split_into_trees_pieces bootstrap_partitions_fit delaunay_plane
 mst_full mst_edges mst_insert_one mst_insert_batch delete_vectors edge_extremes intra_edges inter_edges edge_delete
-tree_path path_bottleneck sssp_tree
+tree_path tree_walk path_bottleneck sssp_tree
 cluster_single_linkage cluster_coarsen cluster_sizes cluster_members cluster_of_vector cluster_listing cluster_meta
 cluster_hierarchy_counts cluster_boundary_edges cluster_graph dendrogram cluster_merge_steps cluster_after_insert
 get_vector vectors_by_partition vectors_by_partitions vectors_by_cluster project_ids project_vectors all_ids vector_meta
-fuzzy_weights fuzzy_weights_sums fuzzy_union training_batches training_batches_fit umap_project insert_then_mst roundtrip_parquet""".split()
+fuzzy_weights fuzzy_weights_sums fuzzy_union training_batches training_batches_fit mini_batches umap_project insert_then_mst roundtrip_parquet reopened_clusters reopened_after_undo updated_tree""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # SQL ---------------------------------------------------------------------------------------------------------------
@@ -640,6 +688,14 @@ ORACLES = {
 }
 _SIDES = "SELECT label::BIGINT AS partition_id, count(*) AS rows, count(DISTINCT vec_id) AS members, true AS two_sides FROM embeddings GROUP BY 1"
 ORACLES |= {
+    "tree_walk": _with("SELECT '0,' || string_agg(v::VARCHAR, ',' ORDER BY step) AS nodes, round(sum(w), 6) AS total FROM up WHERE frm IS NOT NULL", _PATH, _UP),
+    "mini_batches": ORACLES["fuzzy_union"].rsplit("SELECT i, j", 1)[0].rstrip() + """, b AS (SELECT i, j FROM s UNION ALL SELECT j, i FROM s)
+ SELECT i AS vec_id, 1::BIGINT AS batches, count(*) AS neighbours, false AS own FROM b GROUP BY 1""",
+    "reopened_clusters": ORACLES["cluster_single_linkage"],
+    "reopened_after_undo": f"SELECT vec_id, embedding[1]::DOUBLE AS first FROM embeddings WHERE {_OLD}",
+    "updated_tree": _with("SELECT count(*) AS n_edges, round(sum(weight), 4) AS total_weight FROM mst").replace(
+        "e AS (SELECT vec_id, embedding::DOUBLE[] AS x, label::BIGINT AS part FROM embeddings)",
+        f"e AS (SELECT a.vec_id, CASE WHEN a.vec_id IN {GONE} THEN list_transform(b.embedding::DOUBLE[], lambda z: -z) ELSE a.embedding::DOUBLE[] END AS x FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1)", 1),
     "split_kmeans2_sides": _SIDES,
     "split_grow_sides": _SIDES,
     "split_into_trees_pieces": "SELECT vec_id, label::BIGINT AS partition_id, true AS named, true AS fits FROM embeddings",

@@ -62,6 +62,13 @@ def ship(spark: SparkSession) -> None:
     atexit.register(_delete, spark, path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, deleted when the session ends."""
+    path = f"{shared_dir(spark)}/vecloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
