@@ -87,7 +87,7 @@ def robust_prune(x: np.ndarray, cand: np.ndarray, dist: np.ndarray, degree: int,
     return out
 
 
-def build(x: np.ndarray, degree: int = 24, width: int = 48, alpha: float = 1.2, seed: int = 7, entries: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def build(x: np.ndarray, degree: int = 32, width: int = 48, alpha: float = 1.2, seed: int = 7, entries: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(neighbours with len(x) as padding, entry points). Points enter in random batches that double in size: a greedy
     search over the graph so far proposes neighbours, robust pruning keeps diverse ones, reverse edges are pruned too.
     A sixteenth of the points serve as entries: finding the nearest of them is one small matrix product."""
