@@ -26,9 +26,11 @@ def brute(pairs):
     return {(v, root(v)) for v in up}
 
 
-@pytest.mark.parametrize("waves", [12, 1])
+@pytest.mark.parametrize("waves", [None, 12, 1])
 def test_groups_with_giant_chain_and_star(spark, waves, monkeypatch):
-    monkeypatch.setattr(groups, "WAVES", waves)
+    if waves:  # by joins
+        monkeypatch.setattr(groups, "ONE_TASK", -1)
+        monkeypatch.setattr(groups, "WAVES", waves)
     r = random.Random(1)
     name = lambda i: f"n{i:05d}"
     ids = list(range(900))
@@ -41,6 +43,12 @@ def test_groups_with_giant_chain_and_star(spark, waves, monkeypatch):
     assert {tuple(x) for x in match_groups(df).collect()} == brute(pairs)
 
 
+def test_groups_of_hashes_that_meet(spark, monkeypatch):
+    monkeypatch.setattr(groups.F, "xxhash64", lambda *c: groups.F.lit(1).cast("long"))
+    df = spark.createDataFrame([("a", "b"), ("c", "d"), ("d", "e")], "a string, b string")
+    assert {tuple(x) for x in match_groups(df).collect()} == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c")}
+
+
 def test_groups_empty_and_lists(spark):
     assert match_groups(spark.createDataFrame([], "a string, b string")).count() == 0
     df = spark.createDataFrame([(["c", "a", None, "a", "b"],), ([],), (None,), (["z"],), (["z", "z"],)], "ids array<string>")

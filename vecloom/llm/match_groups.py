@@ -1,20 +1,25 @@
-"""Pairwise matches to groups: contract, peel the giant component by breadth-first joins, label the rest by minimum.
-
-Chains make breadth-first search slow (one round per step), so the graph is contracted first: each node hooks to its
-smallest neighbour and the hooks are followed, which divides the length of every path. The search then runs on the
-contracted graph from the node of highest degree; should it still not end within ``WAVES`` rounds, what it has reached
-becomes one node and the graph is contracted again. Text ids take part as 64-bit hashes, if no two of them share one
+"""Pairwise matches to groups: peel the giant component by breadth-first search from the node of highest degree, label
+the small components that are left by minimum propagation.
+
+Up to ``ONE_TASK`` pairs (checked by a count) this is done on arrays in one task. Beyond that the waves of the search are
+joins. Chains make it slow then (one round per step), so the graph is contracted first: each node hooks to its smallest
+neighbour and the hooks are followed, which divides the length of every path. The search then runs on the contracted
+graph; should it still not end within ``WAVES`` rounds, what it has reached becomes one node and the graph is contracted
+again. Text ids take part as 64-bit hashes, if no two of them share one
 (which is checked), else as they are.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.operators.skew import salted_join
 from vecloom.session import drop, pin
 
+ONE_TASK = 2_000_000
 HOOKS = 3
 WAVES = 12
 
@@ -75,9 +80,41 @@ def match_groups(pairs: DataFrame) -> DataFrame:
     return salted_join(labels, low, "label", "low", "id", "inner").select("id", "group_id")
 
 
+def _peel(t: pa.Table) -> pa.Table:
+    """(node, label) of the pairs (a, b) of one task."""
+    nodes, pos = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]), return_inverse=True)
+    n, m = len(nodes), t.num_rows
+    i, j = np.concatenate([pos[:m], pos[m:]]), np.concatenate([pos[m:], pos[:m]])
+    i, j = i[o := np.argsort(i, kind="stable")], j[o]
+    start = np.searchsorted(i, np.arange(n + 1))
+    count = np.diff(start)
+    label = np.arange(n)
+    met = np.zeros(n, bool)
+    hub = int(count.argmax())  # ties: the smallest
+    met[hub], wave = True, np.array([hub])
+    while len(wave):
+        c = count[wave]
+        to = j[np.repeat(start[wave] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+        wave = np.unique(to[~met[to]])
+        met[wave] = True
+    label[met] = hub
+    rest = ~met[i]
+    i, j = i[rest], j[rest]
+    while len(i):
+        now = label.copy()
+        np.minimum.at(now, i, label[j])
+        now = now[now]  # a label's own label may be smaller already
+        if (now == label).all():
+            break
+        label = now
+    return pa.table({"node": nodes, "label": nodes[label]})
+
+
 def _labels(pairs: DataFrame) -> DataFrame:
     """(node, label) of all nodes: those of one component, and only those, share a label."""
     edges = pin(_simple(pairs))
+    if dict(edges.dtypes)["a"] == "bigint" and edges.count() <= ONE_TASK:
+        return pin(edges.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(lambda t: _peel(t), "node long, label long"))
     labels = pin(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
     maps: list[DataFrame] = []
 
