@@ -299,6 +299,10 @@ def test_everything_is_there_after_reopening(spark, tmp_path):
             wrong()
     assert e.partition_meta().agg(F.sum("size")).first()[0] == 59
     assert e.projection().fitted and e.neighbours().columns == ["src", "dst"]
+    from vecloom.operators.partitions import meta
+
+    near = lambda d: {r["partition_id"]: (r["size"], [round(z, 6) for z in r["centroid"]], r["min_edge"], r["max_edge"]) for r in d.collect()}
+    assert near(e.partition_meta()) == near(meta(e.members(), e.edges()))
     e.undo()  # the transaction as a whole
     assert e.vectors().count() == 50 and e.cluster_meta(1.5).agg(F.sum("size")).first()[0] == 50
     with pytest.raises(ZeroDivisionError), e.transaction():

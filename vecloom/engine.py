@@ -82,7 +82,8 @@ class Engine:
             if not self._has("vectors"):
                 self._changed(ingest.first(batch), None)
             else:
-                self._changed(*ingest.changes(self.vectors(), self._read("mst_edges"), self._read("membership"), batch))
+                centres = self._read("partition_meta").select("partition_id", "centroid")
+                self._changed(*ingest.changes(self.vectors(), self._read("mst_edges"), self._read("membership"), centres, batch))
 
     def delete(self, ids: DataFrame) -> None:
         """Unknown ids change nothing. Partitions that the deletion cuts are divided into their trees."""
@@ -94,11 +95,14 @@ class Engine:
             tree = pin(mst.delete(t, v, gone))
             touched = pin(m.join(gone, "vec_id", "left_semi").select("partition_id").distinct())
             left = m.join(gone, "vec_id", "left_anti").select("vec_id", "partition_id")
-            moved = ingest.upkeep(v.select("vec_id", "embedding"), left, tree, touched)
-            self._changed({
-                "vectors": Delta(None, gone), "mst_edges": difference(t, tree, KEYS["mst_edges"]),
-                "membership": Delta(moved, gone.unionByName(moved.select("vec_id"))),
-            }, touched)
+            rest = v.select("vec_id", "embedding").join(gone, "vec_id", "left_anti")
+            moved = pin(ingest.upkeep(rest, left, tree, touched))
+            edges = difference(t, tree, KEYS["mst_edges"])
+            member = Delta(moved, gone.unionByName(moved.select("vec_id")))
+            ends = lambda d: d.select(F.explode(F.array("src", "dst")).alias("vec_id"))
+            ids = gone.unionByName(moved.select("vec_id")).unionByName(ends(edges.added)).unionByName(ends(edges.removed))
+            about = ingest.meta_of(rest, m.select("vec_id", "partition_id"), member.on(m.select("vec_id", "partition_id"), ["vec_id"]), tree, ids)
+            self._changed({"vectors": Delta(None, gone), "mst_edges": edges, "membership": member, "partition_meta": about}, touched)
 
     def update(self, batch: DataFrame) -> None:
         """New vectors for known ids: deleted and inserted again as one transaction. Unknown ids are inserted."""
@@ -120,30 +124,34 @@ class Engine:
         m = self.members().where(F.col("partition_id") == partition)
         s = partitions.split(m, self.edges(), strategy)
         new = self._read("membership").agg(F.max("partition_id")).first()[0] + 1
-        moved = pin(s.where("side = 1").select("vec_id", F.lit(new).cast("long").alias("partition_id")))
-        self._changed({"membership": Delta(moved, moved.select("vec_id"))}, None)
+        self._moved(pin(s.where("side = 1").select("vec_id", F.lit(new).cast("long").alias("partition_id"))))
 
     def merge(self, sink: int, source: int) -> None:
         """Raises Overflow or NotConnected, and changes nothing then."""
         m = self._read("membership")
         now = partitions.merge(m, self.edges(), sink, source)
-        moved = pin(now.join(m.where(F.col("partition_id") == source).select("vec_id"), "vec_id", "left_semi"))
-        self._changed({"membership": Delta(moved, moved.select("vec_id"))}, None)
+        self._moved(pin(now.join(m.where(F.col("partition_id") == source).select("vec_id"), "vec_id", "left_semi")))
+
+    def _moved(self, moved: DataFrame) -> None:
+        """Members (vec_id, partition_id) that go to another partition."""
+        m, member = self._read("membership").select("vec_id", "partition_id"), Delta(moved, moved.select("vec_id"))
+        about = ingest.meta_of(self.vectors(), m, member.on(m, ["vec_id"]), self._read("mst_edges"), moved)
+        self._changed({"membership": member, "partition_meta": about}, None)
 
     def _changed(self, tables: dict[str, DataFrame | Delta], touched: DataFrame | None) -> None:
-        """Write what a command changes, and with it what follows from that: partition metadata and cluster sets."""
+        """Write what a command changes, and with it the cluster sets that follow from that."""
         sets = self._thresholds() if "mst_edges" in tables else []
         own = self._pending is None
         if own:
             self._pending = {}
         try:
             self._write(tables)
-            self._write({"partition_meta": partitions.meta(self.members(), self.edges())})
             if sets:
                 c = ClusterSets(self._nodes(), self._read("mst_edges"))
                 for t in sets:
                     c.create(t)
-                self._write(self._cluster_tables(c))
+                # only rows that differ are written
+                self._write({n: difference(self._read(n), pin(d), KEYS[n]) for n, d in self._cluster_tables(c).items()})
                 self._clusters = c
             elif "mst_edges" in tables:
                 self._clusters = None

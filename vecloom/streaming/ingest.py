@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vecloom.operators.graph import with_partitions
 from vecloom.operators.knn import nearest_partition
 from vecloom.operators.mst import clean, insert, mst
-from vecloom.operators.partitions import CAPACITY, bootstrap, centroids, into_trees
+from vecloom.operators.partitions import CAPACITY, bootstrap, into_trees, meta
 from vecloom.session import pin
 from vecloom.sources.store import KEYS, Delta, Store, difference
 
@@ -17,23 +17,39 @@ from vecloom.sources.store import KEYS, Delta, Store, difference
 def first(batch: DataFrame) -> dict[str, DataFrame | Delta]:
     """The tables of an empty engine after its first batch."""
     new = pin(clean(batch))
-    return {"vectors": new, "mst_edges": mst(new), "membership": bootstrap(new).select("vec_id", "partition_id")}
+    tree, members = pin(mst(new)), pin(bootstrap(new).select("vec_id", "partition_id"))
+    return {"vectors": new, "mst_edges": tree, "membership": members, "partition_meta": meta(new.join(members, "vec_id"), with_partitions(tree, members))}
 
 
-def changes(vectors: DataFrame, tree: DataFrame, members: DataFrame, batch: DataFrame) -> tuple[dict[str, DataFrame | Delta], DataFrame]:
-    """(what an insert changes in each table, the partitions touched: partition_id). Known ids change nothing."""
+def meta_of(vectors: DataFrame, before: DataFrame, now: DataFrame, tree: DataFrame, ids: DataFrame) -> Delta:
+    """What changes in the partition metadata when the membership goes from ``before`` to ``now`` and the vectors or edges
+    of ``ids`` (vec_id) have changed: only the partitions concerned are read."""
+    ids = pin(ids.select("vec_id").distinct())
+    of = lambda m: m.join(ids, "vec_id", "left_semi").select("partition_id")
+    touched = pin(of(before).unionByName(of(now)).distinct())
+    mine = pin(now.join(touched, "partition_id", "left_semi").select("vec_id", "partition_id"))
+    return Delta(pin(meta(mine.join(vectors, "vec_id"), with_partitions(tree, mine))), touched)
+
+
+def changes(vectors: DataFrame, tree: DataFrame, members: DataFrame, centres: DataFrame, batch: DataFrame) -> tuple[dict[str, DataFrame | Delta], DataFrame]:
+    """(what an insert changes in each table, the partitions touched: partition_id). Known ids change nothing. centres:
+    partition_id, centroid."""
     new = pin(clean(batch).join(vectors.select("vec_id"), "vec_id", "left_anti"))
     tree = tree.select("src", "dst", "weight")
     grown = pin(insert(tree, vectors, new).select("src", "dst", "weight"))
     edges = difference(tree, grown, KEYS["mst_edges"])
     edges = Delta(pin(edges.added), pin(edges.removed))
-    home = pin(nearest_partition(new, centroids(vectors.join(members, "vec_id"))).select("vec_id", "partition_id"))
+    home = pin(nearest_partition(new, centres).select("vec_id", "partition_id"))
     now = members.select("vec_id", "partition_id").unionByName(home)
     # an edge that went may have cut a partition's tree
     cut = edges.removed.select(F.explode(F.array("src", "dst")).alias("vec_id"))
     touched = pin(now.join(cut.unionByName(home.select("vec_id")).distinct(), "vec_id", "left_semi").select("partition_id").distinct())
-    moved = upkeep(vectors.select("vec_id", "embedding").unionByName(new.select("vec_id", "embedding")), now, grown, touched)
-    return {"vectors": Delta(new), "mst_edges": edges, "membership": Delta(moved, moved.select("vec_id"))}, touched
+    every = vectors.select("vec_id", "embedding").unionByName(new.select("vec_id", "embedding"))
+    moved = pin(upkeep(every, now, grown, touched))
+    member = Delta(moved, moved.select("vec_id"))
+    ids = moved.select("vec_id").unionByName(cut).unionByName(edges.added.select(F.explode(F.array("src", "dst")).alias("vec_id")))
+    about = meta_of(every, now, member.on(now, KEYS["membership"]), grown, ids)
+    return {"vectors": Delta(new), "mst_edges": edges, "membership": member, "partition_meta": about}, touched
 
 
 def upkeep(vectors: DataFrame, members: DataFrame, tree: DataFrame, touched: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -65,7 +81,8 @@ def apply_batch(store: Store, batch: DataFrame, version: int | None = None) -> N
     if version is not None and version in store.versions():
         return
     if store.versions():
-        tables, _ = changes(store.read("vectors"), store.read("mst_edges"), store.read("membership"), batch)
+        meta_ = store.read("partition_meta").select("partition_id", "centroid")
+        tables, _ = changes(store.read("vectors"), store.read("mst_edges"), store.read("membership"), meta_, batch)
     else:
         tables = first(batch)
     store.write(tables, version)
