@@ -177,7 +177,9 @@ def trail(edges: DataFrame, start: int, end: int, hops: bool = True) -> DataFram
     path = rank.select("cost", F.col("previous").alias("src"), F.col("node").alias("dst"), w[0].alias("lo"), w[1].alias("hi"))
     e = edges.select(F.least("src", "dst").alias("el"), F.greatest("src", "dst").alias("eh"), "weight").groupBy("el", "eh").agg(F.min("weight").alias("weight"))
     path = path.join(e, (F.col("lo") == F.col("el")) & (F.col("hi") == F.col("eh")))
-    return path.withColumn("step", F.row_number().over(Window.orderBy("cost", "dst"))).select("step", "src", "dst", "weight")
+    # hops count the steps; by weight the rows of the path are put in order
+    step = F.col("cost").cast("int") if hops else F.row_number().over(Window.orderBy("cost", "dst"))
+    return path.withColumn("step", step).select("step", "src", "dst", "weight")
 
 
 def walk(edges: DataFrame, start: int, end: int, hops: bool = True) -> DataFrame:

@@ -3,7 +3,8 @@
 A version is a folder that is complete once its marker exists; readers take the newest complete one, so a transaction
 is a new version, undo is forgetting the last, and a crashed write is never seen. A version holds a table as a whole or
 as what was added and removed since the one before; tables it does not name are those of the version before. After
-``COMPACT`` changes in a row a table is written as a whole again, so reads stay short.
+``COMPACT`` changes in a row a table is written as a whole again, so reads stay short, and versions that none of the
+newest ones needs are deleted.
 """
 
 from __future__ import annotations
@@ -78,9 +79,10 @@ class Store:
         if v in have:
             return v
         root = f"{self.path}/v{v}"
+        compacted = False
         for name, table in tables.items():
             if isinstance(table, Delta) and self._chain(name, have[-1] if have else None)[1] >= COMPACT:
-                table = table.on(self.read(name), KEYS[name])
+                table, compacted = table.on(self.read(name), KEYS[name]), True
             parts = {"": table} if isinstance(table, DataFrame) else {"+": table.added, "-": table.removed}
             for sign, df in parts.items():
                 if df is None:
@@ -90,6 +92,8 @@ class Store:
                     w = w.partitionBy(by[name])
                 w.parquet(f"{root}/{name}{sign}")
         self._fs.create(self._path(f"{root}/_COMPLETE"), True).close()
+        if compacted:
+            self.vacuum()
         return v
 
     def _chain(self, name: str, version: int | None) -> tuple[int | None, int]:
