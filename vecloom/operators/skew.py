@@ -77,9 +77,9 @@ def weighted_percentile(freq: DataFrame, key: str, value: str, q: float, buckets
     ends = rows.groupBy("_k").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("_n") * F.lit(q)).cast("long")).alias("_rank"))
     state = pin(ends.withColumnRenamed("_k", "_sk"))
     while state.where("_hi > _lo").limit(1).count():
-        width = F.floor((F.col("_hi") - F.col("_lo")) / F.lit(buckets)) + 1
+        width = F.expr(f"cast((_hi - _lo) div {buckets} + 1 as decimal(20,0))")  # whole numbers: nothing is rounded
         near = salted_join(rows, state, "_k", "_sk", "_v", "inner", hot).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        near = pin(near.select("_k", "_v", "_n", "_lo", "_hi", "_rank", width.cast("decimal(20,0)").alias("_w"), F.floor((F.col("_v") - F.col("_lo")) / width).cast("int").alias("_b")))
+        near = pin(near.select("_k", "_v", "_n", "_lo", "_hi", "_rank", width.alias("_w")).withColumn("_b", F.expr("cast((_v - _lo) div _w as int)")))
         per = near.groupBy("_k", "_b").agg(F.sum("_n").alias("_bn"), F.max("_rank").alias("_rank"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_w").alias("_w"))
         per = per.withColumn("_to", F.sum("_bn").over(Window.partitionBy("_k").orderBy("_b")))  # at most ``buckets`` rows a key
         hit = per.where((F.col("_to") >= F.col("_rank")) & (F.col("_to") - F.col("_bn") < F.col("_rank")))
