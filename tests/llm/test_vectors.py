@@ -203,3 +203,36 @@ def test_forest():
 
 def test_rows_helper(spark):
     assert rows(spark.range(2)) == [(0,), (1,)]
+
+
+def test_more_clusters_than_cells_and_copies_in_rounds(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    c = r.normal(0, 6, (24, DIM))
+    x = (c[np.arange(480) % 24] + r.normal(0, 0.15, (480, DIM))).astype(np.float32)
+    for k, v in {"MOST_CELLS": 4, "SAMPLE": 64, "ROWS_A_CELL": 10}.items():
+        monkeypatch.setattr(vectors, k, v)
+    reps = usable_frame(spark, x).withColumnRenamed("vec_id", "rep")
+    shards = vectors.fit_shards(reps, DIM, 64, vectors.fit_cells(reps, 480, DIM, grow=True))
+    assert shards.n >= 24 and len(shards.near(x, 1.0)[0]) < 1.2 * 480  # each cluster has a cell, hardly any vector visits
+    full = ((x[:, None].astype(np.float64) - x[None]) ** 2).sum(2)
+    rows_, cells = shards.near(x, 1.0)
+    met, home = set(zip(rows_.tolist(), cells.tolist())), shards.home(x)
+    assert all((i, home[j]) in met for i, j in zip(*np.nonzero(full < 1.0)))
+    for k, v in {"TILE": 8, "LEAST": 700, "COPIES": 0.1}.items():
+        monkeypatch.setattr(similarity_clusters, k, v)
+    held = []
+    one = similarity_clusters._compared
+    monkeypatch.setattr(similarity_clusters, "_compared", lambda *a: held.append(a[-3:]) or one(*a))
+    found, _ = clusters(usable_frame(spark, x), "vec_id", DIM, [(1, 0.5)])
+    assert {(z["vec_id"], z["cluster_id"]) for z in found.collect()} == brute(x, 0.5)
+    assert len(held) > 1  # no round makes all copies
+
+
+def test_rounds_hold_every_tile_once():
+    home, visits = np.array([3, 0, 20000, 9000, 1]), np.array([0, 5, 70000, 0, 2])
+    got = similarity_clusters._rounds(home, visits, 30000)
+    parts = {}
+    for which, n, k in got:
+        for c in which:
+            parts.setdefault(int(c), []).append((n, k))
+    assert set(parts) == {0, 2, 3, 4} and all(sorted(k for _, k in z) == list(range(z[0][0])) for z in parts.values()) and len(parts[2]) > 1

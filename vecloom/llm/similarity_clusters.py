@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.vectors import Shards, fit_shards, fold_copies, matrix
+from vecloom.llm.vectors import Shards, fit_cells, fit_shards, fold_copies, matrix
 from vecloom.session import drop, pin
 
 TILE = 8192  # vectors on one side of a comparison
@@ -33,7 +33,10 @@ FLOW = 64  # strongest links of a vector that the flow sees: as many entries as
 PRUNE = 1 / 64  # flow entries below this share of a column are dropped
 ROUNDS = 3  # squarings per level
 FLUSH = 65536  # rows summed before a partial sum is handed on
+COPIES = 1.5  # copies of the table that stand on disk at once for comparisons; more are made in rounds
+LEAST = 500_000  # copies that a round makes at least
 MARGIN = 1e-3  # distances this near to a threshold are computed again in double
+_pin = partial(pin, shuffles=False)
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -176,45 +179,104 @@ def _tile(t: pa.Table, dim: int, limits: list[tuple[int, float]]) -> pa.Table:
     return pa.table([pa.array(cols[0].astype(np.int32)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int64)), pa.array(cols[3].astype(np.int64)), pa.array(cols[4].astype(np.float64))], names=["kind", "set_id", "a", "b", "w"])
 
 
-def _visits(it: Iterator[pa.RecordBatch], shards: Shards, dim: int, reach: float) -> Iterator[pa.RecordBatch]:
-    """One row per shard a vector has to be compared in; home says which is its own."""
+def _visits(it: Iterator[pa.RecordBatch], shards: Shards, dim: int, reach: float, now: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per shard of those in ``now`` that a vector has to be compared in; home says which is its own."""
     for b in it:
         x = matrix(b.column("vec"), dim)
         for p in range(0, len(x), 1024):
             home = shards.home(x[p : p + 1024])
             r, c = shards.near(x[p : p + 1024], reach)
+            r, c = r[now[c]], c[now[c]]
             part = b.slice(p, 1024).take(pa.array(r))
             yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("vec"), pa.array(c.astype(np.int32)), pa.array(home[r] == c)], names=["rep", "vec", "cell", "home"])
 
 
-def links(reps: DataFrame, dim: int, limits: list[tuple[int, float]]) -> tuple[DataFrame, DataFrame]:
-    """(edges: a, b, w; first clusters: set_id, node, label) of all vectors nearer than the largest limit.
+def _visitors(it: Iterator[pa.RecordBatch], shards: Shards, dim: int, reach: float) -> Iterator[pa.RecordBatch]:
+    """How many vectors are at home in each shard, and how many visit it."""
+    home, all_ = np.zeros(shards.n, np.int64), np.zeros(shards.n, np.int64)
+    for b in it:
+        x = matrix(b.column("vec"), dim)
+        for p in range(0, len(x), 1024):
+            home += np.bincount(shards.home(x[p : p + 1024]), minlength=shards.n)
+            all_ += np.bincount(shards.near(x[p : p + 1024], reach)[1], minlength=shards.n)
+    k = np.flatnonzero(all_)
+    yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(home[k]), pa.array((all_ - home)[k])], names=["cell", "home", "visits"])
+
+
+def _rounds(home: np.ndarray, visits: np.ndarray, most: float) -> list[tuple[np.ndarray, int, int]]:
+    """(shards, parts, part): which shards are compared at one time, so that about ``most`` copies of vectors are made
+    for it. A shard that alone needs more is compared in parts, by a hash of its tiles."""
+    nh, nv = -(-home // TILE), -(-visits // TILE)
+    copies = home * (nh + nv) + visits * nh
+    out: list[tuple[np.ndarray, int, int]] = []
+    for c in np.flatnonzero(copies > most):
+        parts = int(-(-copies[c] // most))
+        out += [(np.array([c]), parts, k) for k in range(parts)]
+    rest = np.flatnonzero((copies > 0) & (copies <= most))
+    held, first = 0, 0
+    for i, c in enumerate(rest):
+        if held and held + copies[c] > most:
+            out.append((rest[first:i], 1, 0))
+            held, first = 0, i
+        held += copies[c]
+    if first < len(rest):
+        out.append((rest[first:], 1, 0))
+    return out
+
+
+def links(reps: DataFrame, dim: int, limits: list[tuple[int, float]]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(edges: a, b, w; first clusters: set_id, node, label; the pinned tables behind them) of all vectors nearer than
+    the largest limit.
 
     A cell too large for a tile is divided by centres of its own, so that a vector meets only what can be near it; what
-    is still too large for a tile is divided by hash.
+    is still too large for a tile is divided by hash. The copies of vectors that the tiles need are counted first and
+    made a round at a time, so that they never fill more of the disk than ``COPIES`` tables.
     """
-    shards = fit_shards(reps, dim, 2 * TILE)
+    n = reps.count()
+    shards = fit_shards(reps, dim, 2 * TILE, fit_cells(reps, n, dim, grow=True))
     reach = float(np.sqrt(max(x for _, x in limits)))
-    v = pin(reps.select("rep", "vec").mapInArrow(partial(_visits, shards=shards, dim=dim, reach=reach), "rep long, vec binary, cell int, home boolean"))
-    many = lambda side: F.ceil(F.count(F.when(F.col("home") == side, 1)) / TILE).cast("int")
-    sizes = v.groupBy(F.col("cell").alias("zc")).agg(many(True).alias("nh"), many(False).alias("nv"))
-    v = v.join(F.broadcast(sizes), F.col("cell") == F.col("zc"))  # one row per shard, at most MOST_SHARDS
-    tile = F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("nv"))).cast("int")
+    count = reps.select("vec").mapInArrow(partial(_visitors, shards=shards, dim=dim, reach=reach), "cell int, home long, visits long")
+    home, visits = np.zeros(shards.n, np.int64), np.zeros(shards.n, np.int64)
+    for r in count.groupBy("cell").agg(F.sum("home"), F.sum("visits")).collect():  # one row per shard, at most MANY_CELLS + MOST_SHARDS
+        home[r[0]], visits[r[0]] = r[1], r[2]
+    got = [_pin(_compared(reps, dim, limits, reach, shards, home, visits, *z)) for z in _rounds(home, visits, max(LEAST, COPIES * n))]
+    every = reduce(DataFrame.unionByName, got or [reps.sparkSession.createDataFrame([], LINKS)])
+    edges = every.where("kind = 0").groupBy("a", "b").agg(F.min("w").alias("w"))
+    return edges, every.where("kind = 1").select("set_id", F.col("a").alias("node"), F.col("b").alias("label")), got
+
+
+LINKS = "kind int, set_id int, a long, b long, w double"
+
+
+def _compared(reps: DataFrame, dim: int, limits: list[tuple[int, float]], reach: float, shards: Shards, home: np.ndarray, visits: np.ndarray, which: np.ndarray, parts: int, part: int) -> DataFrame:
+    """What the tiles of some shards give, or of one shard some of the tiles."""
+    now = np.zeros(shards.n, bool)
+    now[which] = True
+    v = reps.select("rep", "vec").mapInArrow(partial(_visits, shards=shards, dim=dim, reach=reach, now=now), "rep long, vec binary, cell int, home boolean")
+    large = [(int(c), int(-(-home[c] // TILE)), int(-(-visits[c] // TILE))) for c in which if home[c] > TILE or visits[c]]
+    if large:
+        sizes = reps.sparkSession.createDataFrame(large, "zc int, nh int, nv int")
+        v = v.join(F.broadcast(sizes), F.col("cell") == F.col("zc"), "left")  # one row per shard, at most MANY_CELLS + MOST_SHARDS
+        v = v.withColumn("nh", F.coalesce("nh", F.lit(1))).withColumn("nv", F.coalesce("nv", F.lit(0)))
+    else:
+        v = v.withColumn("nh", F.lit(1)).withColumn("nv", F.lit(0))
+    tile = F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("nh")).otherwise(F.greatest("nv", F.lit(1)))).cast("int")
     v = v.withColumn("t", tile)
     up_to = lambda lo, n: F.when(n > lo, F.sequence(lo, n - 1)).otherwise(F.array().cast("array<int>"))
     task = lambda i, j, side, own: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"), own.alias("own"))
     zero, t, nh = F.lit(0), F.col("t"), F.col("nh")
-    home = F.concat(
+    own = F.concat(
         F.transform(up_to(t, nh), lambda j: task(t, j, 0, j == t)),
         F.transform(up_to(zero, t), lambda i: task(i, t, 1, F.lit(False))),
         F.transform(up_to(zero, F.col("nv")), lambda j: task(t, -1 - j, 0, F.lit(False))),
     )
     guest = F.transform(up_to(zero, nh), lambda i: task(i, -1 - t, 1, F.lit(False)))
-    v = v.withColumn("task", F.explode(F.when(F.col("home"), home).otherwise(guest)))
+    tasks = F.when(F.col("home"), own).otherwise(guest)
+    if parts > 1:
+        tasks = F.filter(tasks, lambda z: F.pmod(F.xxhash64(z["i"], z["j"]), F.lit(parts)) == part)
+    v = v.withColumn("task", F.explode(tasks))
     v = v.select("rep", "vec", "cell", F.col("task.i").alias("i"), F.col("task.j").alias("j"), F.col("task.side").alias("side"), F.col("task.own").alias("own"))
-    got = pin(v.groupBy("cell", "i", "j").applyInArrow(lambda x: _tile(x, dim, limits), "kind int, set_id int, a long, b long, w double"))
-    edges = got.where("kind = 0").groupBy("a", "b").agg(F.min("w").alias("w"))
-    return edges, got.where("kind = 1").select("set_id", F.col("a").alias("node"), F.col("b").alias("label"))
+    return v.groupBy("cell", "i", "j").applyInArrow(lambda x: _tile(x, dim, limits), LINKS)
 
 
 def markov_step(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -225,12 +287,12 @@ def markov_step(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     both = edges.select("set_id", F.col("a").alias("c"), F.col("b").alias("r"), "s").unionByName(edges.select("set_id", F.col("b").alias("c"), F.col("a").alias("r"), "s"))
     loops = both.groupBy("set_id", "c").agg(F.max("s").alias("s")).select("set_id", "c", F.col("c").alias("r"), "s")
-    m = pin(_columns(both.unionByName(loops).withColumnRenamed("s", "v"), False))
+    m = _pin(_columns(both.unionByName(loops).withColumnRenamed("s", "v"), False))
     for _ in range(rounds):
         left = m.select("set_id", "c", F.col("r").alias("k"), F.col("v").alias("v1"))
         right = m.select("set_id", F.col("c").alias("k"), "r", F.col("v").alias("v2"))
         sq = left.join(right, ["set_id", "k"]).groupBy("set_id", "c", "r").agg(F.sum(F.col("v1") * F.col("v2")).alias("v"))
-        nxt = pin(_columns(sq, True))
+        nxt = _pin(_columns(sq, True))
         drop(m)
         m = nxt
     return m.groupBy("set_id", F.col("c").alias("node")).agg(F.min(F.struct((-F.round("v", 9)).alias("n"), F.col("r").alias("r"))).alias("x")).select("set_id", "node", F.col("x.r").alias("label"))
@@ -255,34 +317,37 @@ def similarity_clusters(vectors: DataFrame, key: str, dim: int, limits: list[tup
     """
     limits = sorted((int(s), float(t)) for s, t in limits if t is not None and t > 0)
     reps, members = fold_copies(vectors, key)
-    members = pin(members.withColumnRenamed("rep", "mrep"))
+    members = _pin(members.withColumnRenamed("rep", "mrep"))
     if not limits:
         none = members.select(F.lit(0).alias("set_id"), key, F.col(key).alias("cluster_id")).where(F.lit(False))
         return none, none.select("set_id", "cluster_id", F.col(key).alias("attractor"))
-    edges, first = links(reps, dim, limits)
+    edges, first, behind = links(reps, dim, limits)
+    drop(reps)
     sets = F.array(*[F.struct(F.lit(s).alias("set_id"), F.lit(t).alias("t")) for s, t in limits])
     edges = edges.withColumn("x", F.explode(sets)).where(F.col("w") < F.col("x.t")).select(F.col("x.set_id").alias("set_id"), "a", "b", (1.05 - F.col("w") / F.col("x.t")).alias("s"))
-    labels = pin(_seed(edges, first))
-    edges = pin(_contract(edges, labels))
+    labels = _pin(_seed(edges, first))
+    edges = _pin(_contract(edges, labels))
+    for x in behind:
+        drop(x)
     left = edges.count()
     while left:
         step = markov_step(edges)
-        nxt = pin(_contract(edges, step))
+        nxt = _pin(_contract(edges, step))
         now = nxt.count()
         if now > left * 0.9:  # even cycles and grids have no attractors: follow each node's smallest neighbour instead
             drop(nxt)
             step = _smallest(edges)
-            nxt = pin(_contract(edges, step))
+            nxt = _pin(_contract(edges, step))
             now = nxt.count()
         s = step.select(F.col("set_id").alias("ss"), F.col("node").alias("sn"), F.col("label").alias("sl"))
-        new = pin(labels.join(s, (F.col("set_id") == F.col("ss")) & (F.col("label") == F.col("sn")), "left").select("set_id", "node", F.coalesce("sl", "label").alias("label")))
+        new = _pin(labels.join(s, (F.col("set_id") == F.col("ss")) & (F.col("label") == F.col("sn")), "left").select("set_id", "node", F.coalesce("sl", "label").alias("label")))
         drop(labels), drop(edges)
         labels, edges, left = new, nxt, now
-    low = pin(labels.groupBy("set_id", "label").agg(F.min("node").alias("low")))
+    low = _pin(labels.groupBy("set_id", "label").agg(F.min("node").alias("low")))
     named = labels.join(low, ["set_id", "label"]).select(F.col("set_id").alias("ns"), F.col("node").alias("nn"), "low")
     every = members.withColumn("set_id", F.explode(F.array(*[F.lit(s) for s, _ in limits])))
     out = every.join(named, (F.col("set_id") == F.col("ns")) & (F.col("mrep") == F.col("nn")), "left").select("set_id", key, F.coalesce("low", "mrep").alias("cluster_id"))
-    out = pin(out)
+    out = _pin(out)
     sizes = out.groupBy(F.col("set_id").alias("zs"), F.col("cluster_id").alias("zc")).count().where("count > 1").drop("count")
     found = out.join(sizes, (F.col("set_id") == F.col("zs")) & (F.col("cluster_id") == F.col("zc")), "left_semi")
     return found, low.select("set_id", F.col("low").alias("cluster_id"), F.col("label").alias("attractor"))
@@ -430,7 +495,7 @@ def describe(found: DataFrame, attractors: DataFrame, vectors: DataFrame, key: s
 
 def _described_by_centre(found: DataFrame, vectors: DataFrame, key: str, dim: int, typical: int) -> DataFrame:
     one = vectors.groupBy(key).agg(F.min("vec").alias("vec"))
-    sizes = pin(found.groupBy("set_id", "cluster_id").count())
+    sizes = _pin(found.groupBy("set_id", "cluster_id").count())
     many = max(TILE, (sizes.agg(F.sum("count")).first()[0] or 0) // 4096)
     hot: dict[int, list[int]] = {}
     for s, c in sizes.where(F.col("count") > many).select("set_id", "cluster_id").collect():
@@ -441,7 +506,7 @@ def _described_by_centre(found: DataFrame, vectors: DataFrame, key: str, dim: in
     of = found.groupBy(key).agg(F.collect_list(F.when(~large, pair)).alias("of"), F.collect_list(F.when(large, pair)).alias("hot"), F.min(F.when(~large, F.col("cluster_id"))).alias("coarse"))
     rows = one.join(of, key)
     if hot:
-        rows = pin(rows)
+        rows = _pin(rows)
     placed = rows.where(F.col("coarse").isNotNull()).select(key, "of", "coarse", "vec").repartition("coarse").sortWithinPartitions("coarse")
     out = placed.mapInArrow(partial(_central, key=key, dim=dim, most=typical), "set_id int, cluster_id long, size long, centroid array<double>, typical array<long>")
     if not hot:
@@ -449,7 +514,7 @@ def _described_by_centre(found: DataFrame, vectors: DataFrame, key: str, dim: in
     rows = rows.where(F.size("hot") > 0).select(key, F.col("hot").alias("of"), "vec")
     part = rows.select("of", "vec").mapInArrow(partial(_sums, dim=dim), "set_id int, cluster_id long, n long, sums array<double>")
     add = F.aggregate(F.collect_list("sums"), F.array_repeat(F.lit(0.0), dim), lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
-    total = pin(part.groupBy("set_id", "cluster_id").agg(F.sum("n").alias("size"), add.alias("sums")))
+    total = _pin(part.groupBy("set_id", "cluster_id").agg(F.sum("n").alias("size"), add.alias("sums")))
     total = total.select("set_id", "cluster_id", "size", F.transform("sums", lambda z: z / F.col("size")).alias("centroid"))
     mid = {(r[0], r[1]): np.array(r[2]) for r in total.select("set_id", "cluster_id", "centroid").collect()}
     best = rows.mapInArrow(partial(_nearest, key=key, dim=dim, most=typical, mid=mid), f"set_id int, cluster_id long, d double, {key} long")

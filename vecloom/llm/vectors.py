@@ -15,6 +15,9 @@ from vecloom.session import pin
 
 SAMPLE = 8192  # vectors the cells are fitted on, whatever the size of the table
 MOST_CELLS = 512
+MANY_CELLS = 16_384  # of a table that asks for more (``fit_cells``, grow)
+ROWS_A_CELL = 1024
+SAMPLED = 8  # sampled vectors a cell then
 MOST_SHARDS = 65_536  # centres that travel to the tasks (16 MB at 64 lanes)
 FITTED = 16_384  # sampled vectors of one cell on which its own centres are fitted
 
@@ -62,9 +65,11 @@ def fold_copies(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """
     h = vectors.where(F.col(key).isNotNull()).select(key, "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"))
     best = h.groupBy("h1", "h2").agg(F.min(F.struct(F.col(key).alias("rep"), "vec")).alias("m"))
-    reps = pin(best.select("h1", "h2", F.col("m.rep").alias("rep"), F.col("m.vec").alias("vec")))
+    reps = pin(best.select("h1", "h2", F.col("m.rep").alias("rep"), F.col("m.vec").alias("vec")), shuffles=False)
     members = h.select(key, "h1", "h2").distinct().join(reps.select("h1", "h2", "rep"), ["h1", "h2"]).select(key, "rep")
-    return reps.select("rep", "vec"), members
+    out = reps.select("rep", "vec")
+    out._vecloom_path = reps._vecloom_path  # ``drop`` of it deletes both
+    return out, members
 
 
 def fold_groups(vectors: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -83,9 +88,11 @@ class Cells:
 
     def __init__(self, centres: np.ndarray):
         self.c = np.ascontiguousarray(centres, dtype=np.float32)
-        c = self.c.astype(np.float64)
-        self.gap = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 0)).astype(np.float32)
-        np.fill_diagonal(self.gap, np.inf)
+        self.gap = None  # between all centres, if they are few
+        if len(self.c) <= MOST_CELLS:
+            c = self.c.astype(np.float64)
+            self.gap = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 0)).astype(np.float32)
+            np.fill_diagonal(self.gap, np.inf)
         self.mid = self.c.mean(0)
 
     def to(self, x: np.ndarray) -> np.ndarray:
@@ -94,14 +101,47 @@ class Cells:
         return np.maximum(np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", c, c)[None] - 2 * (x @ c.T), 0)
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        return self.to(x).argmin(1)
+        step = self._step()
+        return np.concatenate([self.to(x[p : p + step]).argmin(1) for p in range(0, len(x), step)]) if len(x) else np.empty(0, np.int64)
+
+    def _step(self) -> int:
+        """Rows whose distances to all centres are held at once: 2^22 distances."""
+        return max(64, (1 << 22) // len(self.c))
+
+    def _gaps(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Distance between the centres of each pair (i, j), infinite for one and the same."""
+        if self.gap is not None:
+            return self.gap[i, j]
+        parts = [((self.c[i[p : p + 65536]] - self.c[j[p : p + 65536]]) ** 2).sum(1) for p in range(0, len(i), 65536)]
+        return np.where(i == j, np.inf, np.sqrt(np.concatenate(parts))) if parts else np.empty(0, np.float32)
+
+    def near(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells that can hold a point within ``reach`` (not squared) of a row: where ``far`` is not beyond it.
+
+        The gap of two centres is at most the sum of a row's distances to them, so that only cells whose centre is at most
+        2 ``reach`` farther away than the nearest one need the plane between them.
+        """
+        rows, cells = [], []
+        step = self._step()
+        for p in range(0, len(x), step):
+            d = self.to(x[p : p + step])
+            h = d.argmin(1)
+            least = d[np.arange(len(d)), h]
+            slack = 1e-3 * (1 + np.sqrt(least))
+            r, j = np.nonzero(d <= ((np.sqrt(least) + 2 * (reach + slack)) * 1.001 + 1e-3)[:, None] ** 2)
+            f = (d[r, j] - least[r]) / (2 * self._gaps(h[r], j))
+            ok = (h[r] == j) | (f - slack[r] <= reach)
+            rows.append(p + r[ok]), cells.append(j[ok])
+        return (np.concatenate(rows), np.concatenate(cells)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def far(self, x: np.ndarray) -> np.ndarray:
         """Lower bound of the distance (not squared) from each row to any point whose home is another cell: its distance
         to the plane halfway between its own centre and the other one. 0 for its own cell. Slightly low, to allow for rounding."""
         d = self.to(x)
         h = d.argmin(1)
-        f = (d - d[np.arange(len(x)), h][:, None]) / (2 * self.gap[h])
+        every = np.arange(len(self.c))
+        gap = self.gap[h] if self.gap is not None else self._gaps(np.repeat(h, len(every)), np.tile(every, len(x))).reshape(len(x), -1)
+        f = (d - d[np.arange(len(x)), h][:, None]) / (2 * gap)
         f[np.arange(len(x)), h] = 0
         return np.maximum(f - 1e-3 * (1 + np.sqrt(d.min(1)))[:, None], 0)
 
@@ -131,13 +171,13 @@ class Shards:
 
     def near(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all leaves that can hold a point within ``reach`` (not squared) of a row."""
-        r, c = np.nonzero(self.cells.far(x) <= reach)
+        r, c = self.cells.near(x, reach)
         single = ~np.isin(c, list(self.within)) if self.within else np.ones(len(c), bool)
         rows, leaves = [r[single]], [self.first[c[single]]]
         for k, z in self.within.items():
             own = r[c == k]
             if len(own):
-                i, j = np.nonzero(z.far(x[own]) <= reach)
+                i, j = z.near(x[own], reach)
                 rows.append(own[i])
                 leaves.append(self.first[k] + j)
         return np.concatenate(rows), np.concatenate(leaves)
@@ -150,18 +190,23 @@ class Shards:
         return f
 
 
-def fit_cells(reps: DataFrame, n: int, dim: int, rows_per_cell: int = 8192) -> Cells:
+def fit_cells(reps: DataFrame, n: int, dim: int, rows_per_cell: int = 8192, grow: bool = False) -> Cells:
     """Cells from a sample of about ``SAMPLE`` vectors, chosen by a hash of their key.
 
     Centres are picked farthest-first; of 2 to ``MOST_CELLS`` centres that number is used after which the farthest
-    sample point comes nearest most abruptly (the clusters are then covered), else n / ``rows_per_cell``.
+    sample point comes nearest most abruptly (the clusters are then covered), else n / ``rows_per_cell``. With ``grow``
+    a table of more clusters than that has them covered too: up to a centre for every ``ROWS_A_CELL`` vectors.
     """
-    share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
+    most = max(MOST_CELLS, min(MANY_CELLS, n // ROWS_A_CELL)) if grow else MOST_CELLS
+    share = int(min(1.0, max(SAMPLE, SAMPLED * most if most > MOST_CELLS else 0) / max(n, 1)) * (1 << 30))
     rows = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < share).orderBy("rep").select("vec").collect()
     if not rows:
         return Cells(np.zeros((1, dim), np.float32))
-    x = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.float32).reshape(-1, dim).astype(np.float64)
-    most = min(MOST_CELLS, len(x))
+    x = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.float32).reshape(-1, dim)
+    if most > MOST_CELLS:
+        return Cells(_many_centres(x, most, -(-n // rows_per_cell)))
+    x = x.astype(np.float64)
+    most = min(most, len(x))
     pick, near, radius = [0], ((x - x[0]) ** 2).sum(1), []
     while len(pick) < most:
         j = int(near.argmax())
@@ -170,13 +215,7 @@ def fit_cells(reps: DataFrame, n: int, dim: int, rows_per_cell: int = 8192) -> C
             break
         pick.append(j)
         near = np.minimum(near, ((x - x[j]) ** 2).sum(1))
-    r = np.sqrt(np.maximum(np.asarray([*radius, near.max()]), 1e-12))
-    k = max(1, min(len(pick), -(-n // rows_per_cell)))
-    if len(r) > 3:
-        drop = r[:-1] / r[1:]
-        best = int(drop[1:].argmax()) + 1
-        if drop[best] > 1.4:
-            k = min(len(pick), max(best + 1, 2))
+    k = _covering(len(pick), np.asarray([*radius, near.max()]), -(-n // rows_per_cell))
     c = x[pick[:k]]
     for _ in range(3):
         d = (x**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * x @ c.T
@@ -187,6 +226,43 @@ def fit_cells(reps: DataFrame, n: int, dim: int, rows_per_cell: int = 8192) -> C
     return Cells(c)
 
 
+def _covering(picked: int, radius: np.ndarray, otherwise: int) -> int:
+    """After how many of the centres picked the farthest point comes nearest most abruptly; squared radii by centre."""
+    r = np.sqrt(np.maximum(radius, 1e-12))
+    k = max(1, min(picked, otherwise))
+    if len(r) > 3:
+        drop = r[:-1] / r[1:]
+        best = int(drop[1:].argmax()) + 1
+        if drop[best] > 1.4:
+            k = min(picked, max(best + 1, 2))
+    return k
+
+
+def _many_centres(x: np.ndarray, most: int, otherwise: int) -> np.ndarray:
+    """As ``fit_cells`` does it, for thousands of centres: a product for each pick, and means over blocks of rows."""
+    shift = x.mean(0)
+    y = np.ascontiguousarray(x - shift)
+    own = np.einsum("ij,ij->i", y, y)
+    to = lambda j: np.maximum(own + own[j] - 2 * (y @ y[j]), 0)
+    most = min(most, len(y))
+    pick, near, radius = [0], to(0), []
+    while len(pick) < most:
+        j = int(near.argmax())
+        radius.append(near[j])
+        if near[j] <= 1e-6 * own[j]:  # rounding
+            break
+        pick.append(j)
+        np.minimum(near, to(j), out=near)
+    k = _covering(len(pick), np.asarray([*radius, near.max()], np.float64), otherwise)
+    c = y[pick[: k + 1]].copy()  # the pick that brings the farthest point near is one of them
+    for _ in range(3):
+        h = Cells(c).home(y)
+        count = np.bincount(h, minlength=len(c))
+        for lane in range(y.shape[1]):
+            c[:, lane] = np.where(count > 0, np.bincount(h, y[:, lane], len(c)) / np.maximum(count, 1), c[:, lane])
+    return c + shift
+
+
 def _assign(it: Iterator[pa.RecordBatch], cells: Cells, dim: int) -> Iterator[pa.RecordBatch]:
     for b in it:
         x = matrix(b.column("vec"), dim)

@@ -78,15 +78,26 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def pin(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def pin(df: DataFrame, spark: SparkSession | None = None, shuffles: bool = True) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage (iterative operators would otherwise grow their plan with each round) and, unlike a
     local checkpoint, a lost executor loses nothing. The files go when the session ends, or with ``drop``.
+    Without ``shuffles`` the shuffle files of the writing go at once, not when the driver collects its garbage.
     """
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/vecloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANED, "false")
+    if not shuffles:
+        spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if not shuffles:
+            spark.conf.set(CLEANED, before)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vecloom_path = path
