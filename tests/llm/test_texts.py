@@ -215,3 +215,30 @@ def test_double_encoding_is_undone():
     c = Ciphers()
     twice = "é".encode().decode("cp1252").encode().decode("cp1252")
     assert "é" in c.before(twice).values()
+
+
+def test_bigrams_beyond_those_in_memory_count_too(spark, monkeypatch):
+    to = Ciphers().pages["cp1252"][0]
+    spoiled = [(d, "".join(to[b] for b in t.encode("utf-8")) if d in (0, 301, 602, 1502) else t, g, s) for d, t, g, s in corpus(20)]
+    docs = spark.createDataFrame(spoiled, "doc_id long, text string, lang string, source string").persist()
+
+    def all_of():
+        _, every, sizes, _ = garbled.counts(docs)
+        pairs, rare = garbled.held(every, sizes)
+        model = garbled.Bigrams(pairs, sizes, rare)
+        model.usual = garbled._usual(model)
+        return model, {(r[0], r[1]) for r in every.collect()}, rare, pairs
+
+    full, names, none, _ = all_of()
+    lines = sorted(map(repr, garbled_lines(docs).drop("gain").collect()))
+    monkeypatch.setattr(garbled, "MOST_PAIRS", 10)
+    part, _, rare, pairs = all_of()
+    assert none is None and rare is not None and len(pairs) < len(names) and lines
+    for g, ab in names:
+        assert part.two[g].get(ab, 0) == pytest.approx(full.two[g].get(ab, 0)) and part.two[g].get(ab, 0) > 0
+    for g in full.size:
+        for a, b in ((part.left, full.left), (part.right, full.right), (part.all, full.all)):
+            assert a[g] == pytest.approx(b[g])
+        assert part.two[g].get("一丁", 0) == 0
+    assert part.letters == full.letters and part.after == full.after and part.usual == pytest.approx(full.usual)
+    assert sorted(map(repr, garbled_lines(docs).drop("gain").collect())) == lines

@@ -13,16 +13,21 @@ ciphers start from. Replacement and control characters are garbled in any case.
 
 from __future__ import annotations
 
+import atexit
 import codecs
 import math
 import re
+import shutil
+import tempfile
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +49,7 @@ JOINERS = "’‘´–—‐‑­¬·"
 ODD = 1.0  # log likelihood by which the runs of a page have to fall behind the usual for a table of its own, each,
 EVIDENCE = 12.0  # and by how much more all together
 LEARNED = "learned"
-MOST_PAIRS = 4_000_000  # bigrams that travel to the tasks
+MOST_PAIRS = 4_000_000  # bigrams that travel to the tasks in memory; the rarer ones travel as a sorted file
 MOST_FACTS = 100_000  # runs of which the outcome travels with them
 #: Digits that a scan may show for a letter.
 MISREAD = {"1": "lL", "0": "oO", "5": "sS", "8": "bB"}
@@ -104,13 +109,58 @@ def _counted(got: Counter) -> pa.RecordBatch:
 COUNTED = "lang string, p string, run string, n string, c long"
 
 
+class Rare:
+    """Counts of the bigrams that are not held in memory: keys and counts in files that every machine has, in the order
+    of the keys. sums: (language, 'l' class before and symbol, 'r' symbol and class after, 'a' symbol; what it is; count)."""
+
+    def __init__(self, langs: dict[str, int], name: str, sums: list[tuple[str, str, str, float]]):
+        self.langs, self.name, self.sums = langs, name, sums
+        self.files: tuple[np.ndarray, np.ndarray] | None = None
+
+    def count(self, lang: str, ab: str) -> float:
+        if self.files is None:  # mapped, not read
+            self.files = tuple(np.asarray(np.memmap(SparkFiles.get(f"{self.name}.{x}"), np.int64, "r")) for x in "kc")  # type: ignore[assignment]
+        keys, counts = self.files  # type: ignore[misc]
+        key = np.int64(_pair_key(self.langs[lang], ab))
+        at = int(np.searchsorted(keys, key))
+        return int(counts[at]) - ONCE if at < len(keys) and keys[at] == key else 0
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "files": None, "sums": []}  # the sums are in the model
+
+
+class Two(dict):
+    """Counts of the bigrams of a language, those of ``rare`` included."""
+
+    def __init__(self, lang: str, rare: Rare):
+        super().__init__()
+        self.lang, self.rare = lang, rare
+
+    def __reduce__(self):
+        return _two, (self.lang, self.rare, dict(self))
+
+    def get(self, ab: str, default: float = 0) -> float:
+        got = super().get(ab)
+        return (self.rare.count(self.lang, ab) or default) if got is None and ab[0] > "\x7f" else default if got is None else got
+
+
+def _two(lang: str, rare: Rare, held: dict) -> Two:
+    two = Two(lang, rare)
+    two.update(held)
+    return two
+
+
+def _pair_key(lang: int, ab: str) -> int:
+    return lang << 42 | ord(ab[0]) << 21 | ord(ab[1])
+
+
 class Bigrams:
     """Bigram likelihoods of characters outside ASCII; a symbol is as likely as the language in which it is most likely.
     Texts without language count as one more language."""
 
-    def __init__(self, pairs: dict[tuple[str, str], int], sizes: dict[str, int]):
+    def __init__(self, pairs: dict[tuple[str, str], int], sizes: dict[str, int], rare: Rare | None = None):
         self.size = {g: n + SMALL for g, n in sizes.items()}
-        self.two: dict = {g: {} for g in self.size}
+        self.two: dict = {g: Two(g, rare) if rare else {} for g in self.size}
         self.left: dict = {g: {} for g in self.size}
         self.right: dict = {g: {} for g in self.size}
         self.all: dict = {g: {} for g in self.size}
@@ -119,7 +169,7 @@ class Bigrams:
                 continue
             a, b = ab
             c -= ONCE
-            self.two[g][ab] = self.two[g].get(ab, 0) + c
+            self.two[g][ab] = c
             if b > "\x7f":
                 k = _class(a) + b
                 self.left[g][k] = self.left[g].get(k, 0) + c
@@ -127,6 +177,9 @@ class Bigrams:
                 k = a + _class(b)
                 self.right[g][k] = self.right[g].get(k, 0) + c
                 self.all[g][a] = self.all[g].get(a, 0) + c
+        for g, kind, key, c in rare.sums if rare else ():
+            of = {"l": self.left, "r": self.right, "a": self.all}[kind][g]
+            of[key] = of.get(key, 0) + c
         self.alphabet = sorted({a for d in self.all.values() for a in d})
         self.letters = [a for a in self.alphabet if a.isalpha() or a in QUOTES]
         self.known = set(self.alphabet)
@@ -185,27 +238,73 @@ class Bigrams:
         return max(self.score(*t), FOREIGN - BESIDE - (FOREIGN_LETTER + BESIDE) * len(t[1]) - MIXED * _mixed(*t))
 
 
-def counts(docs: DataFrame) -> tuple[DataFrame, dict[tuple[str, str], int], dict[str, int], dict[str, int]]:
-    """docs: lang, source, text. (runs in their places: p, run, n, c; bigrams; characters per language; lines outside
-    ASCII per source), over all documents.
-
-    What reaches the driver is bounded by the alphabets squared, one row per language and one per source. Of more than
-    ``MOST_PAIRS`` bigrams the rarest are left to the smoothing.
-    """
+def counts(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int], dict[str, int]]:
+    """docs: lang, source, text. (runs in their places: p, run, n, c; bigrams: lang, ab, c; characters per language;
+    lines outside ASCII per source), over all documents. The driver gets one row per language and one per source."""
     name = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
     t = docs.select(name("lang").alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text").mapInArrow(_types, COUNTED)
     t = pin(t.groupBy("lang", "p", "run", "n").agg(F.sum("c").alias("c")))
     sizes: dict[str, dict[str, int]] = {"c": {}, "l": {}}
     for r in t.where("run = ''").select("lang", "n", "c").collect():
         sizes[r[1]][r[0]] = r[2]
-    pairs = pin(_bigrams(t.where("run <> ''")))
+    return t.where("run <> ''").groupBy("p", "run", "n").agg(F.sum("c").alias("c")), pin(_bigrams(t.where("run <> ''"))), sizes["c"], sizes["l"]
+
+
+def held(pairs: DataFrame, sizes: dict[str, int]) -> tuple[dict[tuple[str, str], int], Rare | None]:
+    """Bigrams in memory and, if there are more than ``MOST_PAIRS``, the rarer ones as a file. Those after an ASCII
+    character, at most 128 times the alphabet of a language, are always in memory."""
     n, least = pairs.count(), 0
     while n > MOST_PAIRS:
         least = 2 * least + 1
         n = pairs.where(F.col("c") > least).count()
-    got = {(r[0], r[1]): r[2] for r in pairs.where(F.col("c") > least).collect()}
-    drop(pairs)
-    return t.where("run <> ''").groupBy("p", "run", "n").agg(F.sum("c").alias("c")), got, sizes["c"], sizes["l"]
+    if not least:
+        return {(r[0], r[1]): r[2] for r in pairs.collect()}, None
+    kept = (F.col("c") > least) | (F.ascii("ab") <= 0x7F)
+    got = {(r[0], r[1]): r[2] for r in pairs.where(kept).collect()}
+    return got, _rare(pairs.where(~kept & (F.col("c") > 0)), sizes)
+
+
+def _rare(rest: DataFrame, sizes: dict[str, int]) -> Rare:
+    sc = rest.sparkSession.sparkContext
+    langs = {g: k for k, g in enumerate(sorted(sizes))}
+    sums = rest.mapInArrow(_rest_sums, "lang string, kind string, key string, c long, n long").groupBy("lang", "kind", "key")
+    # at most one row per language, symbol and class of a neighbour
+    sums = [(r[0], r[1], r[2], r[3] - ONCE * r[4]) for r in sums.agg(F.sum("c"), F.sum("n")).collect()]
+    keyed = rest.mapInArrow(partial(_keyed, langs=langs), "key long, c long").orderBy("key").mapInArrow(_packed, "k binary, c binary")
+    folder, name = tempfile.mkdtemp(prefix="vecloom-"), f"bigrams-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, folder, True)  # executors fetch it when they start a task
+    with open(f"{folder}/{name}.k", "wb") as keys, open(f"{folder}/{name}.c", "wb") as values:
+        for r in keyed.toLocalIterator():  # one row per batch of pairs
+            keys.write(r[0]), values.write(r[1])
+    for x in "kc":
+        sc.addFile(f"{folder}/{name}.{x}")
+    return Rare(langs, name, sums)
+
+
+def _rest_sums(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        got: dict[tuple[str, str, str], list[int]] = {}
+        for g, ab, c in zip(*(b.column(x).to_pylist() for x in ("lang", "ab", "c"))):
+            keys = [("r", ab[0] + _class(ab[1])), ("a", ab[0])] + ([("l", _class(ab[0]) + ab[1])] if ab[1] > "\x7f" else [])
+            for kind, key in keys:
+                z = got.setdefault((g, kind, key), [0, 0])
+                z[0] += c
+                z[1] += 1
+        cols = list(zip(*[(*k, *z) for k, z in got.items()])) or [()] * 5
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["lang", "kind", "key", "c", "n"])
+
+
+def _keyed(it: Iterator[pa.RecordBatch], langs: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        keys = [_pair_key(langs[g], ab) for g, ab in zip(b.column("lang").to_pylist(), b.column("ab").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column("c")], names=["key", "c"])
+
+
+def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(x).to_numpy().astype(np.int64).tobytes()], pa.binary()) for x in ("key", "c")], names=["k", "c"])
 
 
 def _facts(it: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -568,9 +667,14 @@ def _usual(model: Bigrams) -> float:
     """Mean log likelihood of a symbol outside ASCII where the languages have it."""
     n = total = 0.0
     for g, two in model.two.items():
+        right = model.right[g]
+        most: dict[str, str] = {}  # symbol: with the class that follows it most often
+        for k, c in right.items():
+            if k[0] not in most or c > right[most[k[0]]]:
+                most[k[0]] = k
         for ab, c in two.items():
             if ab[1] > "\x7f" and ab[0] <= "\x7f":
-                after = max((k for k in model.right[g] if k[0] == ab[1]), key=lambda k: model.right[g][k], default=None)
+                after = most.get(ab[1])
                 total += c * (math.log(c / model.size[g]) + (math.log(model.right[g][after] / model.all[g][ab[1]] / (26 if after[1] in "aA" else 1)) if after else -3.0))
                 n += c
     return total / n if n else -20.0
@@ -607,13 +711,14 @@ def garbled_lines(docs: DataFrame) -> DataFrame:
     sources share one set of weights.
     """
     spark = docs.sparkSession
-    types, pairs, sizes, lines = counts(docs)
+    types, every, sizes, lines = counts(docs)
     types = pin(types)
+    pairs, rare = held(every, sizes)
     d = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     d = d.select("doc_id", F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "text")
     old = None
     for last in (False, True):
-        model = Bigrams(pairs, sizes)
+        model = Bigrams(pairs, sizes, rare)
         model.usual = _usual(model)
         shared = _shared(model, types)
         s = pin(d.mapInArrow(partial(_suspects, shared=shared), SUSPECTS))
@@ -633,8 +738,15 @@ def garbled_lines(docs: DataFrame) -> DataFrame:
         swapped = swapped.join(pages, (F.col("doc_id") == F.col("whole")) & (F.col("line_no") >= 0), "left_anti")  # pages hold their lines
         moved = swapped.select("lang", "source", "line", "cipher").mapInArrow(partial(_moved, tables=tables), COUNTED)
         moved = moved.groupBy("lang", "p", "run", "n").agg(F.sum("c").alias("c"))
+        if rare:
+            both = pin(every.unionByName(_bigrams(moved)).groupBy("lang", "ab").agg(F.sum("c").alias("c")))
+            drop(every)
+            every = both
+            pairs, rare = held(every, sizes)
+            continue
         for r in _bigrams(moved).collect():  # at most the bigrams of garbled lines, of which there are fewer than of all
             pairs[r[0], r[1]] = pairs.get((r[0], r[1]), 0) + r[2]
+    drop(every)
     letters = [(s_, [(r, max(of, key=lambda x: (of[x], x))) for r, of in sorted(t.items())]) for s_, t in tables.items()]  # noqa: B023
     if letters:
         known = spark.createDataFrame(letters, "ls string, letters array<struct<run: string, letter: string>>")
